@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import warehouse
+    from oracle import knowledge, warehouse
 
-    return {**warehouse.all_sql()}
+    return {**warehouse.all_sql(), **knowledge.all_sql()}

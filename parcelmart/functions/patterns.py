@@ -1,0 +1,61 @@
+"""Many literal patterns against many texts in one pass per text."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+try:
+    import ahocorasick
+except ImportError:  # pragma: no cover - the plain search below gives the same hits
+    ahocorasick = None
+
+
+class PatternSet:
+    """Finds which of a list of patterns occur in a text, and how often as a whole word.
+
+    ``like_wildcards`` gives '_' its LIKE meaning: any one character.
+    """
+
+    def __init__(self, patterns: list[str], like_wildcards: bool = False) -> None:
+        self.patterns = patterns
+        self.is_word = [p.isalnum() for p in patterns]
+        self.wild = [
+            (i, re.compile(".".join(re.escape(part) for part in p.split("_")), re.DOTALL))
+            for i, p in enumerate(patterns) if like_wildcards and "_" in p
+        ]
+        wild = {i for i, _ in self.wild}
+        self.plain = [(i, p) for i, p in enumerate(patterns) if i not in wild]
+        self.automaton = None
+        if ahocorasick and self.plain:
+            self.automaton = ahocorasick.Automaton()
+            for i, pattern in self.plain:
+                self.automaton.add_word(pattern, i)
+            self.automaton.make_automaton()
+
+    def _occurrences(self, text: str) -> Iterator[tuple[int, int]]:
+        """(pattern, position after its end) of every occurrence."""
+        if self.automaton is not None:
+            for end, i in self.automaton.iter(text):
+                yield i, end + 1
+            return
+        for i, pattern in self.plain:
+            at = text.find(pattern)
+            while at >= 0:
+                yield i, at + len(pattern)
+                at = text.find(pattern, at + 1)
+
+    def hits(self, text: str) -> dict[int, int]:
+        """Pattern index -> number of occurrences that are whole words (0: only inside longer words)."""
+        found: dict[int, int] = {}
+        size = len(text)
+        for i, end in self._occurrences(text):
+            whole = 0
+            if self.is_word[i]:
+                start = end - len(self.patterns[i])
+                whole = not (start and text[start - 1].isalnum()) and not (end < size and text[end].isalnum())
+            found[i] = found.get(i, 0) + int(whole)
+        for i, pattern in self.wild:
+            if pattern.search(text):
+                found.setdefault(i, 0)
+        return found

@@ -1,0 +1,124 @@
+"""Top n rows of a large table for each of many queries, without pairing them up.
+
+A scan task keeps a running top n per query and emits only that: at most n x queries rows, however large
+its input. No pair of query and row ever leaves a task, so hot terms and near-identical rows cost nothing
+extra, and the only shuffle is the final merge of those short lists.
+
+The query table travels to the tasks whole while it has at most ``max_broadcast`` rows (checked by
+reading no more than that plus one). A larger one is cut into shards, the scanned table is cut into
+shards as well, and each task gets one shard of either side; results are the same.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MAX_BROADCAST_QUERIES = 4096
+GRID_ROWS = 20_000
+CELLS_PER_BLOCK = 8_000_000
+
+# A scorer is built once per task from the queries; for a block of rows it returns the primary score per
+# (row, query), -inf where the row is no candidate, and named score matrices for the output.
+Scorer = Callable[[pd.DataFrame], tuple[np.ndarray, dict[str, np.ndarray]]]
+
+
+class _RunningTop:
+    """Best n of the rows seen so far for one query: larger score first, then smaller tie-break values."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+        self.kept: list[tuple] = []
+        self.floor = -np.inf
+
+    def offer(self, column: np.ndarray, rows: list[tuple], ties: list[tuple], scores: dict[str, np.ndarray]) -> None:
+        found = np.flatnonzero((column >= self.floor) & (column > -np.inf))
+        if len(found) > self.n:
+            edge = np.partition(column[found], len(found) - self.n)[len(found) - self.n]
+            found = found[column[found] >= edge]
+        if not len(found):
+            return
+        self.kept += [
+            (-column[i], ties[i], rows[i], tuple(matrix[i] for matrix in scores.values())) for i in found
+        ]
+        if len(self.kept) > self.n:
+            self.kept.sort(key=lambda entry: entry[:2])
+            del self.kept[self.n:]
+            self.floor = -self.kept[-1][0]
+
+
+def _scan(
+    batches: Iterable[pd.DataFrame], queries: pd.DataFrame, build: Callable[[pd.DataFrame], Scorer], n: int,
+    key: str, payload: list[str], ties: list[str], scores: list[str],
+) -> Iterator[pd.DataFrame]:
+    score = build(queries)
+    tops = [_RunningTop(n) for _ in range(len(queries))]
+    step = max(1, CELLS_PER_BLOCK // max(1, len(queries)))
+    for batch in batches:
+        for first in range(0, len(batch), step):
+            block = batch.iloc[first:first + step]
+            primary, named = score(block)
+            rows = list(block[payload].itertuples(index=False, name=None))
+            tie_values = list(block[ties].itertuples(index=False, name=None))
+            for q, top in enumerate(tops):
+                top.offer(primary[:, q], rows, tie_values, {name: named[name][:, q] for name in scores})
+    out = [
+        (query_key, float(-negated), *row, *(value.item() for value in values))
+        for query_key, top in zip(queries[key], tops, strict=True) for negated, _, row, values in top.kept
+    ]
+    yield pd.DataFrame(out, columns=[key, "primary_score", *payload, *scores])
+
+
+def scan_top_n(
+    table: DataFrame, queries: DataFrame, build: Callable[[pd.DataFrame], Scorer], *, key: str, n: int,
+    needs: list[str], payload: list[str], ties: list[str], scores: list[str], rank: str,
+    max_broadcast: int = MAX_BROADCAST_QUERIES,
+) -> DataFrame:
+    """Top ``n`` rows of ``table`` per query, ranked in column ``rank`` (1 is best).
+
+    ``needs`` are the columns the scorer reads, ``payload`` those handed through, ``ties`` (part of the
+    payload) break equal scores in ascending order, ``scores`` are output score columns (double).
+    """
+    columns = list(dict.fromkeys([*payload, *needs]))
+    source = table.select(*columns)
+    types = {f.name: f.dataType for f in source.schema.fields}
+    schema = T.StructType([
+        queries.schema[key], T.StructField("primary_score", T.DoubleType()),
+        *[T.StructField(p, types[p]) for p in payload], *[T.StructField(s, T.DoubleType()) for s in scores],
+    ])
+    head = queries.limit(max_broadcast + 1).toPandas()
+    if len(head) <= max_broadcast:
+        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return _scan(batches, head, build, n, key, payload, ties, scores)
+
+        found = source.mapInPandas(local, schema)
+    else:
+        found = _grid(source, queries, build, n, key, payload, ties, scores, schema, max_broadcast)
+    best = Window.partitionBy(key).orderBy(F.desc("primary_score"), *[F.asc(t) for t in ties])
+    return found.withColumn(rank, F.row_number().over(best)).filter(F.col(rank) <= n).drop("primary_score")
+
+
+def _grid(source, queries, build, n, key, payload, ties, scores, schema, max_broadcast) -> DataFrame:
+    query_shards = -(-queries.count() // max_broadcast) * 2
+    row_shards = max(1, -(-source.count() // GRID_ROWS))
+
+    def shard(by: list[str], shards: int):
+        return F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")
+
+    def every(shards: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+
+    left = source.withColumn("row_shard", shard(ties, row_shards)).withColumn("query_shard", every(query_shards))
+    right = queries.withColumn("query_shard", shard([key], query_shards)).withColumn("row_shard", every(row_shards))
+
+    def cell(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        return next(_scan([rows], some, build, n, key, payload, ties, scores))
+
+    return left.groupBy("query_shard", "row_shard").cogroup(
+        right.groupBy("query_shard", "row_shard")
+    ).applyInPandas(cell, schema)

@@ -10,6 +10,6 @@ Job = Callable[[SparkSession, str], DataFrame]
 
 
 def all_jobs() -> dict[str, Job]:
-    from parcelmart.registry import warehouse
+    from parcelmart.registry import knowledge, warehouse
 
-    return {**warehouse.jobs()}
+    return {**warehouse.jobs(), **knowledge.jobs()}

@@ -250,3 +250,94 @@ def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "sellers": raw_sellers(spark, folder),
         "category_translation": x_translation(spark, folder),
     }
+
+
+# --- knowledge and retrieval -----------------------------------------------------------------------
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Test files hold one row group each, hence one busy task; spread the rows over the local cores.
+
+    Inputs of real size are split by the reader and need no such shuffle.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents")).withColumn(
+        "stem", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    )
+
+
+def x_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as Markdown: a heading before each seventh line, a blank line after each third.
+
+    Heading depth jumps between 1 and 4. Copies of a text stay copies.
+    """
+    def line(value: Column, i: Column) -> Column:
+        depth = ((i / 7).cast("int") + F.col("n_lines")) % 4 + 1
+        heading = F.concat(
+            F.repeat(F.lit("#"), depth), F.lit(" Part "), F.col("mark"), F.lit("-"), i.cast("string"), F.lit("\n")
+        )
+        before = F.when((i + F.col("n_lines")) % 7 == 0, heading).otherwise(F.lit(""))
+        after = F.when(i % 3 == 2, F.lit("\n")).otherwise(F.lit(""))
+        return F.concat(before, value, after)
+
+    lines = documents(spark, folder).withColumn("line", F.split("text", "\n", -1)).withColumns({
+        "n_lines": F.size("line"), "mark": F.left(F.md5("text"), F.lit(8)),
+    })
+    return lines.select(
+        "doc_id", "stem", F.array_join(F.transform("line", line), "\n").alias("text"), F.col("text").alias("plain")
+    )
+
+
+def x_queries(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+PATTERNS_PER_PASS = 4096
+
+
+def x_gold(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
+    """Gold titles of a benchmark passage: the documents of ``known`` whose plain text contains it.
+
+    Passages are matched in groups of bounded size, one scan of the documents per group.
+    """
+    passages = table(spark, folder, "benchmark")
+    pairs = None
+    rows = passages.toLocalIterator()
+    while some := [row for _, row in zip(range(PATTERNS_PER_PASS), rows)]:
+        found = known.select("title", "plain").mapInPandas(
+            _passage_finder([r["item_id"] for r in some], [r["text"] for r in some]), "query_id bigint, title string"
+        )
+        pairs = found if pairs is None else pairs.unionByName(found)
+    titles = pairs.distinct().groupBy("query_id").agg(F.collect_set("title").alias("gold_titles"))
+    return passages.select(F.col("item_id").alias("query_id")).join(titles, "query_id")
+
+
+def _passage_finder(ids: list[int], texts: list[str]):
+    def find(batches):
+        import pandas as pd
+
+        from parcelmart.functions.patterns import PatternSet
+
+        patterns = PatternSet(texts)
+        for batch in batches:
+            out = [
+                (ids[i], title) for title, plain in zip(batch["title"], batch["plain"], strict=True)
+                for i in patterns.hits(plain)
+            ]
+            yield pd.DataFrame(out, columns=["query_id", "title"])
+
+    return find
+
+
+def x_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Query vectors: the mean embedding of each label."""
+    parts = table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("pos", "value"))
+    means = parts.groupBy("label", "pos").agg(
+        (F.sum(F.col("value").cast("double")) / F.count("value")).alias("mean")
+    )
+    return means.groupBy("label").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda p: p["mean"]).alias("query_embedding")
+    ).withColumnRenamed("label", "query_id")
