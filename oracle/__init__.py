@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import knowledge, warehouse
+    from oracle import knowledge, requests, warehouse
 
-    return {**warehouse.all_sql(), **knowledge.all_sql()}
+    return {**warehouse.all_sql(), **knowledge.all_sql(), **requests.all_sql()}

@@ -150,7 +150,7 @@ SQL["expand_query"] = "SELECT query_id, string_agg(term, ' ' ORDER BY n) AS term
 # --- candidates ------------------------------------------------------------------------------------
 CTE["c_words"] = """SELECT chunk_id, word, count(*) AS n FROM (
     SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS word FROM k_chunks) GROUP BY 1, 2"""
-CTE["c_fts"] = """SELECT query_id, chunk_id, sum(n) AS words FROM q_terms JOIN c_words ON term = word
+CTE["c_fts"] = """SELECT query_id, chunk_id, sum(c_words.n) AS words FROM q_terms JOIN c_words ON term = word
     WHERE regexp_full_match(term, '[\\p{L}\\p{N}]+') GROUP BY 1, 2"""
 CTE["c_hits"] = """SELECT query_id, chunk_id, title, ordinal, count(*) AS lexical_hits,
     count(*) FILTER (WHERE title ILIKE '%' || term || '%') AS title_hits
