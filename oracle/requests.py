@@ -90,8 +90,8 @@ _STATE = f"""{F['orders']} AS order_count, {F['eligible']} AS eligible_delivery_
 
 def _family(name: str, intents: str, mart: str, key: str, columns: str, order: str, top: int | None,
             minimum: bool = False, where: str = "AND order_status = 'delivered'") -> None:
-    alias = key.split(" AS ")[-1]
-    expr = key.split(" AS ")[0]
+    expr, _, alias = key.rpartition(" AS ")
+    expr = expr or f"m.{alias}"
     limit = f"WHERE row_rank <= {top}" if top else ""
     least = "AND order_count >= min_orders" if minimum else ""
     CTE[f"p_{name}"] = f"""SELECT * EXCLUDE (min_orders) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id

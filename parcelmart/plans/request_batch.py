@@ -7,6 +7,7 @@ are on (piece) equality; no request is ever compared with the orders themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -64,13 +65,11 @@ MAX_SCORE = 2
 
 def _calls_of(requests: DataFrame, family: str) -> DataFrame:
     """Requests that make a call of this family: request_id, call_no, range, minimum, seller."""
-    parts = [
-        requests.filter((F.col("intent") == intent) & F.col("usable")).select(
-            "request_id", F.lit(call.call_no).alias("call_no"), *RANGE, "min_orders", "seller_id"
-        )
-        for intent, calls in CALLS.items() for call in calls if call.family == family
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    numbers = {i: c.call_no for i, calls in CALLS.items() for c in calls if c.family == family}
+    call_no = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
+    return requests.filter(F.col("intent").isin(*numbers) & F.col("usable")).select(
+        "request_id", F.element_at(call_no, F.col("intent")).alias("call_no"), *RANGE, "min_orders", "seller_id"
+    )
 
 
 def _parameters(family: str) -> Call:
@@ -83,9 +82,9 @@ def _pieces(calls: DataFrame, span: DataFrame) -> DataFrame:
     ``span`` (one row: first, last day of data) bounds the days a range can unfold into.
     """
     ranges = calls.select(*RANGE).distinct()
-    first, last = span.select("first").scalar(), span.select("last").scalar()
-    clipped = ranges.withColumns({
-        "a": F.greatest("start_date", first), "b": F.least("end_date", last),
+    bounds = span.select(F.struct("first", "last").alias("bounds")).scalar()
+    clipped = ranges.withColumn("bounds", bounds).withColumns({
+        "a": F.greatest("start_date", "bounds.first"), "b": F.least("end_date", "bounds.last"),
     }).filter("a <= b")
     days = clipped.select(*RANGE, F.explode(F.sequence("a", "b")).alias("day"))
     month = F.trunc("day", "month")
@@ -229,69 +228,51 @@ def _review_samples(marts: Marts, requests: DataFrame) -> DataFrame:
     return decimals_to_double(out.drop(*RANGE, *PIECE, "review_created_at"))
 
 
-def run_plan(marts: Marts, requests: DataFrame) -> dict[str, DataFrame]:
-    """Rows of every metric call of all usable requests, one frame per call family.
+def run_plan(marts: Marts, requests: DataFrame, families: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """Rows of every metric call of all usable requests, one frame per call family (or the named ones).
 
     ``requests`` comes from ``operators.requests.route_intent``.
     """
     m, overall = metrics, F.lit("overall")
     state = F.coalesce("customer_state", F.lit("unknown"))
     status = F.coalesce("order_status", F.lit("unknown"))
-
-    def grouped(family, mart, key, name, columns, order, **more) -> DataFrame:
-        return _grouped(marts, requests, family, mart, key, name, columns, order, **more)
-
+    orders, sellers, categories = marts.orders, marts.seller_orders, marts.category_orders
+    by_status = [F.desc("order_count"), F.asc("order_status")]
+    by_value = [F.desc_nulls_first("payment_value"), F.asc("payment_type")]
+
+    # family -> mart, key, key name, columns, order, and for shares: whole mart, (value, share, type)
+    grouped = {
+        "status": (orders, status, "order_status", m.OVERVIEW_COLUMNS, by_status, False,
+                   ("order_count", "order_share", "decimal(20,0)")),
+        "payment": (marts.payments, F.col("payment_type"), "payment_type", m.PAYMENT_COLUMNS, by_value, False,
+                    ("payment_value", "payment_value_share", "decimal(16,2)")),
+        "state_delivery": (orders, state, "customer_state", m.GEOGRAPHY_COLUMNS, _late_first("customer_state")),
+        "state_freight": (orders, state, "customer_state", m.FREIGHT_COLUMNS, _freight_first("customer_state")),
+        "freight_overall": (orders, overall, "group_key", m.FREIGHT_COLUMNS, _freight_first("group_key")),
+        "freight_category": (categories, F.col("category"), "category", m.FREIGHT_COLUMNS, _freight_first("category")),
+        "delivery_overall": (orders, overall, "group_key", m.DELIVERY_COLUMNS, _late_first("group_key")),
+        "delivery_seller": (sellers, F.col("seller_id"), "seller_id", m.DELIVERY_COLUMNS, _late_first("seller_id")),
+        "delivery_category": (categories, F.col("category"), "category", m.DELIVERY_COLUMNS, _late_first("category")),
+    }
+    single = {
+        "sales": _sales, "trend": _trend, "review_groups": _review_groups, "review_samples": _review_samples,
+        "seller": _seller,
+    }
     return {
-        "sales": _sales(marts, requests),
-        "status": grouped(
-            "status", marts.orders, status, "order_status", m.OVERVIEW_COLUMNS,
-            [F.desc("order_count"), F.asc("order_status")], delivered=False,
-            share=("order_count", "order_share", "decimal(20,0)"),
-        ),
-        "trend": _trend(marts, requests),
-        "state_delivery": grouped(
-            "state_delivery", marts.orders, state, "customer_state", m.GEOGRAPHY_COLUMNS, _late_first("customer_state")
-        ),
-        "state_freight": grouped(
-            "state_freight", marts.orders, state, "customer_state", m.FREIGHT_COLUMNS, _freight_first("customer_state")
-        ),
-        "freight_overall": grouped(
-            "freight_overall", marts.orders, overall, "group_key", m.FREIGHT_COLUMNS, _freight_first("group_key")
-        ),
-        "freight_category": grouped(
-            "freight_category", marts.category_orders, F.col("category"), "category", m.FREIGHT_COLUMNS,
-            _freight_first("category"),
-        ),
-        "payment": grouped(
-            "payment", marts.payments, F.col("payment_type"), "payment_type", m.PAYMENT_COLUMNS,
-            [F.desc_nulls_first("payment_value"), F.asc("payment_type")], delivered=False,
-            share=("payment_value", "payment_value_share", "decimal(16,2)"),
-        ),
-        "delivery_overall": grouped(
-            "delivery_overall", marts.orders, overall, "group_key", m.DELIVERY_COLUMNS, _late_first("group_key")
-        ),
-        "delivery_seller": grouped(
-            "delivery_seller", marts.seller_orders, F.col("seller_id"), "seller_id", m.DELIVERY_COLUMNS,
-            _late_first("seller_id"),
-        ),
-        "delivery_category": grouped(
-            "delivery_category", marts.category_orders, F.col("category"), "category", m.DELIVERY_COLUMNS,
-            _late_first("category"),
-        ),
-        "review_groups": _review_groups(marts, requests),
-        "review_samples": _review_samples(marts, requests),
-        "seller": _seller(marts, requests),
+        family: single[family](marts, requests) if family in single
+        else _grouped(marts, requests, family, *grouped[family])
+        for family in (families or [*single, *grouped])
     }
 
 
 def tool_calls(requests: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
     """One row per metric call of a usable request: metric name and number of result rows."""
-    made = reduce(DataFrame.unionByName, [
-        requests.filter((F.col("intent") == intent) & F.col("usable")).select(
-            "request_id", F.lit(call.call_no).alias("call_no"), F.lit(call.metric_name).alias("metric_name")
-        )
-        for intent, calls in CALLS.items() for call in calls
+    plans = F.create_map(*[
+        part for intent, calls in CALLS.items() for part in (F.lit(intent), F.array(*[
+            F.struct(F.lit(c.call_no).alias("call_no"), F.lit(c.metric_name).alias("metric_name")) for c in calls
+        ]))
     ])
+    made = requests.filter("usable").select("request_id", F.inline(F.element_at(plans, F.col("intent"))))
     counts = reduce(DataFrame.unionByName, [df.select("request_id", "call_no") for df in results.values()])
     counted = counts.groupBy("request_id", "call_no").agg(F.count(F.lit(1)).alias("row_count"))
     return made.join(counted, ["request_id", "call_no"], "left").withColumn(

@@ -24,14 +24,27 @@ def routed(spark: SparkSession, folder: str) -> DataFrame:
     return q.route_intent(q.parse_requests(td.x_requests(spark, folder)))
 
 
-def plan_results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    marts = warehouse.marts(spark, folder)
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Routed requests as a written table; every call family reads it several times."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        path = shared_folder(spark, f"requests-{hashlib.sha256(folder.encode()).hexdigest()[:12]}")
+        routed(spark, folder).write.mode("overwrite").parquet(path)
+        _stored[key] = spark.read.parquet(path)
+    return _stored[key]
+
+
+def plan_results(spark: SparkSession, folder: str, *families: str) -> dict[str, DataFrame]:
+    marts = warehouse.stored_marts(spark, folder)
     hashed = replace(marts, seller_orders=marts.seller_orders.withColumn("seller_id", td.hashed_seller()))
-    return run_plan(hashed, routed(spark, folder))
+    return run_plan(hashed, stored_requests(spark, folder), families or None)
 
 
 def calls(spark: SparkSession, folder: str) -> DataFrame:
-    return tool_calls(routed(spark, folder), plan_results(spark, folder))
+    return tool_calls(stored_requests(spark, folder), plan_results(spark, folder))
 
 
 def _step_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,5 +125,5 @@ def jobs() -> dict:
         "stream_events_after": _streamed,
     }
     for family in FAMILIES:
-        out[f"run_plan_{family}"] = lambda s, f, n=family: plan_results(s, f)[n].drop("call_no")
+        out[f"run_plan_{family}"] = lambda s, f, n=family: plan_results(s, f, n)[n].drop("call_no")
     return out

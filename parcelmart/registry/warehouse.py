@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import date
 
 from pyspark.sql import SparkSession
@@ -11,7 +12,8 @@ from parcelmart.functions.numbers import decimals_to_double
 from parcelmart.operators import marts as build
 from parcelmart.operators import metrics, quality, staging
 from parcelmart.operators.keys import duplicate_keys
-from parcelmart.plans.warehouse import Marts, layer_row_counts, marts_from_staging
+from parcelmart.plans.warehouse import Marts, layer_row_counts, marts_from_staging, refresh_marts
+from parcelmart.session import shared_folder
 from parcelmart.sources import testdata as td
 
 START, END = date(1997 + 20, 1, 1), date(1998 + 20, 12, 31)
@@ -21,6 +23,18 @@ def marts(spark: SparkSession, folder: str) -> Marts:
     return marts_from_staging(td.staging(spark, folder))
 
 
+_stored: dict[tuple[str, str], Marts] = {}
+
+
+def stored_marts(spark: SparkSession, folder: str) -> Marts:
+    """The marts of a test folder as written tables, refreshed once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        name = hashlib.sha256(folder.encode()).hexdigest()[:12]
+        _stored[key] = refresh_marts(spark, td.staging(spark, folder), shared_folder(spark, f"marts-{name}"))
+    return _stored[key]
+
+
 def _staging_jobs() -> dict:
     return {
         "stg_orders": lambda s, f: staging.stg_orders(td.raw_orders(s, f)),
