@@ -56,6 +56,9 @@ def _scan(
     batches: Iterable[pd.DataFrame], queries: pd.DataFrame, build: Callable[[pd.DataFrame], Scorer], n: int,
     key: str, payload: list[str], ties: list[str], scores: list[str],
 ) -> Iterator[pd.DataFrame]:
+    if queries.empty:
+        yield pd.DataFrame(columns=[key, "primary_score", *payload, *scores])
+        return
     score = build(queries)
     tops = [_RunningTop(n) for _ in range(len(queries))]
     step = max(1, CELLS_PER_BLOCK // max(1, len(queries)))
