@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 MAX_BROADCAST_QUERIES = 4096
 GRID_ROWS = 20_000
+MERGE_LANES = 64
 CELLS_PER_BLOCK = 8_000_000
 
 # A scorer is built once per task from the queries; for a block of rows it returns the primary score per
@@ -102,8 +103,18 @@ def scan_top_n(
         found = source.mapInPandas(local, schema)
     else:
         found = _grid(source, queries, build, n, key, payload, ties, scores, schema, max_broadcast)
-    best = Window.partitionBy(key).orderBy(F.desc("primary_score"), *[F.asc(t) for t in ties])
-    return found.withColumn(rank, F.row_number().over(best)).filter(F.col(rank) <= n).drop("primary_score")
+    return _merge(found, key, ties, n, rank)
+
+
+def _merge(found: DataFrame, key: str, ties: list[str], n: int, rank: str) -> DataFrame:
+    """Best n of the tasks' lists. Lists of one query meet in lanes first, as there is one per task."""
+    order = [F.desc("primary_score"), *[F.asc(t) for t in ties]]
+
+    def best(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= n)
+
+    lanes = best(found.withColumn("lane", F.spark_partition_id() % MERGE_LANES), [key, "lane"])
+    return best(lanes.drop("lane", rank), [key]).drop("primary_score")
 
 
 def _grid(source, queries, build, n, key, payload, ties, scores, schema, max_broadcast) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelmart.operators.joins import salted_join
+
 PAGE = 100
 TERMINAL = ("run.completed", "run.failed")
 # Status a run has after an event of that type.
@@ -23,9 +25,12 @@ def events_after(events: DataFrame, run_id: object, cursor: int = 0, limit: int
 
 
 def pages_after(events: DataFrame, cursors: DataFrame, limit: int = PAGE) -> DataFrame:
-    """Next page of every run of ``cursors`` (run_id, cursor). The page limit applies before the shuffle."""
+    """Next page of every run of ``cursors`` (run_id, cursor).
+
+    The events of a run are spread over salted tasks, each of which keeps a page at most.
+    """
     order = Window.partitionBy("run_id").orderBy("sequence")
-    beyond = events.join(cursors, "run_id").filter(F.col("sequence") > F.col("cursor"))
+    beyond = salted_join(events, cursors, ["run_id"], ["sequence"]).filter(F.col("sequence") > F.col("cursor"))
     page = beyond.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
     return page.select("run_id", "sequence", "event_type", "payload", "created_at")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelmart.functions.vectors import DIMENSIONS
 from parcelmart.operators import knowledge as k
+from parcelmart.operators.joins import without
 
 
 def ingest_knowledge(
@@ -16,24 +17,32 @@ def ingest_knowledge(
 ) -> tuple[DataFrame, DataFrame]:
     """Ingests ``files`` (text, stem, an ordering column) into ``folder``; returns (documents, chunks).
 
-    Documents are first written as 'embedding' under a working name, then chunks, and last the final
-    document table as 'ready': readers of the final table never see a document without its chunks.
-    Chunks of a document are replaced as a whole, because both tables are overwritten.
+    The distinct texts are written once to a work table, from which chunks are cut. The document table
+    holds no texts and is written last, as 'ready': its readers never see a document without its chunks.
+    Chunks of a document are replaced as a whole, because all tables are overwritten.
     """
     pending = k.knowledge_documents(files, order, stem).withColumn("status", F.lit("embedding"))
     pending.write.mode("overwrite").parquet(f"{folder}/documents_pending")
-    stored = spark.read.parquet(f"{folder}/documents_pending")
+    stored = pending_documents(spark, folder)
     chunks = k.embed_chunks(k.chunk_documents(stored, target_chars, sep), dimensions, kind)
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    stored.withColumn("status", F.lit("ready")).write.mode("overwrite").parquet(f"{folder}/documents")
+    stored.select(
+        "document_id", "title", stem, "content_hash", F.lit("ready").alias("status"),
+        F.lit(dimensions).alias("embedding_dimensions"), F.lit("local_hash").alias("embedding_provider"),
+        F.current_timestamp().alias("updated_at"),
+    ).write.mode("overwrite").parquet(f"{folder}/documents")
     return read_knowledge(spark, folder)
 
 
+def pending_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The work table of the last ingestion: document_id, title and the text."""
+    return spark.read.parquet(f"{folder}/documents_pending")
+
+
 def read_knowledge(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/documents"), spark.read.parquet(f"{folder}/chunks")
 
 
 def ready_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks of documents whose status is ready."""
-    ready = documents.filter("status = 'ready'").select("document_id")
-    return chunks.join(ready, "document_id", "left_semi")
+    """Chunks of documents whose status is ready. Documents in any other status are few, as a rule."""
+    return without(chunks, documents.filter("status <> 'ready'").select("document_id"), "document_id")

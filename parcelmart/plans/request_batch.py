@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from parcelmart.functions.numbers import decimals_to_double, ratio
 from parcelmart.functions.timing import month_of
 from parcelmart.operators import measures, metrics
+from parcelmart.operators.joins import salted_join
 from parcelmart.plans.warehouse import Marts
 
 RANGE = ["start_date", "end_date"]
@@ -113,7 +114,8 @@ def _range_sums(
 ) -> DataFrame:
     pieces = _pieces(calls, _span(orders))
     sums = _piece_sums(mart, keys, names, columns)
-    return measures.resummed(sums.join(pieces, PIECE), [*RANGE, *names], columns)
+    joined = salted_join(sums, pieces, PIECE, [*PIECE, *names])
+    return measures.resummed(joined, [*RANGE, *names], columns)
 
 
 def _top(rows: DataFrame, calls: DataFrame, family: str, order: list[Column]) -> DataFrame:
@@ -122,14 +124,20 @@ def _top(rows: DataFrame, calls: DataFrame, family: str, order: list[Column]) ->
     by = [*RANGE, "min_orders"] if call.uses_min_orders else RANGE
     wanted = calls.select(*by).distinct()
     count = next((c for c in ("order_count", "participating_order_count") if c in rows.columns), None)
-    matched = rows.join(wanted, RANGE)
+    name = next(c for c in rows.columns if c not in RANGE)
+    matched = salted_join(rows, wanted, RANGE, [name])
     if call.uses_min_orders:
         matched = matched.filter(F.col(count) >= F.col("min_orders"))
     ranked = matched.withColumn("row_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     if call.top_k:
         ranked = ranked.filter(F.col("row_rank") <= call.top_k)
-    out = calls.select("request_id", "call_no", *by).join(ranked, by)
-    return decimals_to_double(out.drop(*by))
+    return decimals_to_double(_to_requests(calls, ranked, by))
+
+
+def _to_requests(calls: DataFrame, rows: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Hands the few rows of a call to all requests that make it; most requests may share one range."""
+    out = salted_join(calls.select("request_id", "call_no", *by), rows, by, ["request_id"], how)
+    return out.drop(*[c for c in by if c != "seller_id"])
 
 
 def _grouped(
@@ -161,7 +169,7 @@ def _sales(marts: Marts, requests: DataFrame) -> DataFrame:
     done = marts.orders.filter(F.col("order_status") == measures.DELIVERED)
     sums = _range_sums(calls, marts.orders, done, [], [], metrics.SALES_COLUMNS)
     rows = sums.select(*RANGE, *measures.formulas(metrics.SALES_COLUMNS))
-    out = calls.select("request_id", "call_no", *RANGE).join(rows, RANGE, "left").drop(*RANGE)
+    out = _to_requests(calls, rows, RANGE, "left")
     return decimals_to_double(out.withColumn("order_count", F.coalesce("order_count", F.lit(0))))
 
 
@@ -189,15 +197,15 @@ def _seller(marts: Marts, requests: DataFrame) -> DataFrame:
     calls = _calls_of(requests, "seller")
     columns = metrics.SELLER_COLUMNS
     pieces = _pieces(calls, _span(marts.orders))
-    sums = _piece_sums(marts.seller_orders, [F.col("seller_id")], ["seller_id"], columns).join(pieces, PIECE)
+    by_piece = _piece_sums(marts.seller_orders, [F.col("seller_id")], ["seller_id"], columns)
+    sums = salted_join(by_piece, pieces, PIECE, [*PIECE, "seller_id"])
     per_seller = measures.resummed(sums, [*RANGE, "seller_id"], columns)
     baseline = metrics.peer_baseline(per_seller, RANGE)
     targets = calls.select(*RANGE, "seller_id").distinct()
     rows = per_seller.join(targets, [*RANGE, "seller_id"]).select(
         *RANGE, "seller_id", *measures.formulas(columns)
     ).join(baseline, RANGE, "left")
-    out = calls.select("request_id", "call_no", *RANGE, "seller_id").join(rows, [*RANGE, "seller_id"])
-    return decimals_to_double(out.drop(*RANGE))
+    return decimals_to_double(_to_requests(calls, rows, [*RANGE, "seller_id"]))
 
 
 def _review_samples(marts: Marts, requests: DataFrame) -> DataFrame:
@@ -223,9 +231,8 @@ def _review_samples(marts: Marts, requests: DataFrame) -> DataFrame:
     by_day = best(samples, ["bucket"]).drop("row_rank")
     by_month = best(by_day.withColumn("bucket", F.trunc("bucket", "month")), ["bucket"]).drop("row_rank")
     both = by_day.withColumn("grain", F.lit("D")).unionByName(by_month.withColumn("grain", F.lit("M")))
-    rows = best(both.join(_pieces(calls, _span(marts.orders)), PIECE), RANGE)
-    out = calls.select("request_id", "call_no", *RANGE).join(rows, RANGE)
-    return decimals_to_double(out.drop(*RANGE, *PIECE, "review_created_at"))
+    rows = best(salted_join(both, _pieces(calls, _span(marts.orders)), PIECE, ["review_id"]), RANGE)
+    return decimals_to_double(_to_requests(calls, rows, RANGE).drop(*PIECE, "review_created_at"))
 
 
 def run_plan(marts: Marts, requests: DataFrame, families: Iterable[str] | None = None) -> dict[str, DataFrame]:

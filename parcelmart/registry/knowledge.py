@@ -11,25 +11,30 @@ from parcelmart.functions.tokens import tokenize
 from parcelmart.functions.vectors import cosine_similarity, hash_embedding
 from parcelmart.operators import knowledge as k
 from parcelmart.operators import retrieval as r
-from parcelmart.plans.ingest import ingest_knowledge, ready_chunks
+from parcelmart.plans.ingest import ingest_knowledge, pending_documents, read_knowledge, ready_chunks
 from parcelmart.session import shared_folder
 from parcelmart.sources import testdata as td
 
 # The oracle has no blake2b, so compared jobs hash tokens with md5; the scheme is the same.
 CHECKED_DIGEST = "md5"
-_corpora: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
+_corpora: dict[tuple[str, str, str], str] = {}
 
 
-def corpus(spark: SparkSession, folder: str, kind: str = CHECKED_DIGEST) -> tuple[DataFrame, DataFrame]:
-    """Ingested (documents, chunks) of a test folder; written once per application."""
+def corpus_folder(spark: SparkSession, folder: str, kind: str = CHECKED_DIGEST) -> str:
+    """Where the corpus of a test folder is ingested; done once per application."""
     key = (spark.sparkContext.applicationId, folder, kind)
     if key not in _corpora:
         name = hashlib.sha256(f"{folder}/{kind}".encode()).hexdigest()[:12]
         target = shared_folder(spark, f"knowledge-{name}")
-        _corpora[key] = ingest_knowledge(spark, td.x_markdown(spark, folder), target, order="doc_id", kind=kind)
+        ingest_knowledge(spark, td.x_markdown(spark, folder), target, order="doc_id", kind=kind)
+        _corpora[key] = target
     return _corpora[key]
 
 
+def corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return read_knowledge(spark, corpus_folder(spark, folder))
+
+
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return td.spread(ready_chunks(*corpus(spark, folder)))
 
@@ -39,7 +44,7 @@ def queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, folder: str) -> DataFrame:
-    return td.x_gold(spark, folder, corpus(spark, folder)[0])
+    return td.x_gold(spark, folder, pending_documents(spark, corpus_folder(spark, folder)))
 
 
 def _flat_chunks(df: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from parcelmart.operators.joins import salted_join
 from parcelmart.operators.runlog import EVENT_SCHEMA, terminal
 
 FILES_PER_BATCH = 1000
+SNAPSHOT_EVERY = 100
+ENDS_SCHEMA = "run_id bigint, end_sequence bigint"
 
 
 def event_stream(spark: SparkSession, source: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
@@ -24,7 +27,8 @@ def tail_events(
 
     A run ends with its first terminal event; what comes later is not delivered. Each batch writes its
     own folders, so a batch that is repeated after a failure replaces itself and nothing is delivered
-    twice. Ends of runs are kept as a small table (one row per ended run) beside the delivered events.
+    twice. Ends of runs are kept as a small table (one row per ended run) beside the delivered events; every
+    hundredth batch writes it whole, the others only what they add, so a batch reads few folders.
     """
     events = event_stream(spark, source, files_per_batch).filter(F.col("sequence") > cursor)
     if run_id is not None:
@@ -32,17 +36,22 @@ def tail_events(
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         own = batch.sparkSession
+
+        def ends_of(numbers: range) -> DataFrame:
+            return own.read.schema(ENDS_SCHEMA).parquet(*[f"{target}/ends/batch={i}" for i in numbers])
+
         ends = batch.filter(terminal()).groupBy("run_id").agg(F.min("sequence").alias("end_sequence"))
-        open_part = batch
-        if batch_id > 0:
-            ended = own.read.schema("run_id bigint, end_sequence bigint").parquet(
-                *[f"{target}/ends/batch={i}" for i in range(batch_id)]
-            )
-            open_part = batch.join(ended.select("run_id"), "run_id", "left_anti")
-            ends = ends.join(ended.select("run_id"), "run_id", "left_anti")
+        still_open = batch
+        if batch_id:
+            since = (batch_id - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+            earlier = ends_of(range(since, batch_id))
+            still_open = salted_join(batch, earlier.select("run_id"), ["run_id"], ["sequence"], "left_anti")
+            ends = ends.join(earlier.select("run_id"), "run_id", "left_anti")
+            if batch_id % SNAPSHOT_EVERY == 0:
+                ends = ends.unionByName(earlier)
         ends.write.mode("overwrite").parquet(f"{target}/ends/batch={batch_id}")
-        just_ended = own.read.schema("run_id bigint, end_sequence bigint").parquet(f"{target}/ends/batch={batch_id}")
-        kept = open_part.join(just_ended, "run_id", "left").filter(
+        known = ends_of(range(batch_id, batch_id + 1))
+        kept = salted_join(still_open, known, ["run_id"], ["sequence"], "left").filter(
             F.col("end_sequence").isNull() | (F.col("sequence") <= F.col("end_sequence"))
         )
         kept.select("run_id", "sequence", "event_type", "payload", "created_at").write.mode("overwrite").parquet(
