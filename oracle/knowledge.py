@@ -73,6 +73,7 @@ SQL["doc_title"] = """SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^#{1,6}
 SQL["dedup_documents"] = """SELECT doc_id, sha256(text) AS content_hash, stem FROM x_docs
     WHERE doc_id IN (SELECT max(doc_id) FROM documents GROUP BY text)"""
 SQL["heading_path"] = "SELECT document_id, ordinal, heading_path FROM k_chunks"
+SQL["chunk_identity"] = "SELECT chunk_id, document_id, ordinal, token_count FROM k_chunks"
 SQL["chunk_documents"] = """SELECT chunk_id, document_id, title, ordinal, heading_path, content, token_count
     FROM k_chunks"""
 
@@ -164,6 +165,8 @@ CTE["c_lexical"] = """SELECT h.query_id, h.chunk_id, CAST(title_hits AS INT) AS
 CTE["top_lexical"] = "SELECT * FROM c_lexical WHERE fts_rank <= 30"
 SQL["lexical_candidates"] = """SELECT query_id, chunk_id, fts_rank, title_hits, lexical_hits, fts_score FROM top_lexical"""
 
+SQL["fts_score"] = "SELECT query_id, chunk_id, fts_score FROM c_lexical WHERE fts_rank <= 200"
+
 _embedding("c", "k_texts", "chunk_id", "full_text")
 _embedding("q", "q_all", "query_id", "query")
 CTE["c_norms"] = "SELECT chunk_id, sqrt(sum(value * value)) AS norm FROM c_vec GROUP BY 1"
@@ -185,6 +188,7 @@ _COSINE = "round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid),
 SQL["vector_candidates_centroids"] = f"""SELECT query_id, vec_id, vector_rank, vector_score FROM (
     SELECT l.label AS query_id, vec_id, {_COSINE} AS vector_score, CAST(row_number() OVER (PARTITION BY l.label
       ORDER BY {_COSINE} DESC, vec_id) AS INT) AS vector_rank FROM embeddings, e_lists l) WHERE vector_rank <= 30"""
+SQL["vector_candidates_lsh_all_codes"] = SQL["vector_candidates_centroids"]
 SQL["cosine_similarity"] = f"""SELECT vec_id, {_COSINE} AS similarity FROM embeddings e
     JOIN e_lists l ON e.label = l.label"""
 
@@ -235,6 +239,7 @@ SQL["search_log"] = """SELECT q.query_id, q.query, 'hybrid' AS retrieval_mode,
     LEFT JOIN (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY result_rank) AS ids FROM best_ GROUP BY 1) b
       ON b.query_id = q.query_id"""
 
+SQL["write_search_log"] = SQL["search_log"]
 CTE["q_gold"] = """SELECT DISTINCT item_id AS query_id, title FROM benchmark b, k_docs d WHERE contains(d.plain, b.text)"""
 
 

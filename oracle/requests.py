@@ -255,6 +255,7 @@ CTE["x_events"] = f"""SELECT event_id AS sequence, user_id AS run_id,
       WHEN 'error' THEN 'run.failed' WHEN 'purchase' THEN 'run.completed' END AS event_type,
     CASE WHEN event_type = 'view' THEN '{{"content": "w' || {_K} || ' "}}' ELSE props END AS payload, ts AS created_at
     FROM events"""
+SQL["write_event_log"] = "SELECT * FROM x_events"
 SQL["events_after"] = """SELECT sequence, event_type, payload, created_at FROM x_events WHERE run_id = 8 AND sequence > 50
     ORDER BY sequence LIMIT 100"""
 SQL["pages_after"] = """SELECT * EXCLUDE (position) FROM (SELECT e.run_id, sequence, event_type, payload, created_at,

@@ -41,6 +41,9 @@ SQL["order_review_agg"] = f"""SELECT order_id, {_SCORE} AS review_score, review_
     first_review_at FROM o_reviews"""
 SQL["order_timing"] = f"""SELECT order_id, is_late, {DAYS.format('late_md')} AS late_days,
     {DAYS.format('delivery_md')} AS delivery_days FROM o_timing"""
+SQL["late_flag"] = "SELECT order_id, is_late FROM o_timing"
+SQL["late_days"] = f"SELECT order_id, {DAYS.format('late_md')} AS late_days FROM o_timing"
+SQL["delivery_days"] = f"SELECT order_id, {DAYS.format('delivery_md')} AS delivery_days FROM o_timing"
 SQL["mart_order_fulfillment"] = f"""SELECT order_id, customer_id, customer_unique_id, customer_city, customer_state,
     order_status, purchased_at, approved_at, carrier_at, delivered_at, estimated_at, is_late,
     {DAYS.format('late_md')} AS late_days, {DAYS.format('delivery_md')} AS delivery_days, item_count, seller_count,
@@ -267,6 +270,14 @@ SQL["layer_row_counts"] = " UNION ALL ".join(
         CAST(min(purchased_at) AS DATE) AS start_date, CAST(max(purchased_at) AS DATE) AS end_date FROM x_orders"""]
     + [f"SELECT '{a}', '{b}', count(*), CAST(NULL AS DATE), CAST(NULL AS DATE) FROM {c}" for a, b, c in _LAYERS]
 )
+SQL["read_raw_csv"] = SQL["stg_reviews"]
+SQL["load_raw"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {t}" for layer, name, t in _LAYERS if layer == "raw"
+)
+SQL["refresh_marts"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {t}" for layer, name, t in _LAYERS if layer == "mart"
+)
+SQL["write_metric_report"] = SQL["dq_report"]
 SQL["assert_unique"] = """SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem
     GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
 

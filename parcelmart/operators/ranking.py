@@ -11,11 +11,12 @@ shards as well, and each task gets one shard of either side; results are the sam
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,16 @@ CELLS_PER_BLOCK = 8_000_000
 Scorer = Callable[[pd.DataFrame], tuple[np.ndarray, dict[str, np.ndarray]]]
 
 
+@dataclass(frozen=True)
+class Listing:
+    """One ranked list per query: how rows score, which columns break ties (ascending), which scores to keep."""
+
+    name: str
+    build: Callable[[pd.DataFrame], Scorer]
+    ties: tuple[str, ...]
+    scores: tuple[str, ...]
+
+
 class _RunningTop:
     """Best n of the rows seen so far for one query: larger score first, then smaller tie-break values."""
 
@@ -54,84 +65,101 @@ class _RunningTop:
 
 
 def _scan(
-    batches: Iterable[pd.DataFrame], queries: pd.DataFrame, build: Callable[[pd.DataFrame], Scorer], n: int,
-    key: str, payload: list[str], ties: list[str], scores: list[str],
+    batches: Iterable[pd.DataFrame], queries: pd.DataFrame, listings: Sequence[Listing], n: int, key: str,
+    payload: list[str],
 ) -> Iterator[pd.DataFrame]:
+    all_scores = [s for listing in listings for s in listing.scores]
+    columns = [key, "listing", "primary_score", *payload, *all_scores]
     if queries.empty:
-        yield pd.DataFrame(columns=[key, "primary_score", *payload, *scores])
+        yield pd.DataFrame(columns=columns)
         return
-    score = build(queries)
-    tops = [_RunningTop(n) for _ in range(len(queries))]
-    step = max(1, CELLS_PER_BLOCK // max(1, len(queries)))
+    scorers = [listing.build(queries) for listing in listings]
+    tops = [[_RunningTop(n) for _ in range(len(queries))] for _ in listings]
+    step = max(1, CELLS_PER_BLOCK // len(queries))
     for batch in batches:
         for first in range(0, len(batch), step):
             block = batch.iloc[first:first + step]
-            primary, named = score(block)
             rows = list(block[payload].itertuples(index=False, name=None))
-            tie_values = list(block[ties].itertuples(index=False, name=None))
-            for q, top in enumerate(tops):
-                top.offer(primary[:, q], rows, tie_values, {name: named[name][:, q] for name in scores})
-    out = [
-        (query_key, float(-negated), *row, *(value.item() for value in values))
-        for query_key, top in zip(queries[key], tops, strict=True) for negated, _, row, values in top.kept
-    ]
-    yield pd.DataFrame(out, columns=[key, "primary_score", *payload, *scores])
+            for listing, score, lists in zip(listings, scorers, tops, strict=True):
+                primary, named = score(block)
+                ties = list(block[list(listing.ties)].itertuples(index=False, name=None))
+                for q, top in enumerate(lists):
+                    top.offer(primary[:, q], rows, ties, {s: named[s][:, q] for s in listing.scores})
+    out = []
+    for listing, lists in zip(listings, tops, strict=True):
+        before = all_scores.index(listing.scores[0])
+        after = len(all_scores) - before - len(listing.scores)
+        for query_key, top in zip(queries[key], lists, strict=True):
+            out += [
+                (query_key, listing.name, float(-negated), *row, *[None] * before, *(v.item() for v in values), *[None] * after)
+                for negated, _, row, values in top.kept
+            ]
+    yield pd.DataFrame(out, columns=columns)
 
 
 def scan_top_n(
-    table: DataFrame, queries: DataFrame, build: Callable[[pd.DataFrame], Scorer], *, key: str, n: int,
-    needs: list[str], payload: list[str], ties: list[str], scores: list[str], rank: str,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
+    table: DataFrame, queries: DataFrame, listings: Sequence[Listing], *, key: str, n: int, needs: list[str],
+    payload: list[str], max_broadcast: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
-    """Top ``n`` rows of ``table`` per query, ranked in column ``rank`` (1 is best).
+    """Top ``n`` rows of ``table`` per query and listing, all listings in one scan.
 
-    ``needs`` are the columns the scorer reads, ``payload`` those handed through, ``ties`` (part of the
-    payload) break equal scores in ascending order, ``scores`` are output score columns (double).
+    ``needs`` are columns only the scorers read, ``payload`` those handed through (ties included). The
+    result has the key, ``listing``, the payload, the scores of all listings (double, NULL in rows of
+    another one) and ``list_rank`` from 1.
     """
-    columns = list(dict.fromkeys([*payload, *needs]))
-    source = table.select(*columns)
+    source = table.select(*dict.fromkeys([*payload, *needs]))
     types = {f.name: f.dataType for f in source.schema.fields}
     schema = T.StructType([
-        queries.schema[key], T.StructField("primary_score", T.DoubleType()),
-        *[T.StructField(p, types[p]) for p in payload], *[T.StructField(s, T.DoubleType()) for s in scores],
+        queries.schema[key], T.StructField("listing", T.StringType()), T.StructField("primary_score", T.DoubleType()),
+        *[T.StructField(p, types[p]) for p in payload],
+        *[T.StructField(s, T.DoubleType()) for listing in listings for s in listing.scores],
     ])
     head = queries.limit(max_broadcast + 1).toPandas()
     if len(head) <= max_broadcast:
         def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            return _scan(batches, head, build, n, key, payload, ties, scores)
+            return _scan(batches, head, listings, n, key, payload)
 
         found = source.mapInPandas(local, schema)
     else:
-        found = _grid(source, queries, build, n, key, payload, ties, scores, schema, max_broadcast)
-    return _merge(found, key, ties, n, rank)
+        found = _grid(source, queries, listings, n, key, payload, schema, max_broadcast)
+    return _merge(found, key, listings, n)
 
 
-def _merge(found: DataFrame, key: str, ties: list[str], n: int, rank: str) -> DataFrame:
+def _merge(found: DataFrame, key: str, listings: Sequence[Listing], n: int) -> DataFrame:
     """Best n of the tasks' lists. Lists of one query meet in lanes first, as there is one per task."""
-    order = [F.desc("primary_score"), *[F.asc(t) for t in ties]]
+    ties = [
+        F.col(t) if len(listings) == 1 else F.when(F.col("listing") == listing.name, F.col(t))
+        for listing in listings for t in listing.ties
+    ]
+    order = [F.desc("primary_score"), *[t.asc() for t in ties]]
 
     def best(df: DataFrame, by: list[str]) -> DataFrame:
-        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= n)
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return df.withColumn("list_rank", rank).filter(F.col("list_rank") <= n)
 
-    lanes = best(found.withColumn("lane", F.spark_partition_id() % MERGE_LANES), [key, "lane"])
-    return best(lanes.drop("lane", rank), [key]).drop("primary_score")
+    lanes = best(found.withColumn("lane", F.spark_partition_id() % MERGE_LANES), [key, "listing", "lane"])
+    return best(lanes.drop("lane", "list_rank"), [key, "listing"]).drop("primary_score")
 
 
-def _grid(source, queries, build, n, key, payload, ties, scores, schema, max_broadcast) -> DataFrame:
+def _grid(
+    source: DataFrame, queries: DataFrame, listings: Sequence[Listing], n: int, key: str, payload: list[str],
+    schema: T.StructType, max_broadcast: int,
+) -> DataFrame:
     query_shards = -(-queries.count() // max_broadcast) * 2
     row_shards = max(1, -(-source.count() // GRID_ROWS))
 
-    def shard(by: list[str], shards: int):
+    def shard(by: list[str], shards: int) -> Column:
         return F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")
 
-    def every(shards: int):
+    def every(shards: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
 
-    left = source.withColumn("row_shard", shard(ties, row_shards)).withColumn("query_shard", every(query_shards))
+    row_id = list(dict.fromkeys(t for listing in listings for t in listing.ties))
+    left = source.withColumn("row_shard", shard(row_id, row_shards)).withColumn("query_shard", every(query_shards))
     right = queries.withColumn("query_shard", shard([key], query_shards)).withColumn("row_shard", every(row_shards))
 
     def cell(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        return next(_scan([rows], some, build, n, key, payload, ties, scores))
+        return next(_scan([rows], some, listings, n, key, payload))
 
     return left.groupBy("query_shard", "row_shard").cogroup(
         right.groupBy("query_shard", "row_shard")

@@ -1,7 +1,7 @@
 """Hybrid retrieval: a table of queries against a table of chunks.
 
-Lexical and vector candidates come from one scan each (``operators.ranking``), are fused by weighted
-reciprocal ranks and cut to the best few per query.
+Lexical and vector candidates come from one scan of the chunks (``operators.ranking``), are fused by
+weighted reciprocal ranks and cut to the best few per query.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from parcelmart.functions.patterns import PatternSet
 from parcelmart.functions.text import excerpt, flag_injection, strip
 from parcelmart.functions.tokens import tokenize
 from parcelmart.functions.vectors import DIMENSIONS, hash_embedding, hyperplanes, sign_codes
-from parcelmart.operators.ranking import MAX_BROADCAST_QUERIES, Scorer, scan_top_n
+from parcelmart.operators.ranking import MAX_BROADCAST_QUERIES, Listing, Scorer, scan_top_n
 
 MAX_TERMS = 18
 CANDIDATES = 30
@@ -110,22 +110,44 @@ def _lexical_scorer(queries: pd.DataFrame) -> Scorer:
 CHUNK_COLUMNS = ["chunk_id", "document_id", "title", "ordinal", "heading_path", "content"]
 
 
+LEXICAL = Listing(
+    "lexical", _lexical_scorer, ("title", "ordinal", "chunk_id"), ("title_hits", "lexical_hits", "fts_score")
+)
+
+
+def _candidates(
+    chunks: DataFrame, queries: DataFrame, listings: list[Listing], n: int, max_broadcast: int = MAX_BROADCAST_QUERIES
+) -> DataFrame:
+    """Candidate lists of all ``listings`` from one scan of the chunks, one row per list entry."""
+    vector = any(listing.name == "vector" for listing in listings)
+    lexical = any(listing.name == "lexical" for listing in listings)
+    of_query = ["query_id", *(["terms"] if lexical else []), *(["query_embedding"] if vector else [])]
+    found = scan_top_n(
+        chunks, queries.select(*of_query), listings, key="query_id", n=n,
+        needs=["embedding"] if vector else [], payload=CHUNK_COLUMNS, max_broadcast=max_broadcast,
+    )
+    if lexical:
+        found = found.withColumns({c: F.col(c).cast("int") for c in ("title_hits", "lexical_hits")})
+    return _without_nan(found) if vector else found
+
+
 def lexical_candidates(
     chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, max_broadcast: int = MAX_BROADCAST_QUERIES
 ) -> DataFrame:
     """Best n chunks per query by terms met in the title, terms met at all, matching word positions."""
-    found = scan_top_n(
-        chunks, queries.select("query_id", "terms"), _lexical_scorer, key="query_id", n=n, needs=[],
-        payload=CHUNK_COLUMNS, ties=["title", "ordinal", "chunk_id"],
-        scores=["title_hits", "lexical_hits", "fts_score"], rank="fts_rank", max_broadcast=max_broadcast,
-    )
-    return found.withColumn("title_hits", F.col("title_hits").cast("int")).withColumn(
-        "lexical_hits", F.col("lexical_hits").cast("int")
-    )
+    found = _candidates(chunks, queries, [LEXICAL], n, max_broadcast)
+    return found.drop("listing").withColumnRenamed("list_rank", "fts_rank")
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def _stack(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as a matrix, and which rows have one."""
+    present = column.notna().to_numpy()
+    if not present.any():
+        return np.zeros((len(column), 1)), present
+    known = np.stack(column[present].to_numpy()).astype(np.float64)
+    out = np.zeros((len(column), known.shape[1]))
+    out[present] = known
+    return out, present
 
 
 def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,18 +161,24 @@ def vector_scorer(
 ) -> Callable[[pd.DataFrame], Scorer]:
     """Cosine similarity as one matrix product per block.
 
-    A row without direction (all zero) ranks behind every other row and has no score; a query without
-    direction finds nothing. With ``code`` only rows whose sign code is within ``radius`` bits count.
+    A row without direction (all zero) ranks behind every other row and has no score; a row without a
+    vector is no candidate; a query without direction finds nothing. With ``code`` only rows whose sign
+    code is within ``radius`` bits count.
     """
     def build(queries: pd.DataFrame) -> Scorer:
-        raw = _stack(queries[query_vector])
+        raw, _ = _stack(queries[query_vector])
         targets, usable = _unit(raw)
         codes = sign_codes(raw, planes) if code else None
 
         def score(block: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-            rows, directed = _unit(_stack(block[vector]))
+            vectors, present = _stack(block[vector])
+            if not present.any():
+                nothing = np.full((len(block), len(queries)), -np.inf)
+                return nothing, {"vector_score": nothing}
+            rows, directed = _unit(vectors)
             value = np.round(rows @ targets.T, 8) + 0.0
             primary = np.where(directed[:, None], value, -2.0)
+            primary[~present] = -np.inf
             primary[:, ~usable] = -np.inf
             if code:
                 apart = np.bitwise_count(block[code].to_numpy()[:, None] ^ codes[None, :])
@@ -162,15 +190,25 @@ def vector_scorer(
     return build
 
 
+VECTOR = Listing("vector", vector_scorer(), ("chunk_id",), ("vector_score",))
+
+
 def vector_candidates(
     chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, max_broadcast: int = MAX_BROADCAST_QUERIES
 ) -> DataFrame:
     """Nearest n chunks per query by cosine similarity; exact."""
-    return _without_nan(scan_top_n(
-        chunks.filter("embedding IS NOT NULL"), queries.select("query_id", "query_embedding"), vector_scorer(),
-        key="query_id", n=n, needs=["embedding"], payload=CHUNK_COLUMNS, ties=["chunk_id"],
-        scores=["vector_score"], rank="vector_rank", max_broadcast=max_broadcast,
-    ))
+    found = _candidates(chunks.filter("embedding IS NOT NULL"), queries, [VECTOR], n, max_broadcast)
+    return found.drop("listing").withColumnRenamed("list_rank", "vector_rank")
+
+
+def nearest_vectors(
+    table: DataFrame, queries: DataFrame, n: int = CANDIDATES, *, payload: list[str], ties: list[str],
+    key: str = "query_id",
+) -> DataFrame:
+    """Nearest n rows of any table with an ``embedding`` per query vector (``query_embedding``)."""
+    listing = Listing("vector", vector_scorer(), tuple(ties), ("vector_score",))
+    found = scan_top_n(table, queries, [listing], key=key, n=n, needs=["embedding"], payload=payload)
+    return _without_nan(found).drop("listing").withColumnRenamed("list_rank", "vector_rank")
 
 
 def _without_nan(found: DataFrame) -> DataFrame:
@@ -207,23 +245,47 @@ def vector_candidates_lsh(
     wanted = [r["c"] for r in probed.collect()]
     near = [c for c in range(1 << bits) if any((c ^ w).bit_count() <= radius for w in wanted)]
     build = vector_scorer(vector, query_vector, "sign_code", radius, hyperplanes(dimensions, bits, seed))
-    return _without_nan(scan_top_n(
-        index.filter(F.col("sign_code").isin(near)), queries.select(key, query_vector), build, key=key, n=n,
-        needs=[vector, "sign_code"], payload=payload, ties=ties, scores=["vector_score"], rank="vector_rank",
-    ))
+    found = scan_top_n(
+        index.filter(F.col("sign_code").isin(near)), queries.select(key, query_vector),
+        [Listing("vector", build, tuple(ties), ("vector_score",))], key=key, n=n, needs=[vector, "sign_code"],
+        payload=payload,
+    )
+    return _without_nan(found).drop("listing").withColumnRenamed("list_rank", "vector_rank")
 
 
 # --- fusion --------------------------------------------------------------------------------------------
 
 
+SCORE_TYPES = {"title_hits": "int", "lexical_hits": "int", "fts_score": "double", "vector_score": "double"}
+
+
 def rrf_fuse(
     lexical: DataFrame | None, vector: DataFrame | None, mode: str = "hybrid", k: int = RRF_K,
     fts_weight: float = FTS_WEIGHT, vector_weight: float = VECTOR_WEIGHT, candidates: int = CANDIDATES,
 ) -> DataFrame:
     """Union of both candidate lists with reciprocal-rank scores (rounded to 8 places)."""
+    parts = []
+    for name, rank, frame in (("lexical", "fts_rank", lexical), ("vector", "vector_rank", vector)):
+        if frame is not None:
+            parts.append(frame.withColumnRenamed(rank, "list_rank").withColumn("listing", F.lit(name)))
+    entries = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return fuse_entries(entries, mode, k, fts_weight, vector_weight, candidates)
+
+
+def fuse_entries(
+    entries: DataFrame, mode: str = "hybrid", k: int = RRF_K, fts_weight: float = FTS_WEIGHT,
+    vector_weight: float = VECTOR_WEIGHT, candidates: int = CANDIDATES,
+) -> DataFrame:
+    """List entries -> one row per (query, chunk). The lists are short; grouping them takes no join."""
     if mode not in MODES:
         raise ValueError(f"Unsupported retrieval mode: {mode}")
-    either = _union_of_lists(lexical, vector)
+    gaps = {c: F.lit(None).cast(t) for c, t in SCORE_TYPES.items() if c not in entries.columns}
+    rank_in = lambda name: F.max(F.when(F.col("listing") == name, F.col("list_rank")))
+    merged = entries.withColumns(gaps).groupBy("query_id", "chunk_id").agg(
+        *[F.any_value(c).alias(c) for c in CHUNK_COLUMNS if c != "chunk_id"],
+        *[F.max(c).alias(c) for c in SCORE_TYPES],
+        rank_in("lexical").alias("fts_rank"), rank_in("vector").alias("vector_rank"),
+    ).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fts_score", "lexical_hits", "title_hits")})
 
     def part(rank: str, weight: float) -> Column:
         return F.coalesce(F.lit(weight) / (F.col(rank) + k), F.lit(0.0))
@@ -233,26 +295,7 @@ def rrf_fuse(
     else:
         rank = "fts_rank" if mode == "fts" else "vector_rank"
         fused = F.lit(1.0) / (F.coalesce(rank, F.lit(candidates + 1)) + k)
-    return either.withColumn("fused_score", fused).withColumn("rrf_score", F.round("fused_score", 8))
-
-
-def _union_of_lists(lexical: DataFrame | None, vector: DataFrame | None) -> DataFrame:
-    """One row per (query, chunk). Both lists are short; grouping them takes no join."""
-    missing = {
-        "fts_score": "double", "lexical_hits": "int", "title_hits": "int", "fts_rank": "int",
-        "vector_score": "double", "vector_rank": "int",
-    }
-    parts = []
-    for frame in (lexical, vector):
-        if frame is not None:
-            gaps = {c: F.lit(None).cast(t) for c, t in missing.items() if c not in frame.columns}
-            parts.append(frame.withColumns(gaps).select("query_id", *CHUNK_COLUMNS, *missing))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    merged = both.groupBy("query_id", "chunk_id").agg(
-        *[F.any_value(c).alias(c) for c in CHUNK_COLUMNS if c != "chunk_id"],
-        *[F.max(c).alias(c) for c in missing],
-    )
-    return merged.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fts_score", "lexical_hits", "title_hits")})
+    return merged.withColumn("fused_score", fused).withColumn("rrf_score", F.round("fused_score", 8))
 
 
 def rerank_bonus(terms: Column, title: Column, heading_path: Column) -> Column:
@@ -271,11 +314,8 @@ def hybrid_search(
         raise ValueError(f"Unsupported retrieval mode: {mode}")
     wanted = max(1, min(limit, 20))
     n = max(wanted, min(candidate_k, 200))
-    fused = rrf_fuse(
-        lexical_candidates(chunks, queries, n) if mode != "vector" else None,
-        vector_candidates(chunks, queries, n) if mode != "fts" else None,
-        mode, k, fts_weight, vector_weight, n,
-    )
+    listings = {"hybrid": [LEXICAL, VECTOR], "fts": [LEXICAL], "vector": [VECTOR]}[mode]
+    fused = fuse_entries(_candidates(chunks, queries, listings, n), mode, k, fts_weight, vector_weight, n)
     return best_results(fused, queries, wanted, mode, rerank)
 
 

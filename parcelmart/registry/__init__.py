@@ -10,6 +10,6 @@ Job = Callable[[SparkSession, str], DataFrame]
 
 
 def all_jobs() -> dict[str, Job]:
-    from parcelmart.registry import knowledge, requests, warehouse
+    from parcelmart.registry import knowledge, requests, sources, warehouse
 
-    return {**warehouse.jobs(), **knowledge.jobs(), **requests.jobs()}
+    return {**warehouse.jobs(), **knowledge.jobs(), **requests.jobs(), **sources.jobs()}

@@ -36,7 +36,7 @@ def corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return td.spread(ready_chunks(*corpus(spark, folder)))
+    return ready_chunks(*corpus(spark, folder))
 
 
 def queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,21 +84,20 @@ def _ranks(df: DataFrame) -> DataFrame:
     )
 
 
-def _lsh(spark: SparkSession, folder: str) -> DataFrame:
+def _lsh(spark: SparkSession, folder: str, radius: int) -> DataFrame:
     vectors = td.table(spark, folder, "embeddings")
     path = shared_folder(spark, f"vector-index-{hashlib.sha256(folder.encode()).hexdigest()[:12]}")
-    r.write_vector_index(vectors, path, dimensions=64)
+    r.write_vector_index(vectors, path, dimensions=64, bits=6)
     return r.vector_candidates_lsh(
         spark.read.parquet(path), td.x_centroids(spark, folder), 30, payload=["vec_id"], ties=["vec_id"],
-        dimensions=64,
+        dimensions=64, bits=6, radius=radius,
     )
 
 
 def _nearest_to_centroid(spark: SparkSession, folder: str) -> DataFrame:
-    return r._without_nan(r.scan_top_n(
-        td.table(spark, folder, "embeddings"), td.x_centroids(spark, folder), r.vector_scorer(), key="query_id",
-        n=30, needs=["embedding"], payload=["vec_id"], ties=["vec_id"], scores=["vector_score"], rank="vector_rank",
-    ))
+    return r.nearest_vectors(
+        td.table(spark, folder, "embeddings"), td.x_centroids(spark, folder), payload=["vec_id"], ties=["vec_id"]
+    )
 
 
 def _centroid_cosine(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,11 +115,14 @@ def _fused(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _search_log(spark: SparkSession, folder: str) -> DataFrame:
+def search_log_rows(spark: SparkSession, folder: str) -> DataFrame:
     c, q = chunks(spark, folder), queries(spark, folder)
     lexical, vector = r.lexical_candidates(c, q), r.vector_candidates(c, q)
     results = r.best_results(r.rrf_fuse(lexical, vector), q, 5, "hybrid")
-    log = r.search_log(q, results, lexical, vector, "hybrid", 0.0)
+    return r.search_log(q, results, lexical, vector, "hybrid", 0.0)
+
+
+def flat_search_log(log: DataFrame) -> DataFrame:
     return log.select(
         "query_id", "query", "retrieval_mode", F.array_join("expanded_terms", " ").alias("expanded_terms"),
         "lexical_candidate_count", "vector_candidate_count",
@@ -141,6 +143,9 @@ def jobs() -> dict:
         "chunk_documents": lambda s, f: _flat_chunks(
             k.chunk_documents(k.knowledge_documents(td.x_markdown(s, f), "doc_id"))
         ),
+        "chunk_identity": lambda s, f: k.chunk_documents(k.knowledge_documents(td.x_markdown(s, f), "doc_id")).select(
+            "chunk_id", "document_id", "ordinal", "token_count"
+        ),
         "chunk_documents_by_line": lambda s, f: _flat_chunks(k.chunk_documents(_plain_documents(s, f), 600, "\n")),
         "tokenize": lambda s, f: td.documents(s, f).select("doc_id", tokenize("text").alias("t")).select(
             "doc_id", F.size("t").alias("tokens"), F.md5(F.array_join("t", " ")).alias("token_hash")
@@ -158,11 +163,15 @@ def jobs() -> dict:
         "lexical_candidates": lambda s, f: r.lexical_candidates(chunks(s, f), queries(s, f)).select(
             "query_id", "chunk_id", "fts_rank", "title_hits", "lexical_hits", "fts_score"
         ),
+        "fts_score": lambda s, f: r.lexical_candidates(chunks(s, f), queries(s, f), 200).select(
+            "query_id", "chunk_id", "fts_score"
+        ),
         "vector_candidates": lambda s, f: r.vector_candidates(chunks(s, f), queries(s, f)).select(
             "query_id", "chunk_id", "vector_rank", "vector_score"
         ),
         "vector_candidates_centroids": _nearest_to_centroid,
-        "vector_candidates_lsh": _lsh,
+        "vector_candidates_lsh": lambda s, f: _lsh(s, f, 2),
+        "vector_candidates_lsh_all_codes": lambda s, f: _lsh(s, f, 6),
         "cosine_similarity": _centroid_cosine,
         "rrf_fuse": _fused,
         "hybrid_search": lambda s, f: _ranks(_search(s, f)),
@@ -172,7 +181,7 @@ def jobs() -> dict:
         "search_excerpt": lambda s, f: r.search_excerpt(_search(s, f)).select(
             "query_id", "result_rank", "chunk_id", "excerpt"
         ),
-        "search_log": _search_log,
+        "search_log": lambda s, f: flat_search_log(search_log_rows(s, f)),
         "retrieval_first_hits": lambda s, f: r.first_hits(_search(s, f), gold(s, f)),
         "retrieval_eval": lambda s, f: r.retrieval_eval(_search(s, f), gold(s, f)),
         "retrieval_eval_fts": lambda s, f: r.retrieval_eval(_search(s, f, "fts"), gold(s, f)),

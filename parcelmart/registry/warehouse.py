@@ -56,6 +56,9 @@ def _mart_jobs() -> dict:
             "order_id", "is_late", "late_days", "delivery_days"
         ),
     }
+    for column in ("is_late", "late_days", "delivery_days"):
+        name = "late_flag" if column == "is_late" else column
+        jobs[name] = lambda s, f, c=column: build.order_timing(td.x_orders(s, f)).select("order_id", c)
     names = {
         "mart_order_fulfillment": "orders",
         "mart_seller_order_fulfillment": "seller_orders",

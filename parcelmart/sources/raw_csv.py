@@ -20,20 +20,28 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], table: str, multi_l
     )
 
 
-def raw_files(spark: SparkSession, folder: str) -> dict[str, list[str]]:
-    """Paths of each RAW table below ``folder`` on any file system; only names are listed, nothing is read."""
+def raw_files(spark: SparkSession, folder: str, by_folder: bool = False) -> dict[str, list[str]]:
+    """Paths of each RAW table below ``folder`` on any file system; only names are listed, nothing is read.
+
+    A table is told by its file name or, with ``by_folder``, by the folder its files lie in.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "*.csv"
     ).load(folder).select("path")
     paths = sorted(row["path"] for row in listed.toLocalIterator())
-    return {
-        table: [p for p in paths if fnmatch(p.rsplit("/", 1)[-1], glob)] for table, glob in RAW_FILE_GLOBS.items()
-    }
+
+    def belongs(path: str, table: str) -> bool:
+        *_, parent, name = path.split("/")
+        return parent == table if by_folder else fnmatch(name, RAW_FILE_GLOBS[table])
+
+    return {table: [p for p in paths if belongs(p, table)] for table in RAW_FILE_GLOBS}
 
 
-def load_raw(spark: SparkSession, folder: str, out: str, multi_line: bool = True) -> dict[str, int]:
+def load_raw(
+    spark: SparkSession, folder: str, out: str, multi_line: bool = True, files: dict[str, list[str]] | None = None
+) -> dict[str, int]:
     """Replaces every RAW table under ``out`` and returns the row counts; fails first if a file is missing."""
-    files = raw_files(spark, folder)
+    files = files or raw_files(spark, folder)
     missing = [table for table, paths in files.items() if not paths]
     if missing:
         raise FileNotFoundError(f"No CSV file for {', '.join(missing)} in {folder}")
