@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 MAX_BROADCAST_QUERIES = 4096
 GRID_ROWS = 20_000
 MERGE_LANES = 64
-CELLS_PER_BLOCK = 8_000_000
+CELLS_PER_BLOCK = 2_000_000
 
 # A scorer is built once per task from the queries; for a block of rows it returns the primary score per
 # (row, query), -inf where the row is no candidate, and named score matrices for the output.
@@ -82,9 +82,10 @@ def _scan(
             rows = list(block[payload].itertuples(index=False, name=None))
             for listing, score, lists in zip(listings, scorers, tops, strict=True):
                 primary, named = score(block)
+                by_query = np.ascontiguousarray(primary.T)
                 ties = list(block[list(listing.ties)].itertuples(index=False, name=None))
                 for q, top in enumerate(lists):
-                    top.offer(primary[:, q], rows, ties, {s: named[s][:, q] for s in listing.scores})
+                    top.offer(by_query[q], rows, ties, {s: named[s][:, q] for s in listing.scores})
     out = []
     for listing, lists in zip(listings, tops, strict=True):
         before = all_scores.index(listing.scores[0])

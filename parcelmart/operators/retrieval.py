@@ -77,28 +77,34 @@ def prepare_queries(
 
 
 def _lexical_scorer(queries: pd.DataFrame) -> Scorer:
+    """Counts per (row, query), added up from the terms a row really contains."""
     term_lists = [list(t) if t is not None else [] for t in queries["terms"]]
-    terms = sorted({t for some in term_lists for t in some})
-    index = {t: i for i, t in enumerate(terms)}
-    uses = np.zeros((len(terms), len(term_lists)))
+    users: dict[str, list[int]] = {}
     for q, some in enumerate(term_lists):
-        uses[[index[t] for t in some], q] = 1.0
-    patterns = PatternSet(terms, like_wildcards=True)
-
-    def matrix(found: list[dict[int, int]], counts: bool) -> np.ndarray:
-        out = np.zeros((len(found), len(terms)))
-        for row, hits in enumerate(found):
-            if hits:
-                out[row, list(hits)] = list(hits.values()) if counts else 1.0
-        return out
+        for term in some:
+            users.setdefault(term, []).append(q)
+    patterns = PatternSet(list(users), like_wildcards=True)
+    asked_by = np.array([q for some in users.values() for q in some], dtype=np.int64)
+    width = np.array([len(some) for some in users.values()], dtype=np.int64)
+    begin = np.cumsum(width) - width
+
+    def add_up(found: list[dict[int, int]], weighted: bool) -> np.ndarray:
+        rows = np.repeat(np.arange(len(found)), [len(hits) for hits in found])
+        terms = np.fromiter((t for hits in found for t in hits), np.int64, len(rows))
+        weights = np.fromiter((n for hits in found for n in hits.values()), float, len(rows)) if weighted else None
+        repeat = width[terms]
+        offset = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+        cell = np.repeat(rows, repeat) * len(term_lists) + asked_by[np.repeat(begin[terms], repeat) + offset]
+        values = np.repeat(weights, repeat) if weighted else None
+        return np.bincount(cell, values, len(found) * len(term_lists)).reshape(len(found), -1).astype(float)
 
     def score(block: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         per_title = {t: patterns.hits(t.lower()) for t in block["title"].unique()}
         titles = [per_title[t] for t in block["title"]]
         bodies = [patterns.hits(c.lower()) for c in block["content"]]
-        title_terms = matrix(titles, False)
-        either = np.maximum(title_terms, matrix(bodies, False))
-        title_hits, hits, words = title_terms @ uses, either @ uses, matrix(bodies, True) @ uses
+        title_hits = add_up(titles, False)
+        hits = add_up([t | b for t, b in zip(titles, bodies, strict=True)], False)
+        words = add_up(bodies, True)
         primary = np.where(hits > 0, title_hits * 1e12 + hits * 1e9 + words, -np.inf)
         return primary, {
             "title_hits": title_hits, "lexical_hits": hits, "fts_score": np.round(words * WORD_WEIGHT, 8)
