@@ -9,6 +9,7 @@ from parcelmart.functions.text import REDACTED_CHUNK, excerpt, flag_injection, s
 
 CITATION_CHARS = 240
 MAX_RESULT_ROWS = 10
+# The warnings a reader of results matches on.
 NO_ROWS = "No structured rows matched the requested filters."
 NO_KNOWLEDGE = "No matching policy chunk was found; recommendations are limited to data-supported observations."
 

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelmart.functions.patterns import PatternSet
+
 
 @dataclass(frozen=True)
 class Staging:
@@ -318,10 +321,6 @@ def x_gold(spark: SparkSession, folder: str, known: DataFrame) -> DataFrame:
 
 def _passage_finder(ids: list[int], texts: list[str]):
     def find(batches):
-        import pandas as pd
-
-        from parcelmart.functions.patterns import PatternSet
-
         patterns = PatternSet(texts)
         for batch in batches:
             out = [
