@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from parcelmart.functions.patterns import PatternSet
 from parcelmart.functions.text import excerpt, flag_injection, strip
 from parcelmart.functions.tokens import tokenize
-from parcelmart.functions.vectors import DIMENSIONS, hash_embedding, hyperplanes, sign_codes
+from parcelmart.functions.vectors import DIMENSIONS, hash_embedding, hyperplanes, sign_code, sign_codes
 from parcelmart.operators.ranking import MAX_BROADCAST_QUERIES, Listing, Scorer, scan_top_n
 
 MAX_TERMS = 18
@@ -27,6 +27,7 @@ WORD_WEIGHT = 0.1  # score of one matching word position
 BONUS_PER_TERM, BONUS_TERMS = 0.0001, 5
 MODES = ("hybrid", "fts", "vector")
 EXCERPT_CHARS = 800
+MAX_CODE_BITS = 12  # 4,096 folders at most
 
 # Fixed values: (trigger words, terms added to a query that contains one of them).
 SYNONYMS: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = (
@@ -229,8 +230,8 @@ def write_vector_index(
     seed: int = 7,
 ) -> None:
     """Writes the vectors in folders by sign code (2^bits at most); a crowded folder just has more files."""
-    from parcelmart.functions.vectors import sign_code
-
+    if not 1 <= bits <= MAX_CODE_BITS:
+        raise ValueError(f"bits must be from 1 to {MAX_CODE_BITS}")
     coded = vectors.withColumn("sign_code", sign_code(F.col(vector), dimensions, bits, seed))
     coded.hint("rebalance", "sign_code").write.mode("overwrite").partitionBy("sign_code").parquet(path)
 
@@ -245,8 +246,6 @@ def vector_candidates_lsh(
     The codes that any query probes are few (2^bits at most), so they become a partition filter and the
     other folders are never read.
     """
-    from parcelmart.functions.vectors import sign_code
-
     probed = queries.select(sign_code(F.col(query_vector), dimensions, bits, seed).alias("c")).distinct()
     wanted = [r["c"] for r in probed.collect()]
     near = [c for c in range(1 << bits) if any((c ^ w).bit_count() <= radius for w in wanted)]

@@ -5,6 +5,8 @@ Empty text is NULL; any other text that does not cast is an error (ANSI casts),
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,19 @@ MONEY = "decimal(14,2)"
 DIMENSION = "decimal(18,6)"
 
 
+@dataclass(frozen=True)
+class Staging:
+    """The seven typed staging frames."""
+
+    orders: DataFrame
+    items: DataFrame
+    payments: DataFrame
+    reviews: DataFrame
+    products: DataFrame
+    customers: DataFrame
+    sellers: DataFrame
+
+
 def _typed(source: str, target: str, dtype: str) -> Column:
     return F.nullif(F.col(source), F.lit("")).cast(dtype).alias(target)
 

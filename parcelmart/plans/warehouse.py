@@ -11,8 +11,8 @@ from parcelmart.functions.timing import month_of
 from parcelmart.operators import marts as build
 from parcelmart.operators import staging as stage
 from parcelmart.operators.keys import assert_unique
+from parcelmart.operators.staging import Staging
 from parcelmart.schemas import RAW_COLUMNS
-from parcelmart.sources.testdata import Staging
 
 
 @dataclass(frozen=True)

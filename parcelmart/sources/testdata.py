@@ -6,26 +6,12 @@ branch is met. Order dates move 20 years ahead, into the years that request text
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelmart.functions.patterns import PatternSet
-
-
-@dataclass(frozen=True)
-class Staging:
-    """The seven typed staging frames."""
-
-    orders: DataFrame
-    items: DataFrame
-    payments: DataFrame
-    reviews: DataFrame
-    products: DataFrame
-    customers: DataFrame
-    sellers: DataFrame
+from parcelmart.operators.staging import Staging, stg_products
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -159,8 +145,6 @@ def x_sellers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def staging(spark: SparkSession, folder: str) -> Staging:
-    from parcelmart.operators.staging import stg_products
-
     return Staging(
         orders=x_orders(spark, folder),
         items=x_items(spark, folder),

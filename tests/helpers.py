@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from decimal import Decimal
 
-from parcelmart.sources.testdata import Staging
+from parcelmart.operators.staging import Staging
 
 ORDERS = ("order_id string, customer_id string, order_status string, purchased_at timestamp_ntz, "
           "approved_at timestamp_ntz, carrier_at timestamp_ntz, delivered_at timestamp_ntz, estimated_at timestamp_ntz")
