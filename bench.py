@@ -21,7 +21,7 @@ from parcelmart.session import build_session  # noqa: E402
 DIRECT = (
     "mart_order_fulfillment", "mart_seller_order_fulfillment", "mart_category_order_fulfillment",
     "mart_payment_analysis_base", "mart_seller_performance_monthly", "delivery_performance_seller", "dq_report",
-    "layer_row_counts", "chunk_documents", "hash_embedding_blake2b", "lexical_candidates", "vector_candidates",
+    "layer_row_counts", "chunk_documents", "hash_embedding", "lexical_candidates", "vector_candidates",
     "hybrid_search", "retrieval_eval", "route_intent", "run_plan_delivery_seller", "run_plan_review_samples",
     "flag_injection", "critic_checks", "run_status", "assemble_answer", "stream_events_after",
 )

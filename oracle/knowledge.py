@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from oracle.base import CTE, RECURSIVE, compose
 
 SQL: dict[str, str] = {}
@@ -165,7 +167,7 @@ CTE["c_lexical"] = """SELECT h.query_id, h.chunk_id, CAST(title_hits AS INT) AS
 CTE["top_lexical"] = "SELECT * FROM c_lexical WHERE fts_rank <= 30"
 SQL["lexical_candidates"] = """SELECT query_id, chunk_id, fts_rank, title_hits, lexical_hits, fts_score FROM top_lexical"""
 
-SQL["fts_score"] = "SELECT query_id, chunk_id, fts_score FROM c_lexical WHERE fts_rank <= 200"
+SQL["fts_score"] = "SELECT query_id, chunk_id, round(words * 0.1::DOUBLE, 8) AS fts_score FROM c_fts"
 
 _embedding("c", "k_texts", "chunk_id", "full_text")
 _embedding("q", "q_all", "query_id", "query")
@@ -189,6 +191,22 @@ SQL["vector_candidates_centroids"] = f"""SELECT query_id, vec_id, vector_rank, v
     SELECT l.label AS query_id, vec_id, {_COSINE} AS vector_score, CAST(row_number() OVER (PARTITION BY l.label
       ORDER BY {_COSINE} DESC, vec_id) AS INT) AS vector_rank FROM embeddings, e_lists l) WHERE vector_rank <= 30"""
 SQL["vector_candidates_lsh_all_codes"] = SQL["vector_candidates_centroids"]
+
+
+def _sign_code(vector: str) -> str:
+    """Sign code by the index's planes, which a fixed seed gives as literal numbers."""
+    planes = np.random.default_rng(7).standard_normal((64, 6))
+    return " + ".join(
+        f"CASE WHEN list_dot_product(CAST({vector} AS DOUBLE[]), [{', '.join(repr(float(x)) for x in planes[:, b])}]) > 0 THEN {1 << b} ELSE 0 END"
+        for b in range(6))
+
+
+CTE["e_codes"] = f"SELECT vec_id, embedding, {_sign_code('embedding')} AS code FROM embeddings"
+CTE["l_codes"] = f"SELECT label, centroid, {_sign_code('centroid')} AS code FROM e_lists"
+SQL["vector_candidates_lsh"] = f"""SELECT query_id, vec_id, vector_rank, vector_score FROM (
+    SELECT l.label AS query_id, vec_id, {_COSINE} AS vector_score, CAST(row_number() OVER (PARTITION BY l.label
+      ORDER BY {_COSINE} DESC, vec_id) AS INT) AS vector_rank FROM e_codes e, l_codes l
+    WHERE bit_count(xor(e.code, l.code)) <= 2) WHERE vector_rank <= 30"""
 SQL["cosine_similarity"] = f"""SELECT vec_id, {_COSINE} AS similarity FROM embeddings e
     JOIN e_lists l ON e.label = l.label"""
 

@@ -193,14 +193,21 @@ CTE["calls"] = " UNION ALL ".join(
 SQL["tool_calls"] = "SELECT * FROM calls"
 SQL["step_summary"] = """SELECT request_id, string_agg(metric_name || ':' || row_count, ', ' ORDER BY call_no) AS metrics,
     count(*) AS tool_count FROM calls GROUP BY 1"""
-SQL["retrieval_step_summary"] = """SELECT query_id, string_agg(chunk_id || ':' || coalesce(CAST(fts_rank AS VARCHAR), '-')
-    || ':' || coalesce(CAST(vector_rank AS VARCHAR), '-'), ', ' ORDER BY result_rank) AS scores FROM best_ GROUP BY 1"""
-SQL["evidence_gate"] = """SELECT r.request_id, CASE WHEN c.most > 0 THEN 'pass' ELSE 'insufficient' END AS evidence_status,
-    CASE WHEN coalesce(c.most, 0) = 0 THEN 'No structured rows matched the requested filters.'
-         WHEN intent <> 'sales_summary' AND r.request_id % 3 = 0 THEN 'No matching policy chunk was found; '
-           || 'recommendations are limited to data-supported observations.' END AS warning
+SQL["retrieval_step_summary"] = """SELECT q.query_id, coalesce(string_agg(chunk_id || ':' || coalesce(CAST(fts_rank AS VARCHAR), '-')
+    || ':' || coalesce(CAST(vector_rank AS VARCHAR), '-'), ', ' ORDER BY result_rank), '') AS scores
+    FROM q_all q LEFT JOIN best_ b ON q.query_id = b.query_id GROUP BY 1"""
+# Every request text has a word, hence a direction, so its search finds as many chunks as it may return.
+SQL["evidence_gate"] = """SELECT r.request_id,
+    CASE WHEN NOT usable THEN 'failed' WHEN c.most > 0 THEN 'pass' ELSE 'insufficient' END AS evidence_status,
+    CASE WHEN NOT usable THEN 'The date range or the minimum of orders cannot be used.'
+         WHEN coalesce(c.most, 0) = 0 THEN 'No structured rows matched the requested filters.' END AS warning
     FROM r_routed r LEFT JOIN (SELECT request_id, max(row_count) AS most FROM calls GROUP BY 1) c
-      ON r.request_id = c.request_id WHERE usable"""
+      ON r.request_id = c.request_id"""
+CTE["r_gate"] = SQL["evidence_gate"]
+SQL["answer_requests"] = """SELECT r.request_id, intent, CASE WHEN usable THEN 'completed' ELSE 'failed' END AS status,
+    evidence_status, warning, CAST(0 AS BIGINT) AS redacted,
+    CASE WHEN usable AND intent <> 'sales_summary' THEN 5 ELSE 0 END AS n_citations
+    FROM r_routed r JOIN r_gate g ON r.request_id = g.request_id"""
 
 # --- texts -----------------------------------------------------------------------------------------
 CTE["x_flagged"] = """SELECT doc_id, CASE doc_id % 8
@@ -269,10 +276,10 @@ SQL["run_status"] = "SELECT * FROM e_status"
 SQL["assemble_answer"] = """SELECT run_id, string_agg(json_extract_string(payload, '$.content'), '' ORDER BY sequence) AS answer
     FROM x_events WHERE event_type = 'assistant.delta' GROUP BY 1"""
 SQL["run_trace"] = f"""SELECT run_id, 1 AS section, 'run' AS kind, CAST(NULL AS TIMESTAMP) AS order_time, CAST(0 AS BIGINT) AS order_id,
-      status AS label FROM e_status
-    UNION ALL SELECT user_id, 2, 'step', NULL, event_id, 'node ' || {_K} FROM events WHERE event_type = 'click'
-    UNION ALL SELECT user_id, 3, 'tool_call', ts, event_id, 'tool ' || {_K} FROM events WHERE event_type = 'signup'
-    UNION ALL SELECT run_id, 4, 'event', NULL, sequence, event_type FROM x_events"""
+      status AS label, CAST(NULL AS VARCHAR) AS payload FROM e_status
+    UNION ALL SELECT user_id, 2, 'step', NULL, event_id, 'node ' || {_K}, NULL FROM events WHERE event_type = 'click'
+    UNION ALL SELECT user_id, 3, 'tool_call', ts, event_id, 'tool ' || {_K}, NULL FROM events WHERE event_type = 'signup'
+    UNION ALL SELECT run_id, 4, 'event', NULL, sequence, event_type, payload FROM x_events"""
 SQL["session_messages"] = """SELECT conv_id AS session_id, turn AS position, role, text AS content FROM conversations"""
 SQL["stream_events_after"] = """SELECT e.run_id, sequence, event_type, payload, created_at FROM x_events e
     LEFT JOIN (SELECT run_id, min(sequence) AS ended FROM x_events WHERE sequence > 0

@@ -278,8 +278,19 @@ SQL["refresh_marts"] = " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {t}" for layer, name, t in _LAYERS if layer == "mart"
 )
 SQL["write_metric_report"] = SQL["dq_report"]
-SQL["assert_unique"] = """SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem
-    GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
+_GRAINS = (
+    ("mart_order_fulfillment", "order_id", "m_orders"),
+    ("mart_seller_order_fulfillment", "order_id, seller_id", "m_sellers"),
+    ("mart_category_order_fulfillment", "order_id, category", "m_categories"),
+    ("mart_payment_analysis_base", "order_id, payment_type", None),
+    ("mart_seller_performance_monthly", "month, seller_id", None),
+    ("mart_category_performance_monthly", "month, category", None),
+    ("planted", "order_id", "(SELECT order_id FROM m_orders UNION ALL SELECT order_id FROM m_orders WHERE CAST(order_id AS BIGINT) % 500 = 0)"),
+)
+SQL["assert_unique"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS mart, NOT EXISTS (SELECT 1 FROM {source or f'({SQL[name]})'} GROUP BY {keys} HAVING count(*) > 1) AS is_unique"""
+    for name, keys, source in _GRAINS
+)
 
 
 def all_sql() -> dict[str, str]:

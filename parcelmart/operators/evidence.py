@@ -10,6 +10,7 @@ from parcelmart.functions.text import REDACTED_CHUNK, excerpt, flag_injection, s
 CITATION_CHARS = 240
 MAX_RESULT_ROWS = 10
 # The warnings a reader of results matches on.
+NOT_USABLE = "The date range or the minimum of orders cannot be used."
 NO_ROWS = "No structured rows matched the requested filters."
 NO_KNOWLEDGE = "No matching policy chunk was found; recommendations are limited to data-supported observations."
 
@@ -37,22 +38,23 @@ def injection_warnings(redacted: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def evidence_gate(requests: DataFrame, calls: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Per request: pass or insufficient, with its warning.
+    """Per request: pass, insufficient or (parameters that can't be used) failed, with its warning.
 
-    ``requests`` has request_id and intent, ``calls`` one row per metric call with row_count,
+    ``requests`` has request_id, intent and usable, ``calls`` one row per metric call with row_count,
     ``retrieved`` one row per chunk found for a request.
     """
     analytics = calls.groupBy("request_id").agg(F.max(F.col("row_count") > 0).alias("has_rows"))
     knowledge = retrieved.groupBy("request_id").agg(F.count(F.lit(1)).alias("chunks"))
-    joined = requests.select("request_id", "intent").join(analytics, "request_id", "left").join(
+    joined = requests.select("request_id", "intent", "usable").join(analytics, "request_id", "left").join(
         knowledge, "request_id", "left"
     )
     empty = ~F.coalesce("has_rows", F.lit(False))
     unsupported = (F.col("intent") != "sales_summary") & (F.coalesce("chunks", F.lit(0)) == 0)
     return joined.select(
         "request_id",
-        F.when(empty, F.lit("insufficient")).otherwise(F.lit("pass")).alias("evidence_status"),
-        F.when(empty, F.lit(NO_ROWS)).when(unsupported, F.lit(NO_KNOWLEDGE)).alias("warning"),
+        F.when(~F.col("usable"), F.lit("failed")).when(empty, F.lit("insufficient")).otherwise(F.lit("pass"))
+        .alias("evidence_status"),
+        F.when(~F.col("usable"), F.lit(NOT_USABLE)).when(empty, F.lit(NO_ROWS)).when(unsupported, F.lit(NO_KNOWLEDGE)).alias("warning"),
     )
 
 

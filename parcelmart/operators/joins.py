@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
-BROADCAST_ROWS = 100_000
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner",
@@ -20,13 +19,3 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: li
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def without(rows: DataFrame, unwanted: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows whose key is not in ``unwanted`` (one row per key).
-
-    A short list of keys is broadcast, so that wide rows stay where they are; its length is checked by
-    reading at most one row more than allowed. A longer one is joined by shuffle.
-    """
-    short = unwanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return rows.join(F.broadcast(unwanted) if short else unwanted, key, "left_anti")

@@ -36,12 +36,16 @@ def doc_title(text: Column | str, stem: Column | str) -> Column:
 def dedup_documents(documents: DataFrame, order: str) -> DataFrame:
     """One row per distinct text; the row with the largest ``order`` gives the metadata.
 
-    Only hash and order are aggregated, with a map-side maximum, so a text with millions of copies is no
-    hot group, and the texts themselves move at most once (a semi join on the unique ``order``).
+    A NULL order counts as lowest; rows with the same text and order differ by a hash of their other columns, and of
+    rows that are equal in all columns one stays. Hash, order and row hash are aggregated, with a map-side maximum, so a
+    text with millions of copies is no hot group, and the texts themselves move at most once.
     """
-    hashed = documents.withColumn("content_hash", content_hash("text"))
-    last = hashed.groupBy("content_hash").agg(F.max(order).alias(order)).select(order)
-    return hashed.join(last, order, "left_semi")
+    others = [c for c in documents.columns if c != "text"]
+    hashed = documents.withColumn("content_hash", content_hash("text")).withColumn("row_hash", F.xxhash64(*others))
+    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("order"), F.col("row_hash").alias("row_hash"))
+    last = hashed.groupBy("content_hash").agg(F.max(place).alias("last")).select("content_hash", "last.row_hash")
+    kept = hashed.join(last, ["content_hash", "row_hash"], "left_semi")
+    return kept.dropDuplicates(["content_hash"]).drop("row_hash").select(*documents.columns, "content_hash")
 
 
 def knowledge_documents(files: DataFrame, order: str, stem: str = "stem") -> DataFrame:
@@ -158,6 +162,6 @@ def list_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     zero = F.lit(0)
     return documents.join(counts, "document_id", "left").select(
-        "document_id", "title", "status", F.coalesce("chunk_count", zero).alias("chunk_count"),
+        "document_id", "title", "source_type", "source_url", "status", "metadata", "updated_at", F.coalesce("chunk_count", zero).alias("chunk_count"),
         F.coalesce("embedded_chunk_count", zero).alias("embedded_chunk_count"),
     ).orderBy("title", "document_id")

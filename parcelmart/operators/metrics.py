@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from datetime import date
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelmart.functions.numbers import decimals_to_double, ratio
@@ -40,10 +40,10 @@ class MetricResult:
     warnings: list[str] = field(default_factory=list)
     empty_warning: str | None = None
 
-    def envelope(self, max_rows: int = 500) -> dict[str, Any]:
-        """Runs the metric and returns it as one plain dictionary (at most ``max_rows`` rows)."""
+    def envelope(self) -> dict[str, Any]:
+        """Runs the metric and returns it as one plain dictionary. A metric's own ``top_k`` or months bound its rows."""
         head = self.summary.first()
-        rows = [r.asDict(recursive=True) for r in self.rows.limit(max_rows).collect()]
+        rows = [r.asDict(recursive=True) for r in self.rows.collect()]
         plain = [{k: v.isoformat() if isinstance(v, date) else v for k, v in r.items()} for r in rows]
         fresh = head["data_freshness"] if head else None
         warnings = [self.empty_warning] if self.empty_warning and not rows else list(self.warnings)
@@ -61,8 +61,15 @@ class MetricResult:
 
 
 def data_freshness(marts: MartSet) -> DataFrame:
-    """Last purchase day of the whole order mart, whatever range a metric asks for."""
-    return marts.orders.agg(F.max("purchased_at").cast("date").alias("data_freshness"))
+    """Last purchase day of the whole order mart, whatever range a metric asks for.
+
+    Of a written mart only the folder of the last month is read.
+    """
+    orders = marts.orders
+    if "purchase_month" in orders.columns:
+        last = orders.agg(F.max("purchase_month").alias("m")).scalar()
+        orders = orders.filter(F.col("purchase_month") == last)
+    return orders.agg(F.max("purchased_at").cast("date").alias("data_freshness"))
 
 
 def _summary(
@@ -129,7 +136,7 @@ def operations_overview(marts: MartSet, start: date, end: date) -> MetricResult:
     grouped = _metric_rows(
         _filtered(marts.orders, start, end, False), [status], ["order_status"], OVERVIEW_COLUMNS
     )
-    total = grouped.agg(F.sum("order_count").alias("all_orders")).scalar()
+    total = F.sum("order_count").over(Window.partitionBy())  # over the few statuses
     share = ratio(F.col("order_count").cast("decimal(20,0)"), total, 10, 5).alias("order_share")
     rows = decimals_to_double(
         grouped.select("order_status", "order_count", share, "item_value", "freight_value", "avg_review_score")
@@ -238,7 +245,7 @@ def payment_analysis(marts: MartSet, start: date, end: date, top_k: int = 10) ->
     """Mix of payment types. The share is over all types, before the limit; no status filter applies."""
     df = purchased_within(marts.payments, start, end)
     grouped = _metric_rows(df, [F.col("payment_type")], ["payment_type"], PAYMENT_COLUMNS)
-    total = grouped.agg(F.sum("payment_value").alias("all_value")).scalar()
+    total = F.sum("payment_value").over(Window.partitionBy())  # over the few types
     rows = decimals_to_double(grouped.select(
         "payment_type", "participating_order_count", "payment_value",
         ratio(F.col("payment_value"), total, 10, 5).alias("payment_value_share"),

@@ -4,9 +4,9 @@ A scan task keeps a running top n per query and emits only that: at most n x que
 its input. No pair of query and row ever leaves a task, so hot terms and near-identical rows cost nothing
 extra, and the only shuffle is the final merge of those short lists.
 
-The query table travels to the tasks whole while it has at most ``max_broadcast`` rows (checked by
-reading no more than that plus one). A larger one is cut into shards, the scanned table is cut into
-shards as well, and each task gets one shard of either side; results are the same.
+Queries travel to the tasks in slices of about SLICE_QUERIES, each of which is one map-only scan of the table; the
+scanned rows are never shuffled or repeated. ``payload`` should be keys and tie-breaks only: texts are better
+joined back to the few winners.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BROADCAST_QUERIES = 4096
-GRID_ROWS = 20_000
+SLICE_QUERIES = 4096
 MERGE_LANES = 64
 CELLS_PER_BLOCK = 2_000_000
 
@@ -100,7 +99,7 @@ def _scan(
 
 def scan_top_n(
     table: DataFrame, queries: DataFrame, listings: Sequence[Listing], *, key: str, n: int, needs: list[str],
-    payload: list[str], max_broadcast: int = MAX_BROADCAST_QUERIES,
+    payload: list[str], slice_queries: int = SLICE_QUERIES,
 ) -> DataFrame:
     """Top ``n`` rows of ``table`` per query and listing, all listings in one scan.
 
@@ -115,14 +114,18 @@ def scan_top_n(
         *[T.StructField(p, types[p]) for p in payload],
         *[T.StructField(s, T.DoubleType()) for listing in listings for s in listing.scores],
     ])
-    head = queries.limit(max_broadcast + 1).toPandas()
-    if len(head) <= max_broadcast:
+    slices = max(1, -(-queries.count() // slice_queries))
+
+    def scan(some: pd.DataFrame) -> DataFrame:
         def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            return _scan(batches, head, listings, n, key, payload)
+            return _scan(batches, some, listings, n, key, payload)
+
+        return source.mapInPandas(local, schema)
 
-        found = source.mapInPandas(local, schema)
-    else:
-        found = _grid(source, queries, listings, n, key, payload, schema, max_broadcast)
+    found = None
+    for i in range(slices):
+        part = queries.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i).toPandas()
+        found = scan(part) if found is None else found.unionByName(scan(part))
     return _merge(found, key, listings, n)
 
 
@@ -140,28 +143,3 @@ def _merge(found: DataFrame, key: str, listings: Sequence[Listing], n: int) -> D
 
     lanes = best(found.withColumn("lane", F.spark_partition_id() % MERGE_LANES), [key, "listing", "lane"])
     return best(lanes.drop("lane", "list_rank"), [key, "listing"]).drop("primary_score")
-
-
-def _grid(
-    source: DataFrame, queries: DataFrame, listings: Sequence[Listing], n: int, key: str, payload: list[str],
-    schema: T.StructType, max_broadcast: int,
-) -> DataFrame:
-    query_shards = -(-queries.count() // max_broadcast) * 2
-    row_shards = max(1, -(-source.count() // GRID_ROWS))
-
-    def shard(by: list[str], shards: int) -> Column:
-        return F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")
-
-    def every(shards: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-
-    row_id = list(dict.fromkeys(t for listing in listings for t in listing.ties))
-    left = source.withColumn("row_shard", shard(row_id, row_shards)).withColumn("query_shard", every(query_shards))
-    right = queries.withColumn("query_shard", shard([key], query_shards)).withColumn("row_shard", every(row_shards))
-
-    def cell(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        return next(_scan([rows], some, listings, n, key, payload))
-
-    return left.groupBy("query_shard", "row_shard").cogroup(
-        right.groupBy("query_shard", "row_shard")
-    ).applyInPandas(cell, schema)

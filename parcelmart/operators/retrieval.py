@@ -17,7 +17,7 @@ from parcelmart.functions.patterns import PatternSet
 from parcelmart.functions.text import excerpt, flag_injection, strip
 from parcelmart.functions.tokens import tokenize
 from parcelmart.functions.vectors import DIMENSIONS, hash_embedding, hyperplanes, sign_code, sign_codes
-from parcelmart.operators.ranking import MAX_BROADCAST_QUERIES, Listing, Scorer, scan_top_n
+from parcelmart.operators.ranking import SLICE_QUERIES, Listing, Scorer, scan_top_n
 
 MAX_TERMS = 18
 CANDIDATES = 30
@@ -114,7 +114,22 @@ def _lexical_scorer(queries: pd.DataFrame) -> Scorer:
     return score
 
 
+def word_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, fts_score) for every pair that shares a word, by an equi-join on the word.
+
+    A chunk's words are counted before the join. Only terms of letters and digits are words; a term with a hyphen or an
+    underscore has no word score, as in the ranked lists.
+    """
+    word = F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))).alias("word")
+    counted = chunks.select("chunk_id", word).groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select("query_id", F.explode("terms").alias("word")).filter(F.col("word").rlike("^[\\p{L}\\p{N}]+$"))
+    return counted.join(asked, "word").groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum("n") * F.lit(WORD_WEIGHT), 8).alias("fts_score"))
+
+
 CHUNK_COLUMNS = ["chunk_id", "document_id", "title", "ordinal", "heading_path", "content"]
+#: What candidates carry: the key and what breaks ties. Texts are joined to the few results.
+RANKED_COLUMNS = ["chunk_id", "title", "ordinal"]
 
 
 LEXICAL = Listing(
@@ -123,7 +138,7 @@ LEXICAL = Listing(
 
 
 def _candidates(
-    chunks: DataFrame, queries: DataFrame, listings: list[Listing], n: int, max_broadcast: int = MAX_BROADCAST_QUERIES
+    chunks: DataFrame, queries: DataFrame, listings: list[Listing], n: int, slice_queries: int = SLICE_QUERIES
 ) -> DataFrame:
     """Candidate lists of all ``listings`` from one scan of the chunks, one row per list entry."""
     vector = any(listing.name == "vector" for listing in listings)
@@ -131,7 +146,7 @@ def _candidates(
     of_query = ["query_id", *(["terms"] if lexical else []), *(["query_embedding"] if vector else [])]
     found = scan_top_n(
         chunks, queries.select(*of_query), listings, key="query_id", n=n,
-        needs=["embedding"] if vector else [], payload=CHUNK_COLUMNS, max_broadcast=max_broadcast,
+        needs=[*(["content"] if lexical else []), *(["embedding"] if vector else [])], payload=RANKED_COLUMNS, slice_queries=slice_queries,
     )
     if lexical:
         found = found.withColumns({c: F.col(c).cast("int") for c in ("title_hits", "lexical_hits")})
@@ -139,10 +154,10 @@ def _candidates(
 
 
 def lexical_candidates(
-    chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, max_broadcast: int = MAX_BROADCAST_QUERIES
+    chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, slice_queries: int = SLICE_QUERIES
 ) -> DataFrame:
     """Best n chunks per query by terms met in the title, terms met at all, matching word positions."""
-    found = _candidates(chunks, queries, [LEXICAL], n, max_broadcast)
+    found = _candidates(chunks, queries, [LEXICAL], n, slice_queries)
     return found.drop("listing").withColumnRenamed("list_rank", "fts_rank")
 
 
@@ -201,10 +216,10 @@ VECTOR = Listing("vector", vector_scorer(), ("chunk_id",), ("vector_score",))
 
 
 def vector_candidates(
-    chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, max_broadcast: int = MAX_BROADCAST_QUERIES
+    chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, slice_queries: int = SLICE_QUERIES
 ) -> DataFrame:
     """Nearest n chunks per query by cosine similarity; exact."""
-    found = _candidates(chunks.filter("embedding IS NOT NULL"), queries, [VECTOR], n, max_broadcast)
+    found = _candidates(chunks.filter("embedding IS NOT NULL"), queries, [VECTOR], n, slice_queries)
     return found.drop("listing").withColumnRenamed("list_rank", "vector_rank")
 
 
@@ -287,7 +302,7 @@ def fuse_entries(
     gaps = {c: F.lit(None).cast(t) for c, t in SCORE_TYPES.items() if c not in entries.columns}
     rank_in = lambda name: F.max(F.when(F.col("listing") == name, F.col("list_rank")))
     merged = entries.withColumns(gaps).groupBy("query_id", "chunk_id").agg(
-        *[F.any_value(c).alias(c) for c in CHUNK_COLUMNS if c != "chunk_id"],
+        *[F.any_value(c).alias(c) for c in RANKED_COLUMNS if c != "chunk_id"],
         *[F.max(c).alias(c) for c in SCORE_TYPES],
         rank_in("lexical").alias("fts_rank"), rank_in("vector").alias("vector_rank"),
     ).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fts_score", "lexical_hits", "title_hits")})
@@ -321,13 +336,17 @@ def hybrid_search(
     n = max(wanted, min(candidate_k, 200))
     listings = {"hybrid": [LEXICAL, VECTOR], "fts": [LEXICAL], "vector": [VECTOR]}[mode]
     fused = fuse_entries(_candidates(chunks, queries, listings, n), mode, k, fts_weight, vector_weight, n)
-    return best_results(fused, queries, wanted, mode, rerank)
+    return best_results(fused, queries, chunks, wanted, mode, rerank)
 
 
-def best_results(fused: DataFrame, queries: DataFrame, limit: int, mode: str, rerank: bool = False) -> DataFrame:
+def best_results(
+    fused: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int, mode: str, rerank: bool = False
+) -> DataFrame:
+    """The first ``limit`` per query, with the columns of their chunks, which are joined to these only."""
     bonus = F.lit(0.0)
     if rerank:
-        fused = fused.join(queries.select("query_id", "terms"), "query_id")
+        fused = fused.join(queries.select("query_id", "terms"), "query_id").join(
+            chunks.select("chunk_id", "heading_path"), "chunk_id")
         bonus = rerank_bonus(F.col("terms"), F.col("title"), F.col("heading_path"))
     scored = fused.withColumn("rerank_score", F.round(F.col("fused_score") + bonus, 8))
     order = Window.partitionBy("query_id").orderBy(
@@ -335,6 +354,7 @@ def best_results(fused: DataFrame, queries: DataFrame, limit: int, mode: str, re
         F.desc(F.coalesce("vector_score", F.lit(-1.0))), F.asc_nulls_last("fts_rank"), F.asc_nulls_last("vector_rank"),
     )
     best = scored.withColumn("result_rank", F.row_number().over(order)).filter(F.col("result_rank") <= limit)
+    best = best.drop(*[c for c in CHUNK_COLUMNS if c != "chunk_id"]).join(chunks.select(*CHUNK_COLUMNS), "chunk_id")
     return best.select(
         "query_id", "result_rank", *CHUNK_COLUMNS, "fts_score", "lexical_hits", "title_hits", "fts_rank",
         "vector_score", "vector_rank", "rrf_score", "rerank_score",

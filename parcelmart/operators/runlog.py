@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from parcelmart.operators.joins import salted_join
 
 PAGE = 100
-TERMINAL = ("run.completed", "run.failed")
+TERMINAL = ("run.completed", "run.failed", "run.cancelled")
 # Status a run has after an event of that type.
 STATUS_AFTER = {
     "run.queued": "queued", "run.started": "running", "run.completed": "completed", "run.failed": "failed",
+    "run.cancelled": "cancelled",
 }
 EVENT_SCHEMA = "sequence bigint, run_id bigint, event_type string, payload string, created_at timestamp_ntz"
 
@@ -65,14 +66,15 @@ def assemble_answer(events: DataFrame) -> DataFrame:
 def run_trace(runs: DataFrame, steps: DataFrame, tool_calls: DataFrame, events: DataFrame, run_id: object = None) -> DataFrame:
     """Run row, steps by id, tool calls by start and id, events by sequence: one tagged union.
 
-    ``section`` and the order keys give the reading order; with ``run_id`` only that run is read.
+    ``section`` and the order keys give the reading order, ``detail`` has all columns of the row as JSON; with
+    ``run_id`` only that run is read, in that order.
     """
     def part(section: int, name: str, df: DataFrame, at: str, key: str, label: str) -> DataFrame:
         kept = df if run_id is None else df.filter(F.col("run_id") == F.lit(run_id))
         return kept.select(
             "run_id", F.lit(section).alias("section"), F.lit(name).alias("kind"),
             F.col(at).cast("timestamp_ntz").alias("order_time"), F.col(key).cast("bigint").alias("order_id"),
-            F.col(label).alias("label"),
+            F.col(label).alias("label"), F.to_json(F.struct(*[c for c in df.columns if c not in ("t", "k")])).alias("detail"),
         )
 
     union = part(1, "run", runs.withColumns({"t": F.lit(None).cast("timestamp_ntz"), "k": F.lit(0)}), "t", "k", "status")
@@ -83,7 +85,7 @@ def run_trace(runs: DataFrame, steps: DataFrame, tool_calls: DataFrame, events:
         part(4, "event", events.withColumn("t", none), "t", "sequence", "event_type"),
     ):
         union = union.unionByName(one)
-    return union
+    return union if run_id is None else union.orderBy(*TRACE_ORDER)
 
 
 TRACE_ORDER = ("run_id", "section", "order_time", "order_id")
@@ -101,12 +103,13 @@ def analytics_step_summary(calls: DataFrame) -> DataFrame:
     return calls.groupBy("request_id").agg(ordered.alias("metrics"), F.count(F.lit(1)).alias("tool_count"))
 
 
-def retrieval_step_summary(results: DataFrame) -> DataFrame:
-    """Per query: chunk ids and scores in result order. A search returns at most 20 chunks."""
+def retrieval_step_summary(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """Per query, with or without a hit: chunk ids and scores in result order. A search returns at most 20 chunks."""
     ordered = F.sort_array(F.collect_list(F.struct(
         "result_rank", "chunk_id", "fts_rank", "vector_rank", "rrf_score"
     )))
-    return results.groupBy("query_id").agg(ordered.alias("scores"))
+    found = results.groupBy("query_id").agg(ordered.alias("scores"))
+    return queries.select("query_id").join(found, "query_id", "left")
 
 
 def terminal(column: str = "event_type") -> Column:

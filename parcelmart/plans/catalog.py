@@ -10,7 +10,6 @@ from typing import Any
 
 from parcelmart.operators import metrics as m
 
-READ, GENERATE, PERSIST, EXTERNAL_WRITE = LEVELS = ("READ", "GENERATE", "PERSIST", "EXTERNAL_WRITE")
 SELLER_ID = r"[0-9a-f]{32}"
 
 
@@ -107,67 +106,32 @@ class ReviewSamples(DateRange):
         _within("limit", self.limit, 1, 100)
 
 
-@dataclass(frozen=True)
-class Metric:
-    name: str
-    description: str
-    parameters: type[DateRange]
-    run: Callable[..., m.MetricResult]
-    permission: str = READ
-
-
-class MetricCatalog:
-    def __init__(self) -> None:
-        self._metrics: dict[str, Metric] = {}
-
-    def register(self, metric: Metric) -> None:
-        if metric.name in self._metrics:
-            raise ValueError(f"metric is registered already: {metric.name}")
-        self._metrics[metric.name] = metric
-
-    def get(self, name: str) -> Metric:
-        if name not in self._metrics:
-            raise KeyError(f"unknown metric: {name}")
-        return self._metrics[name]
-
-    def list(self, max_permission: str = READ) -> list[Metric]:
-        allowed = LEVELS[: LEVELS.index(max_permission) + 1]
-        return [metric for metric in self._metrics.values() if metric.permission in allowed]
-
-    def run(self, marts: m.MartSet, name: str, **parameters: Any) -> m.MetricResult:
-        metric = self.get(name)
-        if metric.permission in (PERSIST, EXTERNAL_WRITE):
-            raise PermissionError(f"{name} writes and needs an approval")
-        unknown = set(parameters) - {f.name for f in fields(metric.parameters)}
-        if unknown:
-            raise ValueError(f"unknown parameters of {name}: {', '.join(sorted(unknown))}")
-        checked = metric.parameters(**parameters)
-        values = {f.name: getattr(checked, f.name) for f in fields(checked) if f.name != "seller_pattern"}
-        return metric.run(marts, **values)
-
-
-CATALOG = MetricCatalog()
-for _metric in (
-    Metric("sales_summary", "Delivered orders: count, value, freight share, score.", DateRange, m.sales_summary),
-    Metric("delivery_performance", "Late-delivery rate, overall or per seller or category.", DeliveryPerformance,
-           m.delivery_performance),
-    Metric("operations_overview", "Orders per status with shares.", DateRange, m.operations_overview),
-    Metric("monthly_trend", "Orders, value, lateness and score per month.", MonthlyTrend, m.monthly_trend),
-    Metric("geography_performance", "Lateness, delivery time and score per customer state.", GeographyPerformance,
-           m.geography_performance),
-    Metric("freight_analysis", "Freight share, overall or per state or category.", FreightAnalysis, m.freight_analysis),
-    Metric("payment_analysis", "Payment types by value and orders.", PaymentAnalysis, m.payment_analysis),
-    Metric("late_vs_on_time_reviews", "Mean score of late orders and of orders on time.", DateRange,
-           m.late_vs_on_time_reviews),
-    Metric("seller_diagnostic", "One seller against its peers.", SellerDiagnostic, m.seller_diagnostic),
-    Metric("review_samples", "Excerpts of low-score reviews.", ReviewSamples, m.review_samples),
-):
-    CATALOG.register(_metric)
+#: Name -> (parameters, function). Every metric only reads.
+METRICS: dict[str, tuple[type[DateRange], Callable[..., m.MetricResult]]] = {
+    "sales_summary": (DateRange, m.sales_summary),
+    "delivery_performance": (DeliveryPerformance, m.delivery_performance),
+    "operations_overview": (DateRange, m.operations_overview),
+    "monthly_trend": (MonthlyTrend, m.monthly_trend),
+    "geography_performance": (GeographyPerformance, m.geography_performance),
+    "freight_analysis": (FreightAnalysis, m.freight_analysis),
+    "payment_analysis": (PaymentAnalysis, m.payment_analysis),
+    "late_vs_on_time_reviews": (DateRange, m.late_vs_on_time_reviews),
+    "seller_diagnostic": (SellerDiagnostic, m.seller_diagnostic),
+    "review_samples": (ReviewSamples, m.review_samples),
+}
 
 
 def list_metrics() -> list[str]:
-    return [metric.name for metric in CATALOG.list()]
+    return list(METRICS)
 
 
 def run_metric(marts: m.MartSet, name: str, **parameters: Any) -> m.MetricResult:
-    return CATALOG.run(marts, name, **parameters)
+    """The metric ``name`` over checked parameters; lazy."""
+    if name not in METRICS:
+        raise KeyError(f"unknown metric: {name}")
+    kind, function = METRICS[name]
+    allowed = {f.name for f in fields(kind)}
+    if unknown := set(parameters) - allowed:
+        raise ValueError(f"unknown parameters of {name}: {', '.join(sorted(unknown))}")
+    checked = kind(**parameters)
+    return function(marts, **{f: getattr(checked, f) for f in allowed if f != "seller_pattern"})

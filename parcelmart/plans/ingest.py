@@ -2,47 +2,62 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelmart.functions.vectors import DIMENSIONS
 from parcelmart.operators import knowledge as k
-from parcelmart.operators.joins import without
 
 
 def ingest_knowledge(
     spark: SparkSession, files: DataFrame, folder: str, *, order: str = "filename", stem: str = "stem",
     target_chars: int = k.TARGET_CHARS, sep: str = k.PARAGRAPH_BREAK, dimensions: int = DIMENSIONS,
-    kind: str = "blake2b",
+    kind: str = "blake2b", provider: str = "local_hash",
 ) -> tuple[DataFrame, DataFrame]:
-    """Ingests ``files`` (text, stem, an ordering column) into ``folder``; returns (documents, chunks).
+    """Adds ``files`` (text, stem, an ordering column) to the knowledge in ``folder``; returns (documents, chunks).
 
-    The distinct texts are written once to a work table, from which chunks are cut. The document table
-    holds no texts and is written last, as 'ready': its readers never see a document without its chunks.
-    Chunks of a document are replaced as a whole, because all tables are overwritten.
+    A document is its text: one that is there already is replaced with its chunks, an edited file is a new document,
+    and all others stay. Each load appends a batch: the distinct texts to a work table, from which chunks are cut,
+    then the chunks, and last the documents as 'ready'. Readers take a document's latest ready batch and
+    that batch's chunks, so they never see a document without its chunks, nor chunks of a load that failed.
     """
-    pending = k.knowledge_documents(files, order, stem).withColumn("status", F.lit("embedding"))
-    pending.write.mode("overwrite").parquet(f"{folder}/documents_pending")
-    stored = pending_documents(spark, folder)
+    batch = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    pending = k.knowledge_documents(files, order, stem)
+    pending.write.parquet(f"{folder}/documents_pending/batch={batch}")
+    stored = spark.read.schema(pending.schema).parquet(f"{folder}/documents_pending/batch={batch}")
     chunks = k.embed_chunks(k.chunk_documents(stored, target_chars, sep), dimensions, kind)
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
+    chunks.write.parquet(f"{folder}/chunks/batch={batch}")
     stored.select(
-        "document_id", "title", stem, "content_hash", F.lit("ready").alias("status"),
-        F.lit(dimensions).alias("embedding_dimensions"), F.lit("local_hash").alias("embedding_provider"),
-        F.current_timestamp().alias("updated_at"),
-    ).write.mode("overwrite").parquet(f"{folder}/documents")
+        "document_id", "title", F.col(stem).alias("stem"), F.concat(F.lit("seed://"), F.col(stem)).alias("source_url"),
+        F.lit("seed").alias("source_type"), "content_hash", F.lit("ready").alias("status"),
+        F.to_json(F.struct(F.lit(dimensions).alias("embedding_dimensions"), F.lit(provider).alias("embedding_provider")))
+        .alias("metadata"), F.current_timestamp().alias("updated_at"),
+    ).write.parquet(f"{folder}/documents/batch={batch}")
     return read_knowledge(spark, folder)
 
 
 def pending_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The work table of the last ingestion: document_id, title and the text."""
-    return spark.read.parquet(f"{folder}/documents_pending")
+    """The work table of all ingestions, the latest text of each document: document_id, title and the text."""
+    return _latest(spark.read.parquet(f"{folder}/documents_pending"))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The rows of each document's latest batch. Batches per document are summed map-side, then joined."""
+    last = rows.groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["document_id", "batch"], "left_semi").drop("batch")
 
 
 def read_knowledge(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{folder}/documents"), spark.read.parquet(f"{folder}/chunks")
+    """(documents, chunks): the latest ready batch of each document, and that batch's chunks."""
+    documents = spark.read.parquet(f"{folder}/documents")
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    last = documents.filter("status = 'ready'").groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return _latest(documents), chunks.join(last, ["document_id", "batch"], "left_semi").drop("batch")
 
 
 def ready_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks of documents whose status is ready. Documents in any other status are few, as a rule."""
-    return without(chunks, documents.filter("status <> 'ready'").select("document_id"), "document_id")
+    """Chunks of documents that are there and ready; those of a half-loaded or absent document are not."""
+    return chunks.join(documents.filter("status = 'ready'").select("document_id"), "document_id", "left_semi")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelmart.functions.timing import month_of
 from parcelmart.operators import marts as build
@@ -71,60 +74,67 @@ def staging_from_raw(raw: dict[str, DataFrame]) -> Staging:
     )
 
 
-def _write_by_month(df: DataFrame, path: str) -> None:
-    """One folder per purchase month.
+VERSION_LOG = "version string, refreshed_at timestamp, mart string, columns string"
 
-    REBALANCE gathers a small month into few files and splits a heavy month over many tasks.
+
+def _stored(df: DataFrame, path: str, by_month: bool = False) -> DataFrame:
+    """``df`` written to ``path`` and read back with its own schema, so that a mart may be empty.
+
+    With ``by_month`` there is one folder per purchase month; REBALANCE gathers a small month into few files and
+    splits a heavy month over many tasks.
     """
-    keyed = df.withColumn("purchase_month", month_of("purchased_at"))
-    keyed.hint("rebalance", "purchase_month").write.mode("overwrite").partitionBy("purchase_month").parquet(path)
+    if by_month:
+        df = df.withColumn("purchase_month", month_of("purchased_at"))
+        df.hint("rebalance", "purchase_month").write.partitionBy("purchase_month").parquet(path)
+    else:
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_marts(spark: SparkSession, folder: str) -> Marts:
+    """The marts of the last refresh that passed its checks."""
+    log = spark.read.schema(VERSION_LOG).parquet(f"{folder}/mart_log")
+    last = log.orderBy(F.desc("refreshed_at"), F.desc("version")).limit(len(MART_KEYS)).collect()
+    schemas = {r["mart"]: T.StructType.fromJson(json.loads(r["columns"])) for r in last}
+    base = f"{folder}/mart/{last[0]['version']}"
     return Marts(**{
-        name: spark.read.parquet(f"{folder}/mart/{mart}") for name, (mart, _) in MART_KEYS.items()
+        name: spark.read.schema(schemas[mart]).parquet(f"{base}/{mart}") for name, (mart, _) in MART_KEYS.items()
     })
 
 
 def refresh_marts(spark: SparkSession, stg: Staging, folder: str) -> Marts:
     """Rebuild every mart under ``folder`` in dependency order and check the unique keys.
 
+    A refresh writes a folder of its own, ``mart/<version>``, and appends to ``mart_log`` once all checks have passed.
+    Readers take the last version of the log, so a refresh that fails leaves the marts as they were. Folders of
+    earlier versions stay until they are removed by hand.
+
     The order mart is written once; the four marts that join it read the written table, so a lost
     executor costs a re-read and not a re-computation, and each join starts from plain scans, which
     adaptive execution can split when a key is skewed.
     """
-    def path(name: str) -> str:
-        return f"{folder}/mart/{MART_KEYS[name][0]}"
+    version = uuid.uuid4().hex
+    made: dict[str, DataFrame] = {}
 
-    def checked(name: str) -> DataFrame:
-        written = spark.read.parquet(path(name))
-        keys = MART_KEYS[name][1]
+    def store(name: str, df: DataFrame, by_month: bool = False) -> DataFrame:
+        mart, keys = MART_KEYS[name]
+        made[name] = _stored(df, f"{folder}/mart/{version}/{mart}", by_month)
         if keys:
-            assert_unique(written, keys, MART_KEYS[name][0])
-        return written
-
-    _write_by_month(
-        build.mart_order_fulfillment(stg.orders, stg.customers, stg.items, stg.payments, stg.reviews),
-        path("orders"),
-    )
-    orders = checked("orders")
-    _write_by_month(
-        build.mart_seller_order_fulfillment(stg.items, orders, stg.sellers), path("seller_orders")
-    )
-    _write_by_month(
-        build.mart_category_order_fulfillment(stg.items, stg.products, orders), path("category_orders")
-    )
-    _write_by_month(build.mart_review_analysis_base(stg.reviews, orders), path("reviews"))
-    _write_by_month(build.mart_payment_analysis_base(stg.payments, orders), path("payments"))
-    build.mart_seller_performance_monthly(checked("seller_orders")).write.mode("overwrite").parquet(
-        path("seller_monthly")
-    )
-    build.mart_category_performance_monthly(checked("category_orders")).write.mode("overwrite").parquet(
-        path("category_monthly")
-    )
-    for name in ("payments", "seller_monthly", "category_monthly"):
-        checked(name)
-    return read_marts(spark, folder)
+            assert_unique(made[name], keys, mart)
+        return made[name]
+
+    orders = store("orders", build.mart_order_fulfillment(stg.orders, stg.customers, stg.items, stg.payments, stg.reviews), True)
+    sellers = store("seller_orders", build.mart_seller_order_fulfillment(stg.items, orders, stg.sellers), True)
+    categories = store("category_orders", build.mart_category_order_fulfillment(stg.items, stg.products, orders), True)
+    store("reviews", build.mart_review_analysis_base(stg.reviews, orders), True)
+    store("payments", build.mart_payment_analysis_base(stg.payments, orders), True)
+    store("seller_monthly", build.mart_seller_performance_monthly(sellers))
+    store("category_monthly", build.mart_category_performance_monthly(categories))
+    log = [(version, MART_KEYS[name][0], json.dumps(df.schema.jsonValue())) for name, df in made.items()]
+    spark.createDataFrame(log, "version string, mart string, columns string").select(
+        "version", F.current_timestamp().alias("refreshed_at"), "mart", "columns",
+    ).coalesce(1).write.mode("append").parquet(f"{folder}/mart_log")
+    return Marts(**made)
 
 
 def layer_row_counts(raw: dict[str, DataFrame], marts: Marts, orders: DataFrame) -> DataFrame:

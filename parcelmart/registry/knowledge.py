@@ -118,7 +118,7 @@ def _fused(spark: SparkSession, folder: str) -> DataFrame:
 def search_log_rows(spark: SparkSession, folder: str) -> DataFrame:
     c, q = chunks(spark, folder), queries(spark, folder)
     lexical, vector = r.lexical_candidates(c, q), r.vector_candidates(c, q)
-    results = r.best_results(r.rrf_fuse(lexical, vector), q, 5, "hybrid")
+    results = r.best_results(r.rrf_fuse(lexical, vector), q, c, 5, "hybrid")
     return r.search_log(q, results, lexical, vector, "hybrid", 0.0)
 
 
@@ -151,21 +151,18 @@ def jobs() -> dict:
             "doc_id", F.size("t").alias("tokens"), F.md5(F.array_join("t", " ")).alias("token_hash")
         ),
         "hash_embedding": lambda s, f: _embedding_checks(s, f, CHECKED_DIGEST),
-        "hash_embedding_blake2b": lambda s, f: _embedding_checks(s, f, "blake2b"),
         "embedding_text": lambda s, f: corpus(s, f)[1].select("chunk_id", F.md5(k.embedding_text()).alias("text_hash")),
         "ingest_knowledge": lambda s, f: corpus(s, f)[1].select(
             "chunk_id", "document_id", "ordinal", F.col("embedding").isNotNull().alias("embedded")
         ),
         "knowledge_status": lambda s, f: k.knowledge_status(*corpus(s, f)),
         "document_status_counts": lambda s, f: k.document_status_counts(corpus(s, f)[0]),
-        "list_documents": lambda s, f: k.list_documents(*corpus(s, f)),
+        "list_documents": lambda s, f: k.list_documents(*corpus(s, f)).drop("updated_at", "metadata", "source_type", "source_url"),
         "expand_query": lambda s, f: queries(s, f).select("query_id", F.array_join("terms", " ").alias("terms")),
         "lexical_candidates": lambda s, f: r.lexical_candidates(chunks(s, f), queries(s, f)).select(
             "query_id", "chunk_id", "fts_rank", "title_hits", "lexical_hits", "fts_score"
         ),
-        "fts_score": lambda s, f: r.lexical_candidates(chunks(s, f), queries(s, f), 200).select(
-            "query_id", "chunk_id", "fts_score"
-        ),
+        "fts_score": lambda s, f: r.word_scores(chunks(s, f), queries(s, f)),
         "vector_candidates": lambda s, f: r.vector_candidates(chunks(s, f), queries(s, f)).select(
             "query_id", "chunk_id", "vector_rank", "vector_score"
         ),

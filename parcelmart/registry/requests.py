@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parcelmart.functions.text import excerpt, flag_injection, redact_text
 from parcelmart.operators import evidence as e
 from parcelmart.operators import requests as q
+from parcelmart.operators.retrieval import hybrid_search, prepare_queries
 from parcelmart.operators import runlog as log
 from parcelmart.plans.request_batch import CALLS, run_plan, tool_calls
 from parcelmart.registry import knowledge, warehouse
@@ -47,6 +48,37 @@ def calls(spark: SparkSession, folder: str) -> DataFrame:
     return tool_calls(stored_requests(spark, folder), plan_results(spark, folder))
 
 
+def retrieved(spark: SparkSession, folder: str) -> DataFrame:
+    """What each request's own text finds in the corpus; sales summaries and unusable requests ask nothing."""
+    asking = stored_requests(spark, folder).filter("usable AND intent <> 'sales_summary'")
+    queries = prepare_queries(asking.select(F.col("request_id").alias("query_id"), "query"), kind=knowledge.CHECKED_DIGEST)
+    found = hybrid_search(knowledge.chunks(spark, folder), queries, 5)
+    return e.redact_injected_chunks(found).withColumnRenamed("query_id", "request_id")
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The composed job: metrics, retrieval, redaction, gate and citations of every request, one row each."""
+    requests, found = stored_requests(spark, folder), written_once(spark, folder, "retrieved", retrieved)
+    gate = e.evidence_gate(requests, calls(spark, folder), found)
+    cited = e.number_citations(found, "request_id", "result_rank").groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct("citation", "chunk_id"))).alias("c"), F.count_if("potential_injection").alias("redacted"))
+    return requests.select("request_id", "intent").join(gate, "request_id").join(cited, "request_id", "left").select(
+        "request_id", "intent", F.when(F.col("evidence_status") == "failed", "failed").otherwise("completed").alias("status"),
+        "evidence_status", "warning", F.coalesce("redacted", F.lit(0)).alias("redacted"),
+        F.col("c").alias("citations"))
+
+
+def written_once(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
+    """A frame of a test folder as a written table, made once per application."""
+    key = (spark.sparkContext.applicationId, f"{folder}/{name}")
+    if key not in _stored:
+        path = shared_folder(spark, f"{name}-{hashlib.sha256(folder.encode()).hexdigest()[:12]}")
+        made = make(spark, folder)
+        made.write.mode("overwrite").parquet(path)
+        _stored[key] = spark.read.schema(made.schema).parquet(path)
+    return _stored[key]
+
+
 def _step_summary(spark: SparkSession, folder: str) -> DataFrame:
     line = lambda m: F.concat_ws(":", m["metric_name"], m["row_count"].cast("string"))
     return log.analytics_step_summary(calls(spark, folder)).select(
@@ -59,8 +91,8 @@ def _retrieval_summary(spark: SparkSession, folder: str) -> DataFrame:
         ":", s["chunk_id"], F.coalesce(s["fts_rank"].cast("string"), F.lit("-")),
         F.coalesce(s["vector_rank"].cast("string"), F.lit("-")),
     )
-    return log.retrieval_step_summary(knowledge._search(spark, folder)).select(
-        "query_id", F.array_join(F.transform("scores", line), ", ").alias("scores")
+    return log.retrieval_step_summary(knowledge.queries(spark, folder), knowledge._search(spark, folder)).select(
+        "query_id", F.coalesce(F.array_join(F.transform("scores", line), ", "), F.lit("")).alias("scores")
     )
 
 
@@ -101,8 +133,9 @@ def jobs() -> dict:
         "redact_text": lambda s, f: td.table(s, f, "documents").select("doc_id", redact_text("text").alias("summary")),
         "text_excerpt": lambda s, f: td.table(s, f, "documents").select("doc_id", excerpt("text", 800).alias("excerpt")),
         "evidence_gate": lambda s, f: e.evidence_gate(
-            routed(s, f).filter("usable"), calls(s, f), td.x_retrieved(td.x_requests(s, f))
+            stored_requests(s, f), calls(s, f), retrieved(s, f)
         ),
+        "answer_requests": lambda s, f: answers(s, f).withColumn("n_citations", F.coalesce(F.size("citations"), F.lit(0))).drop("citations"),
         "number_citations": lambda s, f: e.number_citations(knowledge._search(s, f), "query_id", "result_rank").select(
             "query_id", "chunk_id", "citation", "citation_excerpt"
         ),
@@ -118,7 +151,7 @@ def jobs() -> dict:
         "assemble_answer": lambda s, f: log.assemble_answer(td.x_events(s, f)),
         "run_trace": lambda s, f: log.run_trace(
             log.run_status(td.x_events(s, f)), td.x_steps(s, f), td.x_tool_calls(s, f), td.x_events(s, f)
-        ),
+        ).withColumn("payload", F.get_json_object("detail", "$.payload")).drop("detail"),
         "session_messages": lambda s, f: log.session_messages(td.x_messages(s, f)),
         "step_summary": _step_summary,
         "retrieval_step_summary": _retrieval_summary,

@@ -37,17 +37,17 @@ RAW_COLUMNS: dict[str, list[str]] = {
     "category_translation": ["product_category_name", "product_category_name_english"],
 }
 
-# File-name patterns, so that the published file names are found as they are.
-RAW_FILE_GLOBS: dict[str, str] = {
-    "customers": "*customers*.csv",
-    "geolocation": "*geolocation*.csv",
-    "orders": "*orders*.csv",
-    "order_items": "*order_items*.csv",
-    "order_payments": "*order_payments*.csv",
-    "order_reviews": "*order_reviews*.csv",
-    "products": "*products*.csv",
-    "sellers": "*sellers*.csv",
-    "category_translation": "*category*translation*.csv",
+# The names of the published files, without the publisher's name before and "_dataset" behind.
+RAW_FILES: dict[str, str] = {
+    "customers": "customers",
+    "geolocation": "geolocation",
+    "orders": "orders",
+    "order_items": "order_items",
+    "order_payments": "order_payments",
+    "order_reviews": "order_reviews",
+    "products": "products",
+    "sellers": "sellers",
+    "category_translation": "product_category_name_translation",
 }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,10 +35,13 @@ def build_session(app_name: str = "parcelmart", master: str | None = None, **ext
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """Folder for written intermediates, below the one the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, a laptop) a fresh local folder is used.
+    Only in local mode (tests, a laptop) may that setting be missing; then a fresh local folder is used. On a
+    cluster every machine would write to its own disk, so a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         return tempfile.mkdtemp(prefix=f"parcelmart-{purpose}-")
     token = hashlib.sha256(f"{spark.sparkContext.applicationId}/{purpose}".encode()).hexdigest()[:16]
     return f"{base.rstrip('/')}/parcelmart/{purpose}-{token}"

@@ -136,3 +136,28 @@ def test_ingestion_replaces_and_reports(spark, tmp_path):
     assert re.fullmatch("[0-9a-f]{64}", documents.first().document_id)
     empty = found.filter("FALSE")
     assert k.knowledge_status(documents, empty).first().embedding_coverage == 0.0
+
+
+def test_dedup_with_equal_and_missing_order(spark):
+    rows = [("a", 1, "same"), ("b", 1, "same"), ("c", None, "alone"), ("d", None, "late"), ("e", 5, "late"), ("f", 2, "x"), ("f", 2, "x")]
+    kept = k.dedup_documents(spark.createDataFrame(rows, "stem string, n int, text string"), "n")
+    found = sorted((r.text, r.stem) for r in kept.collect())
+    assert [t for t, _ in found] == ["alone", "late", "same", "x"] and ("late", "e") in found
+
+
+def test_a_second_load_keeps_the_first(spark, tmp_path):
+    def load(*files):
+        frame = spark.createDataFrame(list(files), "filename string, stem string, text string")
+        return ingest_knowledge(spark, frame, str(tmp_path), dimensions=64)
+
+    load(("a.md", "a", "# A\none"), ("b.md", "b", "two"))
+    documents, found = load(("b2.md", "b2", "two"), ("a.md", "a", "# A\none, edited"))
+    assert sorted((r.title, r.stem) for r in documents.collect()) == [("A", "a"), ("A", "a"), ("b2", "b2")]
+    assert found.count() == 3 and ready_chunks(documents, found).count() == 3
+    assert k.list_documents(documents, found).filter("source_url = 'seed://b2' AND chunk_count = 1").count() == 1
+
+
+def test_chunks_of_absent_or_pending_documents_are_not_ready(spark):
+    documents = spark.createDataFrame([("d1", "ready"), ("d2", "embedding")], "document_id string, status string")
+    chunks = spark.createDataFrame([("d1", 1), ("d2", 2), ("gone", 3)], "document_id string, n int")
+    assert [r.n for r in ready_chunks(documents, chunks).collect()] == [1]

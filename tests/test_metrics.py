@@ -5,9 +5,7 @@ from datetime import date
 import pytest
 
 from parcelmart.operators import metrics
-from parcelmart.plans.catalog import (
-    CATALOG, DateRange, EXTERNAL_WRITE, GENERATE, Metric, MetricCatalog, list_metrics, run_metric,
-)
+from parcelmart.plans.catalog import list_metrics, run_metric
 from parcelmart.plans.warehouse import marts_from_staging
 from parcelmart.registry.warehouse import END, START, stored_marts
 from tests.helpers import item, order, payment, review, staging
@@ -120,11 +118,3 @@ def test_catalogue_validates_and_refuses(marts):
             run_metric(marts, name, **{"start": "2017-01-01", "end": "2017-12-31"} | more)
     with pytest.raises(KeyError):
         run_metric(marts, "drop_everything")
-    own = MetricCatalog()
-    own.register(Metric("w", "", DateRange, metrics.sales_summary, EXTERNAL_WRITE))
-    with pytest.raises(ValueError):
-        own.register(Metric("w", "", DateRange, metrics.sales_summary))
-    with pytest.raises(PermissionError):
-        own.run(marts, "w", start="2017-01-01", end="2017-12-31")
-    assert own.list() == [] and own.list(GENERATE) == [] and len(own.list(EXTERNAL_WRITE)) == 1
-    assert CATALOG.get("sales_summary").permission == "READ"

@@ -61,19 +61,19 @@ def slow_lexical(rows, terms, n):
     return [i for _, i in sorted(scored)[:n]]
 
 
-@pytest.mark.parametrize("max_broadcast", [4096, 2])
-def test_lexical_against_a_full_comparison(chunks, queries, max_broadcast):
+@pytest.mark.parametrize("slice_queries", [4096, 2])
+def test_lexical_against_a_full_comparison(chunks, queries, slice_queries):
     """The second case sends queries and chunks through the sharded path."""
     rows = chunks.collect()
-    found = r.lexical_candidates(chunks, queries, 20, max_broadcast).orderBy("fts_rank").collect()
+    found = r.lexical_candidates(chunks, queries, 20, slice_queries).orderBy("fts_rank").collect()
     for q in queries.collect():
         assert [f.chunk_id for f in found if f.query_id == q.query_id] == slow_lexical(rows, list(q.terms), 20)
 
 
-@pytest.mark.parametrize("max_broadcast", [4096, 2])
-def test_vector_against_a_full_comparison(chunks, queries, max_broadcast):
+@pytest.mark.parametrize("slice_queries", [4096, 2])
+def test_vector_against_a_full_comparison(chunks, queries, slice_queries):
     rows = chunks.collect()
-    found = r.vector_candidates(chunks, queries, 20, max_broadcast).orderBy("vector_rank").collect()
+    found = r.vector_candidates(chunks, queries, 20, slice_queries).orderBy("vector_rank").collect()
     for q in queries.collect():
         v = np.array(q.query_embedding, dtype=float)
         mine = [(f.chunk_id, f.vector_score) for f in found if f.query_id == q.query_id]
@@ -148,7 +148,7 @@ def test_index_by_sign_code(spark, chunks, queries, tmp_path):
 
 def test_search_log_rows(chunks, queries):
     lexical, vector = r.lexical_candidates(chunks, queries, 5), r.vector_candidates(chunks, queries, 5)
-    results = r.best_results(r.rrf_fuse(lexical, vector), queries, 5, "hybrid")
+    results = r.best_results(r.rrf_fuse(lexical, vector), queries, chunks, 5, "hybrid")
     log = {x.query_id: x for x in r.search_log(queries, results, lexical, vector, "hybrid", 1.5).collect()}
     assert log[0].lexical_candidate_count == 5 and len(log[0].result_chunk_ids) == 5
     assert log[4].lexical_candidate_count == 0 and log[4].result_chunk_ids == []
@@ -173,3 +173,16 @@ def test_published_retrieval_quality(spark, tmp_path, mode, expected):
     assert (status.document_count, status.chunk_count) == (16, 60)
     results = r.hybrid_search(ready_chunks(documents, found), r.prepare_queries(gold), 5, mode)
     assert tuple(r.retrieval_eval(results, gold).first()) == expected
+
+
+def test_candidates_carry_no_texts(chunks, queries):
+    lexical = r.lexical_candidates(chunks, queries, 5)
+    assert not {"content", "heading_path", "document_id"} & set(lexical.columns)
+    shuffled = r._candidates(chunks, queries, [r.LEXICAL, r.VECTOR], 5)._jdf.queryExecution().executedPlan().toString()
+    assert all("content" not in line for line in shuffled.split("\n") if "Exchange" in line)
+
+
+def test_word_scores_of_every_pair(chunks, queries):
+    found = {(x.query_id, x.chunk_id): x.fts_score for x in r.word_scores(chunks, queries).collect()}
+    listed = {(x.query_id, x.chunk_id): x.fts_score for x in r.lexical_candidates(chunks, queries, 1000).collect()}
+    assert found and {k: v for k, v in listed.items() if v > 0} == pytest.approx(found)

@@ -8,7 +8,8 @@ import pytest
 
 from parcelmart.operators import quality, runlog
 from parcelmart.plans.pipeline import load_and_refresh
-from parcelmart.plans.warehouse import layer_row_counts, read_raw, staging_from_raw
+from parcelmart.operators.keys import DuplicateKeyError
+from parcelmart.plans.warehouse import layer_row_counts, read_marts, read_raw, refresh_marts, staging_from_raw
 from parcelmart.schemas import RAW_COLUMNS
 from parcelmart.sources import sinks
 from parcelmart.sources.knowledge_files import read_gold_jsonl, read_markdown
@@ -109,7 +110,7 @@ def test_csv_to_marts(spark, tmp_path):
     layers = layer_row_counts(raw, marts, staging_from_raw(raw).orders).collect()
     assert len(layers) == 17
     load_and_refresh(spark, str(source), out)
-    assert spark.read.parquet(f"{out}/mart/mart_order_fulfillment").count() == 2
+    assert read_marts(spark, out).orders.count() == 2
 
 
 def test_missing_file_fails_before_anything_is_replaced(spark, tmp_path):
@@ -150,3 +151,62 @@ def test_markdown_gold_and_sinks(spark, tmp_path):
         assert getattr(spark.read, fmt)(str(tmp_path / fmt)).count() == len(EVENTS)
     with pytest.raises(ValueError):
         sinks.write_metric_report(events, str(tmp_path / "x"), "html")
+
+
+def test_only_the_exact_files_of_one_folder_are_loaded(spark, tmp_path):
+    source = tmp_path / "csv"
+    source.mkdir()
+    write_raw(source)
+    (source / "orders_by_customers.csv").write_text("x\n1\n", encoding="utf-8")
+    (source / "old").mkdir()
+    write_raw(source / "old")
+    counts = load_raw(spark, str(source), str(tmp_path / "lake"))
+    assert counts == {t: len(rows) for t, rows in RAW.items()}
+    (source / "sellers.csv").write_text(",".join(RAW_COLUMNS["sellers"]) + "\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="sellers"):
+        load_raw(spark, str(source), str(tmp_path / "lake"))
+
+
+def test_swapped_columns_are_an_error(spark, tmp_path):
+    write_raw(tmp_path)
+    names = RAW_COLUMNS["sellers"]
+    (tmp_path / FILES["sellers"]).write_text(",".join([names[1], names[0], *names[2:]]) + "\n1,s1,x,SP\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)header"):
+        load_raw(spark, str(tmp_path), str(tmp_path / "lake"))
+
+
+def test_a_failed_refresh_leaves_the_marts_and_empty_tables_work(spark, tmp_path):
+    source, out = tmp_path / "csv", str(tmp_path / "lake")
+    source.mkdir()
+    write_raw(source)
+    _, marts = load_and_refresh(spark, str(source), out)
+    raw = read_raw(spark, out)
+    twice = {**raw, "orders": raw["orders"].unionByName(raw["orders"])}
+    with pytest.raises(DuplicateKeyError):
+        refresh_marts(spark, staging_from_raw(twice), out)
+    assert read_marts(spark, out).orders.count() == 2 and read_marts(spark, out).seller_orders.count() == 2
+    empty = {**raw, "order_payments": raw["order_payments"].limit(0), "order_reviews": raw["order_reviews"].limit(0)}
+    refresh_marts(spark, staging_from_raw(empty), out)
+    again = read_marts(spark, out)
+    assert again.payments.count() == 0 and again.reviews.count() == 0 and again.orders.count() == 2
+
+
+def test_trace_and_status_of_a_cancelled_run(spark):
+    events = log(spark, (1, 7, "run.started", "{}"), (2, 7, "run.cancelled", '{"why": "x"}'))
+    status = runlog.run_status(events)
+    assert status.first().status == "cancelled"
+    steps = spark.createDataFrame([(7, 1, "plan", 5)], "run_id bigint, step_id bigint, node_name string, ms int")
+    calls = spark.createDataFrame([(7, 1, NOW, "t", "a")], "run_id bigint, call_id bigint, started_at timestamp_ntz, tool_name string, arguments string")
+    rows = runlog.run_trace(status, steps, calls, events, 7).collect()
+    assert [r.section for r in rows] == [1, 2, 3, 4, 4]
+    assert '"ms":5' in rows[1].detail and '"arguments":"a"' in rows[2].detail and "why" in rows[4].detail
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from parcelmart.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")), "x")
