@@ -159,7 +159,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and what stands between them."""
-    places = [m.span() for m in _WORD.finditer(text)]
+    places = [m.span() for m in _WORD.finditer(text.lower())]
     out, at = [], 0
     for a, b in spans:
         out.append(text[at:places[a][0]])

@@ -32,7 +32,8 @@ def plain_components(links, nodes):
 
     def find(x):
         while root[x] != x:
-            x = root[x] = root[root[x]]
+            root[x] = root[root[x]]
+            x = root[x]
         return x
 
     for a, b in links:
