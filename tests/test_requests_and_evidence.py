@@ -87,13 +87,15 @@ def test_batch_equals_single_calls(spark, folder):
 
 
 def test_gate(spark):
-    requests = spark.createDataFrame([(1, "mixed"), (2, "mixed"), (3, "sales_summary"), (4, "mixed"), (5, "mixed")], "request_id int, intent string")
+    requests = spark.createDataFrame(
+        [(1, "mixed", True), (2, "mixed", True), (3, "sales_summary", True), (4, "mixed", True), (5, "mixed", True), (6, "mixed", False)],
+        "request_id int, intent string, usable boolean")
     calls = spark.createDataFrame([(1, 3), (2, 0), (3, 1), (4, 1), (4, 0)], "request_id int, row_count bigint")
     found = spark.createDataFrame([(1,), (1,), (2,)], "request_id int")
     got = {r.request_id: (r.evidence_status, r.warning) for r in e.evidence_gate(requests, calls, found).collect()}
     assert got == {
         1: ("pass", None), 2: ("insufficient", e.NO_ROWS), 3: ("pass", None), 4: ("pass", e.NO_KNOWLEDGE),
-        5: ("insufficient", e.NO_ROWS),
+        5: ("insufficient", e.NO_ROWS), 6: ("failed", e.NOT_USABLE),
     }
 
 

@@ -186,3 +186,34 @@ def test_word_scores_of_every_pair(chunks, queries):
     found = {(x.query_id, x.chunk_id): x.fts_score for x in r.word_scores(chunks, queries).collect()}
     listed = {(x.query_id, x.chunk_id): x.fts_score for x in r.lexical_candidates(chunks, queries, 1000).collect()}
     assert found and {k: v for k, v in listed.items() if v > 0} == pytest.approx(found)
+
+
+POLICIES = {
+    "returns": "# Returning goods\n\nA customer may send goods back within thirty days.\n\n## Refunds\n\nThe money is refunded to the card.",
+    "late": "# Late parcels\n\nA delivery is late after the estimated day.\n\n## Carriers\n\nCarriers are reviewed each quarter.",
+    "boxes": "# Packaging rules\n\nFragile goods need a double carton.\n\n## Damage\n\nBroken items are photographed.",
+    "sellers": "# Seller onboarding\n\nA merchant signs the contract and names a warehouse.\n\n## Audits\n\nInvoices are audited yearly.",
+}
+ASKED = [
+    ("g1", "goods back within thirty days", "Returning goods"), ("g2", "estimated day of a delivery", "Late parcels"),
+    ("g3", "double carton for fragile goods", "Packaging rules"), ("g4", "contract and warehouse of a merchant", "Seller onboarding"),
+    ("g5", "photographed broken items", "Packaging rules"), ("g6", "invoices audited", "Seller onboarding"),
+]
+
+
+@pytest.mark.parametrize("mode", ["hybrid", "fts", "vector"])
+def test_a_policy_corpus_with_known_answers(spark, tmp_path, mode):
+    import json
+
+    for stem, text in POLICIES.items():
+        (tmp_path / f"{stem}.md").write_text(text, encoding="utf-8")
+    lines = [json.dumps({"id": i, "query": q, "gold_titles": [t]}) for i, q, t in ASKED]
+    (tmp_path / "gold.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    documents, found = ingest_knowledge(spark, read_markdown(spark, str(tmp_path)), str(tmp_path / "kb"))
+    status = k.knowledge_status(documents, found).first()
+    assert (status.document_count, status.chunk_count, status.embedding_coverage) == (4, 8, 1.0)
+    gold = read_gold_jsonl(spark, str(tmp_path / "gold.jsonl"))
+    results = r.hybrid_search(ready_chunks(documents, found), r.prepare_queries(gold), 5, mode)
+    row = r.retrieval_eval(results, gold).first()
+    assert row.total == 6 and row.recall_at_5 == 1.0
+    assert mode == "vector" or row.top1_accuracy == 1.0
