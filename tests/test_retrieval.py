@@ -196,7 +196,7 @@ POLICIES = {
 }
 ASKED = [
     ("g1", "goods back within thirty days", "Returning goods"), ("g2", "estimated day of a delivery", "Late parcels"),
-    ("g3", "double carton for fragile goods", "Packaging rules"), ("g4", "contract and warehouse of a merchant", "Seller onboarding"),
+    ("g3", "double carton for fragile things", "Packaging rules"), ("g4", "contract and warehouse of a merchant", "Seller onboarding"),
     ("g5", "photographed broken items", "Packaging rules"), ("g6", "invoices audited", "Seller onboarding"),
 ]
 
