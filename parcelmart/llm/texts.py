@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from parcelmart.session import shared_folder
 
 #: Most bytes of text that a step holds as Python objects at once.
-SLICE_BYTES = 8_000_000
-BATCH_BYTES = 32 << 20
+SLICE_BYTES = 4_000_000
+BATCH_BYTES = 16 << 20
 
 
 def slices(values: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:

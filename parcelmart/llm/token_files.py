@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -41,7 +42,9 @@ CACHED = 250_000
 #: A single space between two visible characters starts a new pre-token in the byte-level pattern.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _DOUBLE = re.compile(r"\s\s|^\s|\s$")
-_WORD_AND_MARK = re.compile(r"( ?[^\W\d_]+)([.,!?;:|#$%&*]+)")
+#: In an ASCII text without these every white space is a single space or line break between visible characters.
+_BLANKS = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
+_MARKS = ".,!?;:|#$%&*"
 
 
 @lru_cache(maxsize=1)
@@ -52,48 +55,76 @@ def tokenizer(path: str):
 
 
 def spans(text: str) -> list[str]:
-    """A text cut where the byte-level pattern always starts a new pre-token.
+    """A text cut where the byte-level pattern always starts a new pre-token; all but the first without their space.
 
     That is before a single space with a visible character on either side. Python's white space includes the
     pattern's, so no cut is made inside a run of white space.
     """
-    if not _DOUBLE.search(text):
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-    return _CUT.split(text)
+    single = not any(b in text for b in _BLANKS) if text.isascii() else not _DOUBLE.search(text)
+    if single and text[:1] not in ("", " ", "\n") and text[-1] not in " \n":
+        return text.split(" ")
+    first, *rest = _CUT.split(text)
+    return [first, *[s[1:] for s in rest]]
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, which is asked once for each span not seen lately."""
+    """Whole texts to ids by the tokenizers library, which is asked once for each span not seen lately.
+
+    Ids of a span are kept as the bytes of 32-bit integers, so that a text's ids are one join of bytes. The spans of
+    the last and the present generation of CACHED are remembered, over all tasks of a worker.
+    """
 
     def __init__(self, path: str):
-        self.library, self.known = tokenizer(path), {}
+        self.library, self.known, self.old = tokenizer(path), {}, {}
 
-    def ask(self, wanted: list[str]) -> None:
-        known = self.known
+    def ids_of(self, wanted: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(wanted, add_special_tokens=False)
-        known.update((w, tuple(e.ids)) for w, e in zip(wanted, found, strict=True))
+        return [array("i", e.ids).tobytes() for e in found]
+
+    def ask(self, wanted: list[str]) -> None:
+        self.known.update(zip(wanted, self.ids_of([" " + w for w in wanted]), strict=True))
+
+    def again(self, wanted: set[str]) -> set[str]:
+        """Takes over what the last generation knows of ``wanted``; returns the rest."""
+        found = wanted.intersection(self.old)
+        self.known.update(zip(found, map(self.old.__getitem__, found), strict=True))
+        return wanted.difference(found)
 
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
+    def learn(self, wanted: set[str]) -> set[str]:
+        """Sees to it that all spans (behind a space) are known; returns those that were not."""
         known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        split = [spans(t) if t else [] for t in texts]
-        missing = set().union(*split).difference(known)
+        missing = self.again(wanted.difference(known))
         pairs = {}
         for span in missing:  # letters and the marks behind them are separate pre-tokens
-            if m := _WORD_AND_MARK.fullmatch(span):
-                pairs[span] = m.groups()
-        parts = set(chain.from_iterable(pairs.values())).difference(known)
-        self.ask(list(parts.union(missing.difference(pairs))))
-        for span, (word, mark) in pairs.items():
-            known[span] = known[word] + known[mark]
-        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, s)), np.int32) for s in split]
-        for span in [s for s in missing if len(s) > 64]:
-            known.pop(span, None)
+            if span[-1:] in _MARKS and (word := span.rstrip(_MARKS)).isalpha():
+                pairs[span] = word, span[len(word):]
+        words = self.again({w for w, _ in pairs.values()}.difference(known))
+        self.ask(list(words.union(missing.difference(pairs))))
+        marks = {m for _, m in pairs.values()}
+        mark_ids = dict(zip(marks, self.ids_of(list(marks)), strict=True))
+        known.update((span, known[word] + mark_ids[mark]) for span, (word, mark) in pairs.items())
+        return missing
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as the bytes of native 32-bit integers."""
+        split = [spans(t) for t in texts]
+        firsts = self.ids_of([s[0] for s in split])
+        rests = [s[1:] for s in split]
+        new = self.learn(set().union(*rests))
+        get = self.known.__getitem__
+        out = [first + b"".join(map(get, s)) for first, s in zip(firsts, rests, strict=True)]
+        for span in [s for s in new if len(s) > 64]:
+            self.known.pop(span, None)
+        if len(self.known) > CACHED:
+            self.old, self.known = self.known, {}
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> None:
     """Writes doc_id, place and ids (``end_id`` last) of every document, ordered by doc_id.
 
@@ -107,18 +138,17 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> No
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, offset = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, offset = encoder_of(path), TaskContext.get().partitionId(), 0
+        end = array("i", [end_id]).tobytes()
         for batch in batches:
             for start, texts in slices(batch.column(1)):
                 ids = encoder.texts([t.decode("utf-8", "replace") for t in texts])
-                sizes = np.fromiter((len(i) + 1 for i in ids), np.int64, len(ids))
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
                 ends = np.cumsum(sizes)
-                flat = np.full(int(ends[-1]), end_id, np.int32)
-                for i, stop in zip(ids, ends.tolist(), strict=True):
-                    flat[stop - 1 - len(i):stop - 1] = i
+                flat = np.frombuffer(end.join([*ids, b""]), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(texts)), pa.array(np.full(len(ids), part, np.int32)),
+                    [batch.column(0).slice(start, len(texts)), pa.array(np.full(len(texts), part, np.int32)),
                      pa.array(offset + ends - sizes), pa.array(sizes), lists],
                     names=["doc_id", "part", "offset", "n_tokens", "ids"],
                 )
