@@ -1,9 +1,15 @@
 """Language-model scoring with a log-bilinear model, trained by noise-contrastive estimation.
 
-The model predicts one of CLASSES classes (each of the most frequent words, the end of a text, all other words) from
-the classes before; a word of the last class has its share of that class's training tokens, so the probabilities of
-all words add to one. Training passes over every training text once: each task starts from the same parameters, which
-give unigram probabilities, and the tasks' results are averaged by their numbers of tokens.
+The model predicts a unit from the units before. Each of the HEAD_WORDS most frequent words is a unit with rows of its
+own, as context and as target; all other words are dealt by hash into buckets, whose number grows with the root of the
+number of such words, and each bucket is a unit. A word of a bucket has its share of the bucket's training tokens, so the
+probabilities of all words add to one (with one unseen word in each bucket). Probabilities are normalised in two
+steps: the class of the unit, then the unit within its class. The SINGLES most frequent words and the end of a
+text are classes alone; neighbours in frequency share the other classes, as many as the root of the number of their units.
+
+Training passes over every training text once, with noise-contrastive steps for classes and for units within their
+class: each task starts from the same parameters, which give unigram probabilities, and each row of the tasks' results is
+averaged by the number of its uses.
 
 Word counts cover all training texts and are made by shuffled sums. The HEAD_WORDS most frequent words travel to the tasks
 with their counts (a bounded table); all other words of a text are looked up by a join.
@@ -15,6 +21,7 @@ scored each. Without training texts every word is unknown and the model is unifo
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field, replace
 
@@ -26,8 +33,24 @@ from pyspark.sql import functions as F
 from parcelmart.llm.texts import limit_batches, per_text, slices, written
 
 HEAD_WORDS = 200_000
-CLASSES, CONTEXT, WIDTH = 256, 4, 16
+SINGLES, CONTEXT, WIDTH = 254, 4, 16
 NOISE, BATCH, RATE = 32, 1024, 0.15
+#: Keeps the first steps of rarely used rows small.
+LEAST_STEP = 1e-3
+#: Rows of a parameter that are averaged as one record.
+BLOCK = 256
+
+
+def biased(share: np.ndarray) -> np.ndarray:
+    """Rows of targets whose last number, the bias, gives them these shares."""
+    out = np.zeros((len(share), WIDTH + 1), np.float32)
+    out[:, WIDTH] = np.log(share)
+    return out
+
+
+def bucket_count(words: int) -> int:
+    """Buckets for so many words without a row of their own."""
+    return 8 * math.isqrt(words) + 1
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -50,111 +73,171 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Head words with counts, totals of the corpus, and the parameters."""
+    """Head words with counts, totals of the corpus and of the buckets of other words, and the parameters."""
 
     number: dict[bytes, int]
     counts: np.ndarray
     tokens: int
     types: int
     ends: int
+    bucket_tokens: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    bucket_types: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     parameters: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self):
-        # classes: the first words of the head, then the rest of the words, then the end
-        self.top = min(CLASSES - 2, len(self.counts))
-        self.rest, self.end = self.top, self.top + 1
-        top_tokens = int(self.counts[:self.top].sum())
-        self.rest_tokens = self.tokens - self.ends - top_tokens
-        self.rest_types = self.types - (self.ends > 0) - self.top
-        mass = np.concatenate((self.counts[:self.top], [self.rest_tokens, self.ends])) + 0.5
-        self.unigram = mass / mass.sum()
+        # units: the words of the head, then the buckets, then the end
+        self.head, self.buckets = len(self.counts), len(self.bucket_tokens)
+        self.end = self.head + self.buckets
+        self.bucket_mass = self.bucket_tokens + 0.5 * (self.bucket_types + 1)
+        mass = np.concatenate((self.counts + 0.5, self.bucket_mass, [self.ends + 0.5]))
+        alone = min(SINGLES, self.head)
+        roots = np.sqrt(mass[alone:-1])
+        shared = ((np.cumsum(roots) - roots) / roots.sum() * math.ceil(math.sqrt(len(roots)))).astype(np.int64)
+        kinds, shared = np.unique(shared, return_inverse=True)
+        n = alone + len(kinds) + 1
+        self.class_of = np.concatenate((np.arange(alone), alone + shared, [n - 1])).astype(np.int32)
+        self.lows = np.searchsorted(self.class_of, np.arange(n + 1))  # units of a class lie together
+        class_mass = np.add.reduceat(mass, self.lows[:-1])
+        self.class_below, self.below = np.cumsum(class_mass), np.concatenate(([0.0], np.cumsum(mass)))
+        self.class_share = (class_mass / class_mass.sum()).astype(np.float32)
+        self.share = (mass / class_mass[self.class_of]).astype(np.float32)  # of a unit in its class
         if not self.parameters:
-            rng = np.random.default_rng(7)
-            n = self.top + 2
+            seen = np.zeros((self.end + 1, WIDTH), np.float32)
+            often = np.append(np.arange(alone), self.end)
+            seen[often] = np.random.default_rng(7).normal(0, 0.3, (len(often), WIDTH))
             self.parameters = {
-                "seen": rng.normal(0, 0.3, (n, WIDTH)).astype(np.float32),
+                "seen": seen,
                 "place": np.full((CONTEXT, WIDTH), 0.5, np.float32),
-                "word": np.zeros((n, WIDTH), np.float32),
-                "bias": np.log(self.unigram).astype(np.float32),
+                "word": biased(self.share),
+                "class": biased(self.class_share),
             }
 
     def base(self, c):
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
-    def rest_total(self) -> float:
-        return math.log10(self.rest_tokens + 0.5 * (self.rest_types + 1))
-
     def sequences(self, texts: list[list[bytes]]):
-        """(head numbers or -1 of all tokens, their classes, the classes before, tokens per text)."""
+        """(units of all tokens, the units before, tokens per text)."""
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         get, total = self.number.get, int(sizes.sum())
-        numbers = np.fromiter((get(w, -1) for t in texts for w in (*t, b"")), np.int64, total)
+        units = np.fromiter((get(w, -1) for t in texts for w in (*t, b"")), np.int32, total)
         last = np.cumsum(sizes) - 1
-        classes = np.where((numbers < 0) | (numbers >= self.top), self.rest, numbers)
-        classes[last] = self.end
-        padded = np.full(total + CONTEXT * len(texts), self.end, np.int64)
+        units[last] = self.end
+        absent = np.flatnonzero(units < 0)
+        if len(absent):
+            words = [w for t in texts for w in (*t, b"")]
+            units[absent] = [self.head + zlib.crc32(words[i]) % self.buckets for i in absent.tolist()]
+        padded = np.full(total + CONTEXT * len(texts), self.end, np.int32)
         places = np.arange(total) + CONTEXT * np.repeat(np.arange(1, len(texts) + 1), sizes)
-        padded[places] = classes
-        return numbers, classes, np.stack([padded[places - 1 - j] for j in range(CONTEXT)], axis=1), sizes
+        padded[places] = units
+        return units, np.stack([padded[places - 1 - j] for j in range(CONTEXT)], axis=1), sizes
 
     def predict(self, before: np.ndarray) -> np.ndarray:
-        tables = self.parameters["seen"][None] * self.parameters["place"][:, None]  # one for each place before
-        out = tables[0][before[:, 0]]
+        seen, place = self.parameters["seen"], self.parameters["place"]
+        out = seen[before[:, 0]] * place[0]
         for j in range(1, CONTEXT):
-            out += tables[j][before[:, j]]
+            out += seen[before[:, j]] * place[j]
         return out
 
-    def log10_classes(self, classes: np.ndarray, before: np.ndarray, rows: int = 4096) -> np.ndarray:
-        """Normalised log10 probabilities of the classes, from matrix products over batches of tokens."""
-        p, out = self.parameters, np.empty(len(classes))
-        for low in range(0, len(classes), rows):
-            scores = self.predict(before[low:low + rows]) @ p["word"].T + p["bias"]
-            own = scores[np.arange(len(scores)), classes[low:low + rows]]
-            high = scores.max(axis=1)
-            total = np.exp(scores - high[:, None]).sum(axis=1)
-            out[low:low + rows] = (own - high - np.log(total)) / math.log(10)
+    def by_class(self, units: np.ndarray):
+        """(class, places) of the units that share a class with others."""
+        classes = self.class_of[units]
+        shared = np.flatnonzero((self.lows[1:] - self.lows[:-1] > 1)[classes])
+        shared = shared[np.argsort(classes[shared], kind="stable")]
+        if len(shared):
+            cuts = np.flatnonzero(np.diff(classes[shared])) + 1
+            for places in np.split(shared, cuts):
+                yield int(classes[places[0]]), places
+
+    def log10_classes(self, units: np.ndarray, before: np.ndarray, rows: int = 131_072, step: int = 256) -> np.ndarray:
+        """Normalised log10 probabilities of the units, from matrix products over batches of tokens."""
+        p, out = self.parameters, np.empty(len(units))
+        # scores that cannot leave the range of exp need no shift
+        largest = {k: np.sqrt(np.square(p[k]).sum(axis=1).max()) for k in ("class", "word")}
+
+        def choice(h, own, name, first, end):
+            scores = h @ p[name][first:end].T
+            mine = scores[np.arange(len(scores)), own]
+            high = scores.max(axis=1, keepdims=True) if np.sqrt(np.square(h).sum(axis=1).max()) * largest[name] > 60 else None
+            if high is not None:
+                scores -= high
+                mine = mine - high[:, 0]
+            np.exp(scores, out=scores)
+            return mine - np.log(scores @ np.ones(scores.shape[1], np.float32))
+
+        for low in range(0, len(units), rows):
+            part = units[low:low + rows]
+            h = np.ones((len(part), WIDTH + 1), np.float32)
+            h[:, :WIDTH] = self.predict(before[low:low + rows])
+            found, classes = np.empty(len(part)), self.class_of[part]
+            for at in range(0, len(part), step):
+                found[at:at + step] = choice(h[at:at + step], classes[at:at + step], "class", 0, len(p["class"]))
+            for c, places in self.by_class(part):
+                first, end = self.lows[c], self.lows[c + 1]
+                for at in range(0, len(places), step):
+                    some = places[at:at + step]
+                    found[some] += choice(h[some], part[some] - first, "word", first, end)
+            out[low:low + rows] = found / math.log(10)
         return out
 
-    def train(self, classes: np.ndarray, before: np.ndarray, state: dict[str, np.ndarray], rng) -> None:
-        """One pass of noise-contrastive steps: the next class against NOISE classes drawn from the unigram."""
+    def train(self, units: np.ndarray, before: np.ndarray, state: dict[str, np.ndarray], rng) -> None:
+        """One pass of noise-contrastive steps: the class against NOISE classes, then the unit against NOISE of its class."""
+        classes = self.class_of[units]
+        log_class_noise, log_noise = np.log(NOISE * self.class_share), np.log(NOISE * self.share)
+        for low in range(0, len(units), BATCH):
+            noise = np.searchsorted(self.class_below, rng.random(NOISE) * self.class_below[-1], "right")
+            self._step("class", classes[low:low + BATCH], np.minimum(noise, len(self.class_below) - 1), log_class_noise,
+                       before[low:low + BATCH], state)
+        for c, places in self.by_class(units):
+            first, end = self.lows[c], self.lows[c + 1]
+            for low in range(0, len(places), BATCH):
+                some = places[low:low + BATCH]
+                drawn = self.below[first] + rng.random(NOISE) * (self.below[end] - self.below[first])
+                noise = np.clip(np.searchsorted(self.below, drawn, "right") - 1, first, end - 1)
+                self._step("word", units[some], noise, log_noise, before[some], state)
+
+    def _step(self, name: str, true, noise, log_noise, seen_at, state) -> None:
         p = self.parameters
-        log_noise = np.log(NOISE * self.unigram).astype(np.float32)
-        n = len(self.unigram)
-        flat = np.arange(WIDTH)
-        for low in range(0, len(classes), BATCH):
-            true, seen_at = classes[low:low + BATCH], before[low:low + BATCH]
-            noise = rng.choice(n, NOISE, p=self.unigram)
-            seen = p["seen"][seen_at]
-            h = self.predict(seen_at)
-            s_true = (h * p["word"][true]).sum(axis=1) + p["bias"][true] - log_noise[true]
-            s_noise = h @ p["word"][noise].T + p["bias"][noise] - log_noise[noise]
-            g_true = 1 / (1 + np.exp(-s_true)) - 1
-            g_noise = 1 / (1 + np.exp(-s_noise))
-            g_h = g_true[:, None] * p["word"][true] + g_noise @ p["word"][noise]
-            both = np.concatenate((true, noise))
-            g_rows = np.concatenate((g_true[:, None] * h, g_noise.T @ h))
-            grads = {
-                "word": np.bincount((both[:, None] * WIDTH + flat).ravel(), g_rows.ravel(), n * WIDTH).reshape(n, WIDTH),
-                "bias": np.bincount(both, np.concatenate((g_true, g_noise.sum(axis=0))), n),
-                "place": (seen * g_h[:, None]).sum(axis=0),
-                "seen": np.bincount((seen_at[:, :, None] * WIDTH + flat).ravel(), (g_h[:, None, :] * p["place"]).ravel(),
-                                    n * WIDTH).reshape(n, WIDTH),
-            }
-            for name, g in grads.items():
-                g = (g / len(true)).astype(np.float32)
-                state[name] += g * g
-                p[name] -= RATE * g / (np.sqrt(state[name]) + 1e-4)
-
-    def pack(self) -> np.ndarray:
-        return np.concatenate([self.parameters[k].ravel() for k in sorted(self.parameters)]).astype(float)
-
-    def unpack(self, values: np.ndarray) -> Model:
-        out, at = {}, 0
-        for k in sorted(self.parameters):
-            shape = self.parameters[k].shape
-            size = int(np.prod(shape))
-            out[k] = values[at:at + size].reshape(shape).astype(np.float32)
-            at += size
+        rows, seen = p[name], p["seen"][seen_at]
+        h = np.ones((len(true), WIDTH + 1), np.float32)
+        np.einsum("ijk,jk->ik", seen, p["place"], out=h[:, :WIDTH])
+        true_rows, noise_rows = rows[true], rows[noise]
+        g_true = np.einsum("ij,ij->i", h, true_rows) - log_noise[true]
+        g_noise = h @ noise_rows.T - log_noise[noise]
+        g_true = 1 / (1 + np.exp(-g_true)) - 1
+        g_noise = 1 / (1 + np.exp(-g_noise))
+        g_h = (g_true[:, None] * true_rows + g_noise @ noise_rows)[:, :WIDTH]
+        self._change(name, np.concatenate((true, noise)), np.concatenate((g_true[:, None] * h, g_noise.T @ h)), len(true), state)
+        g_place = np.einsum("ijk,ik->jk", seen, g_h)
+        self._change("seen", seen_at.ravel(), (g_h[:, None] * p["place"]).reshape(-1, WIDTH), len(true), state)
+        self._change("place", np.arange(CONTEXT), g_place, len(true), state)
+
+    def _change(self, name: str, at, g, n: int, state) -> None:
+        """Sums the gradients of equal rows and makes an Adagrad step on these rows."""
+        order = np.argsort(at)
+        at = at[order]
+        starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        g, at = np.add.reduceat(g[order], starts, axis=0), at[starts]
+        g /= np.float32(n)
+        squares = g * g
+        squares += state[name][at]
+        state[name][at] = squares
+        g *= RATE
+        np.sqrt(squares, out=squares)
+        squares += LEAST_STEP
+        g /= squares
+        self.parameters[name][at] -= g
+        if (uses := state.get(f"uses_{name}")) is not None:
+            uses[at] += np.diff(np.append(starts, len(order)))
+
+    def unpack(self, records) -> Model:
+        """The model with the averages of the (name, block, uses, values) records; unused rows stay as they are."""
+        out = {k: v.copy() for k, v in self.parameters.items()}
+        for name, block, uses, values in records:
+            rows = out[name][block * BLOCK:(block + 1) * BLOCK]
+            uses = np.frombuffer(uses)
+            used = uses > 0
+            sums = np.frombuffer(values).reshape(rows.shape)[used]
+            rows[used] = sums / uses[used].reshape(-1, *[1] * (rows.ndim - 1))
         return replace(self, parameters=out)
 
 
@@ -164,35 +247,57 @@ def head_model(counts: DataFrame, head_words: int = HEAD_WORDS) -> Model:
     words = sizes[~sizes["is_end"].astype(bool)].sort_values("c", ascending=False)
     fitting = words[words["n"].cumsum() <= head_words]
     least = int(fitting["c"].min()) if len(fitting) else None
-    rows = [] if least is None else counts.where((F.col("c") >= least) & (F.col("word") != F.lit(b""))).collect()
+    is_word = F.col("word") != F.lit(b"")
+    rows = [] if least is None else counts.where((F.col("c") >= least) & is_word).collect()
     rows = sorted((-r["c"], bytes(r["word"])) for r in rows)
     ends = int(sizes[sizes["is_end"].astype(bool)]["c"].sum())
+    buckets = bucket_count(int(words["n"].sum()) - len(rows))
+    tail = counts.where(is_word if least is None else (F.col("c") < least) & is_word)
+    tail = tail.groupBy((F.crc32("word") % buckets).cast("int").alias("b")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toPandas()
+    of_bucket = np.zeros((2, buckets), np.int64)
+    of_bucket[:, tail["b"].to_numpy(np.int64)] = tail[["c", "n"]].to_numpy(np.int64).T
     return Model({w: i for i, (_, w) in enumerate(rows)}, np.array([-c for c, _ in rows], np.int64),
-                 int((sizes["c"] * sizes["n"]).sum()), int(sizes["n"].sum()), ends)
+                 int((sizes["c"] * sizes["n"]).sum()), int(sizes["n"].sum()), ends, *of_bucket)
 
 
 def train_model(docs: DataFrame, model: Model) -> Model:
-    """Every task passes over its texts once; parameters are averaged, weighted by tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """Every task passes over its texts once; each row of parameters is averaged, weighted by its uses."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(model)
 
     def run(batches):
         from pyspark import TaskContext
 
         mine = replace(shared.value, parameters={k: v.copy() for k, v in shared.value.parameters.items()})
         state = {k: np.zeros_like(v) for k, v in mine.parameters.items()}
-        rng, tokens = np.random.default_rng(TaskContext.get().partitionId()), 0
+        state |= {f"uses_{k}": np.zeros(len(v)) for k, v in mine.parameters.items()}
+        rng = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             for _, texts in slices(batch.column(0)):
-                _, classes, before, sizes = mine.sequences([t.lower().split() for t in texts])
-                mine.train(classes, before, state, rng)
-                tokens += int(sizes.sum())
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([mine.pack().tolist()])], names=["n", "v"])
-
-    parts = docs.select(F.col("text").cast("binary").alias("whole_text")).mapInArrow(run, "n double, v array<double>")
-    sums = parts.select("n", F.posexplode("v").alias("at", "v")).groupBy("at").agg(
-        F.sum(F.col("n") * F.col("v")).alias("v"), F.sum("n").alias("n")).toPandas().sort_values("at")
-    return model.unpack((sums["v"] / sums["n"]).to_numpy()) if len(sums) else model
+                units, before, _ = mine.sequences([t.lower().split() for t in texts])
+                mine.train(units, before, state, rng)
+        for name, values in mine.parameters.items():
+            found = []
+            for block in range(0, len(values), BLOCK):
+                uses, part = state[f"uses_{name}"][block:block + BLOCK], values[block:block + BLOCK]
+                if uses.any():
+                    sums = (part.T * uses).T
+                    found.append((name, block // BLOCK, uses.astype(np.float32).tobytes(), sums.astype(np.float32).tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (
+                    pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["name", "block", "uses", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        uses, sums = (sum(np.frombuffer(v.as_py(), np.float32).astype(float) for v in group.column(c)) for c in (2, 3))
+        return pa.table({"name": group.column(0)[:1], "block": group.column(1)[:1],
+                         "uses": [uses.tobytes()], "sums": [sums.tobytes()]}, group.schema)
+
+    schema = "name string, block int, uses binary, sums binary"
+    texts = docs.select(F.col("text").cast("binary").alias("whole_text"))
+    # a task's result is as large as the model, so a task takes several splits where there are many
+    tasks = max(2 * context.defaultParallelism, texts.rdd.getNumPartitions() // 4)
+    records = texts.coalesce(tasks).mapInArrow(run, schema).groupBy("name", "block").applyInArrow(add, schema)
+    return model.unpack(records.collect())
 
 
 def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -207,23 +312,21 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
 
     def make():
         m = shared.value
-        head_base, head_rest = m.base(m.counts), np.log10(m.counts + 0.5) - m.rest_total()
-        end_base = float(m.base(m.ends))
+        # of a unit alone; what the word of a bucket adds to it comes from the join
+        unit_base = np.concatenate((m.base(m.counts), np.zeros(m.buckets), [m.base(m.ends)]))
+        unit_share = np.concatenate((np.zeros(m.head), -np.log10(m.bucket_mass), [0.0]))
 
         def run(texts: list[bytes]) -> list:
             words = [t.lower().split() for t in texts]
-            numbers, classes, before, sizes = m.sequences(words)
-            log10 = m.log10_classes(classes, before)
+            units, before, sizes = m.sequences(words)
+            log10 = m.log10_classes(units, before) + unit_share[units]
             ends = np.cumsum(sizes)
-            known, is_end = numbers >= 0, classes == m.end
-            base = np.where(is_end, end_base, 0.0)
-            if len(head_base):
-                base += np.where(known, head_base[np.maximum(numbers, 0)], 0.0)
-                log10 += np.where(known & (classes == m.rest), head_rest[np.maximum(numbers, 0)], 0.0)
+            known, is_end = units < m.head, units == m.end
+            base = unit_base[units]
             starts = ends - sizes
             tails = []
             for text, low in zip(words, starts.tolist(), strict=True):
-                absent = np.flatnonzero(numbers[low:low + len(text)] < 0)
+                absent = np.flatnonzero(units[low:low + len(text)] >= m.head)
                 tails.append([{"word": w, "n": n} for w, n in Counter(text[i] for i in absent.tolist()).items()])
             n_known = np.add.reduceat((known | (is_end & (m.ends > 0))).astype(np.int64), starts)
             return [sizes.tolist(), n_known.tolist(), np.add.reduceat(base, starts).tolist(),
@@ -246,4 +349,4 @@ def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base_score") + logs - tails * unit).alias("base_score"),
-        (F.col("score") + logs - tails * model.rest_total()).alias("score"))
+        (F.col("score") + logs).alias("score"))

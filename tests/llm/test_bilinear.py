@@ -68,3 +68,31 @@ def test_edges(spark):
     alone = [(i, "x y") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
     found = bilinear.score_texts(spark.createDataFrame(alone, "doc_id long, text string")).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in found)
+
+
+def test_words_beyond_the_most_frequent_are_told_apart():
+    """Word 300 + k is always followed by word 600 + k, all of them equally rare: the model learns which."""
+    rng = np.random.default_rng(1)
+    counts = np.concatenate((np.full(300, 2000), np.full(600, 100)))
+    model = bilinear.Model({str(i).encode(): i for i in range(900)}, counts, int(counts.sum()) + 1000, 901, 1000)
+    first = rng.integers(300, 600, 30_000)
+    texts = np.stack([rng.integers(0, 300, len(first)), first, first + 300, np.full(len(first), model.end)], axis=1)
+    before = np.full((*texts.shape, bilinear.CONTEXT), model.end)
+    for place in range(3):
+        for j in range(place + 1):
+            before[:, place + 1, j] = texts[:, place - j]
+    state = {k: np.zeros_like(v) for k, v in model.parameters.items()}
+    start = model.log10_classes(texts[:, 2], before[:, 2]).mean()
+    for _ in range(4):
+        model.train(texts.ravel(), before.reshape(-1, bilinear.CONTEXT), state, rng)
+    right = model.log10_classes(texts[:, 2], before[:, 2]).mean()
+    wrong = model.log10_classes(np.roll(texts[:, 2], 1), before[:, 2]).mean()
+    assert right > start + 0.5 and right > wrong + 0.5
+
+
+def test_buckets_and_unseen_words_add_to_one():
+    model = bilinear.Model({b"a": 0}, np.array([5]), 40, 30, 4, np.array([20, 11]), np.array([20, 8]))
+    shares = [(20 + 0.5 * 20 + 0.5) / model.bucket_mass[0], (11 + 0.5 * 8 + 0.5) / model.bucket_mass[1]]
+    assert np.allclose(shares, 1)
+    total = sum(10 ** model.log10_classes(np.full(3, u), np.zeros((3, bilinear.CONTEXT), np.int64)) for u in range(model.end + 1))
+    assert np.allclose(total, 1, atol=1e-4)
