@@ -154,6 +154,19 @@ def test_every_long_exact_passage_is_found_for_any_place(spark):
     assert {k: n for k, n in found.items()} == {(2 * i + 1, 2 * i): 50 + i for i in range(40)}
 
 
+def test_exact_passages_whose_seeds_first_occur_in_other_texts(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for k in range(20):
+        passage, at = prose(rng, 60), 4 * k
+        rows += [(at, prose(rng, 40) + passage[:34] + prose(rng, 40)), (at + 1, prose(rng, 30) + passage[26:] + prose(rng, 50)),
+                 (at + 2, prose(rng, 20) + passage + prose(rng, 60)), (at + 3, prose(rng, 70) + passage + prose(rng, 10))]
+        want.add((at + 3, 70, 130, at + 2))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    found = passages.repeated_passages(docs).collect()
+    assert {(r["doc_id"], r["first_word"], r["end_word"], r["other_id"]) for r in found} == want
+
+
 def test_fenwick_chains_are_the_best_ordered_ones():
     rng = random.Random(1)
     for _ in range(100):
