@@ -43,7 +43,7 @@ FAMILIES = {
 OPEN = frozenset({"mit", "apache", "bsd", "isc", "mpl", "epl", "cc0", "cc-by", "public-domain"})
 STRENGTH = {"or": 1, "and": 2, "with": 3}
 _NOT_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_TOKENS = re.compile(r"[()]|[a-z0-9.+\-]+")
+_TOKENS = re.compile(r"[()]|[a-z0-9][a-z0-9.+\-]*")
 _A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -81,7 +81,9 @@ def postfix(tokens: list[str]) -> list[str] | None:
 def family(name: str) -> str:
     if name.startswith("cc-by"):
         return "cc-by-nc" if "-nc" in name else "cc-by-sa" if "-sa" in name else "cc-by"
-    return FAMILIES.get(re.split(r"[-+.0-9]", name)[0] or name, FAMILIES.get(name, "other"))
+    # the longest part of the name, up to a break or a digit, that is known
+    ends = [m.start() for m in re.finditer(r"[-+.]|(?<=[a-z])(?=[0-9])", name)]
+    return next((FAMILIES[name[:e]] for e in (len(name), *reversed(ends)) if name[:e] in FAMILIES), "other")
 
 
 def evaluate(expression: str) -> tuple[set[str], bool] | None:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from parcelmart.llm import quality, queries
-from parcelmart.llm.licenses import BASE, Scanner, evaluate, license_scan, postfix
+from parcelmart.llm.licenses import BASE, Scanner, evaluate, family, license_scan, postfix
 from parcelmart.llm.urls import judge_urls, listed_pages
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -156,3 +156,12 @@ def test_the_filter_never_loses_a_listed_url(spark):
     names = spark.range(5000).selectExpr("concat('h', id, '.net/a') AS canonical")
     asked = spark.range(10_000).selectExpr("id", "concat('h', id, '.net/a') AS canonical")
     assert listed_pages(asked, names, 256).where("listed != (id < 5000)").count() == 0
+
+
+def test_tags_in_closed_comments_and_names_with_digits():
+    scan = Scanner().scan
+    assert scan("<!-- SPDX-License-Identifier: MIT -->")[5:] == ("mit", 1.0, True)
+    assert scan("/* SPDX-License-Identifier: GPL-2.0-only OR CC0-1.0 */")[5:] == ("cc0,gpl", 1.0, True)
+    names = {"cc0-1.0": "cc0", "cc0": "cc0", "bsd-3-clause": "bsd", "apache2": "apache", "gpl-2.0+": "gpl", "mit0": "mit",
+             "cc-by-4.0": "cc-by", "mitre": "other", "0bsd": "other"}
+    assert {n: family(n) for n in names} == names
