@@ -100,7 +100,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
     """(whether it is the last, phrases) of the benchmark's blocks of items, each read when it is asked for."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    rows = rows.where("text is not null")
+    rows = rows.where("text is not null").distinct()  # repeated items count once, in the size of blocks as well
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
     for block in range(blocks):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from parcelmart.llm import passages, queries, simhash
+from parcelmart.llm import decontaminate, passages, queries, simhash
 from parcelmart.llm.components import components
 from parcelmart.llm.decontaminate import Phrases, benchmark_hits, without_benchmark
 from parcelmart.llm.fm_index import FMIndex
@@ -278,3 +278,12 @@ def test_benchmark_edges(spark):
     assert benchmark_hits(docs, none).where("contaminated").count() == 0
     assert benchmark_hits(docs.limit(0), items).count() == 0
     assert without_benchmark(docs, none).count() == len(rows)
+
+
+def test_repeated_benchmark_items_do_not_fill_a_block(spark):
+    items = [("same", "x " * 50)] * 300 + [(f"i{k}", f"word{k} " * 12) for k in range(40)]
+    sizes, real = [], decontaminate.Phrases
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "Phrases", lambda items, window: sizes.append(len(items)) or real(items, window))
+        blocks = list(decontaminate.phrase_blocks(spark.createDataFrame(items, "item_id string, text string"), block_bytes=2000))
+    assert sum(sizes) == 41 and len(blocks) == 2
