@@ -180,8 +180,10 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
               .select("doc_id", F.col("quality").cast("int").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled))
     # max_labelled rows of two numbers: bounded by the parameter
-    rows = document_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ("quality",))
-    found = rows.select("quality", "features").limit(2 * max_labelled).toPandas()
+    # max_labelled rows at most; of a repeated doc_id the text with the least hash
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("quality", "least.text")
+    found = document_statistics(texts, ("quality",)).select("quality", "features").toPandas()
     features = np.array(found["features"].tolist(), float).reshape(-1, len(FEATURES))
     good = found["quality"].to_numpy(float)
     order = np.lexsort((*features.T, good))  # the order in which rows arrive changes nothing

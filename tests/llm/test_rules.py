@@ -165,3 +165,14 @@ def test_tags_in_closed_comments_and_names_with_digits():
     names = {"cc0-1.0": "cc0", "cc0": "cc0", "bsd-3-clause": "bsd", "apache2": "apache", "gpl-2.0+": "gpl", "mit0": "mit",
              "cc-by-4.0": "cc-by", "mitre": "other", "0bsd": "other"}
     assert {n: family(n) for n in names} == names
+
+
+def test_a_repeated_labelled_doc_id_does_not_fill_the_sample(spark):
+    rows = [(1, f"copy {k} " * 30) for k in range(300)] + [(d, f"w{d} " * (20 + 7 * d)) for d in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(1, 12)], "doc_id long, quality int")
+    sizes, real = [], quality.fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "fit", lambda features, good: sizes.append(len(good)) or real(features, good))
+        quality.fit_on_labels(docs, labels, 11)
+    assert sizes == [11]
