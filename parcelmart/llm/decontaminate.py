@@ -172,24 +172,32 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     A text is searched again after a cut, as the words around it may form a phrase. Texts without a hit are unchanged.
     """
-    context = docs.sparkSession.sparkContext
-    for i, (_, phrases) in enumerate(phrase_blocks(benchmark, window, block_bytes)):
-        shared = context.broadcast(phrases)
-
-        def make(shared=shared):
-            known = shared.value
-
-            def run(texts: list[bytes]) -> list[bytes]:
-                texts, check = list(texts), list(range(len(texts)))
-                while check:
-                    hits = known.hits([texts[i].translate(_PLAIN).split() for i in check])
-                    check = [(i, s) for i, (s, _) in zip(check, hits, strict=True) if s]
-                    for i, spans in check:
-                        texts[i] = cut_spans(texts[i], spans)
-                    check = [i for i, _ in check]
-                return texts
-
-            return run
-
-        docs = replace_texts(written(docs, "decontaminated") if i else docs, make)
-    return docs
+    context, size = docs.sparkSession.sparkContext, None
+    while True:
+        i = -1
+        for i, (_, phrases) in enumerate(phrase_blocks(benchmark, window, block_bytes)):
+            shared = context.broadcast(phrases)
+
+            def make(shared=shared):
+                known = shared.value
+
+                def run(texts: list[bytes]) -> list[bytes]:
+                    texts, check = list(texts), list(range(len(texts)))
+                    while check:
+                        hits = known.hits([texts[i].translate(_PLAIN).split() for i in check])
+                        check = [(i, s) for i, (s, _) in zip(check, hits, strict=True) if s]
+                        for i, spans in check:
+                            texts[i] = cut_spans(texts[i], spans)
+                        check = [i for i, _ in check]
+                    return texts
+
+                return run
+
+            docs = replace_texts(written(docs, "decontaminated") if i else docs, make)
+        if i < 1:
+            return docs
+        # a cut for one block may have made a phrase of another: until a round over all blocks cuts nothing
+        docs = written(docs, "decontaminated")
+        before, size = size, docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"]
+        if size == before:
+            return docs

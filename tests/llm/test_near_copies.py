@@ -287,3 +287,15 @@ def test_repeated_benchmark_items_do_not_fill_a_block(spark):
         patch.setattr(decontaminate, "Phrases", lambda items, window: sizes.append(len(items)) or real(items, window))
         blocks = list(decontaminate.phrase_blocks(spark.createDataFrame(items, "item_id string, text string"), block_bytes=2000))
     assert sum(sizes) == 41 and len(blocks) == 2
+
+
+@pytest.mark.parametrize("last", [0, 1])
+def test_a_cut_for_a_later_block_makes_no_phrase_of_an_earlier(spark, monkeypatch, last):
+    inner, outer = [f"in{k}" for k in range(10)], [f"out{k}" for k in range(10)]
+    items = [("a", " ".join(inner).encode()), ("b", " ".join(outer).encode())]
+    blocks = [items[1 - last], items[last]]
+    monkeypatch.setattr(decontaminate, "phrase_blocks", lambda *_: ((i == 1, Phrases([b])) for i, b in enumerate(blocks)))
+    texts = [" ".join(["head", *x[:4], *y, *x[4:], "tail"]) for x, y in ((inner, outer), (outer, inner))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = without_benchmark(docs, None).collect()
+    assert {r["doc_id"]: r["text"].split() for r in found} == {0: ["head", "tail"], 1: ["head", "tail"]}
