@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelmart.llm.bilinear import score_texts
+from parcelmart.llm.conversations import damage, repair_report
 from parcelmart.llm.decontaminate import benchmark_hits
 from parcelmart.llm.licenses import license_scan
 from parcelmart.llm.passages import repeated_passages
@@ -75,6 +76,11 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages, pages.where(host.rlike(REPORTED)))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = read(spark, folder, "conversations")
+    return repair_report(conversations, damage(conversations))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +90,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 def jobs():
     return {f.__name__: f for f in (
         op1_token_counts, op2_quality_rules, op3_license_scan, op4_token_files, op5_simhash_near_dedup,
-        op6_repeated_passages, op7_decontamination, op8_sentencepiece, op9_log_bilinear_scores, op10_url_filter, pipeline)}
+        op6_repeated_passages, op7_decontamination, op8_sentencepiece, op9_log_bilinear_scores, op10_url_filter, op11_conversation_repair,
+        pipeline)}
 
 
 _RULES = """
