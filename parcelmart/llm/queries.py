@@ -13,6 +13,7 @@ from parcelmart.llm.passages import repeated_passages
 from parcelmart.llm.pieces import round_trip_digests
 from parcelmart.llm.quality import quality_rules
 from parcelmart.llm.simhash import near_duplicates
+from parcelmart.llm.small_world import nearest_neighbours
 from parcelmart.llm.token_counts import token_counts
 from parcelmart.llm.token_files import token_file_report
 from parcelmart.llm.urls import judge_urls
@@ -81,6 +82,11 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair_report(conversations, damage(conversations))
 
 
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read(spark, folder, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +97,7 @@ def jobs():
     return {f.__name__: f for f in (
         op1_token_counts, op2_quality_rules, op3_license_scan, op4_token_files, op5_simhash_near_dedup,
         op6_repeated_passages, op7_decontamination, op8_sentencepiece, op9_log_bilinear_scores, op10_url_filter, op11_conversation_repair,
-        pipeline)}
+        op12_nearest_neighbours, pipeline)}
 
 
 _RULES = """
