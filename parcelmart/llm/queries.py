@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelmart.llm.bilinear import score_texts
+from parcelmart.llm.block_search import ranked_search
 from parcelmart.llm.conversations import damage, repair_report
 from parcelmart.llm.decontaminate import benchmark_hits
 from parcelmart.llm.licenses import license_scan
@@ -87,6 +88,10 @@ def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(read(spark, folder, "documents"), read(spark, folder, "benchmark"), 20)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +102,7 @@ def jobs():
     return {f.__name__: f for f in (
         op1_token_counts, op2_quality_rules, op3_license_scan, op4_token_files, op5_simhash_near_dedup,
         op6_repeated_passages, op7_decontamination, op8_sentencepiece, op9_log_bilinear_scores, op10_url_filter, op11_conversation_repair,
-        op12_nearest_neighbours, pipeline)}
+        op12_nearest_neighbours, op13_ranked_search, pipeline)}
 
 
 _RULES = """
@@ -114,6 +119,10 @@ _RULES = """
           FROM (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest
                 FROM pages))
 """
+_TERMS = """
+    SELECT {key}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {table}
+"""
 ORACLE = {
     "op10_url_filter": f"""
         WITH judged AS ({_RULES}),
@@ -125,6 +134,21 @@ ORACLE = {
                l.canonical IS NOT NULL AS listed
         FROM judged LEFT JOIN listed l USING (canonical)
     """,
+    "op13_ranked_search": f"""
+        WITH words AS ({_TERMS.format(key="doc_id", table="documents")}),
+        postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+        sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM postings GROUP BY doc_id),
+        corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes),
+        lengths AS (SELECT doc_id, 75 + (25 * n * docs) // total AS m FROM sizes, corpus),
+        weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+                    FROM postings, corpus GROUP BY term),
+        asked AS (SELECT item_id, term, count(*) AS times FROM ({_TERMS.format(key="item_id", table="benchmark")}) GROUP BY ALL),
+        scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+                   FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY ALL)
+        SELECT item_id, rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 20
+    """,
 }
 
 
