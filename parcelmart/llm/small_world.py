@@ -22,9 +22,10 @@ LINKS = 16  # of a node in the upper layers; twice as many in the lowest
 BUILD_BEAM = 64
 SEARCH_BEAM = 160
 UPPER_BEAM = 8
-SHARD_NUMBERS = 1 << 20  # components of all vectors of a shard
+SHARD_NUMBERS = 1 << 19  # components of all vectors of a shard
 QUERY_NUMBERS = 1 << 17  # components of all vectors of a block of queries
 ROWS_AT_ONCE = 256
+PAIRS_AT_ONCE = 1 << 21  # pairs of candidates compared at once
 SEED = 17
 
 
@@ -85,6 +86,9 @@ def spread_out(points: np.ndarray, candidates: np.ndarray, near: np.ndarray, mos
     """Up to ``most`` of each row's candidates (nearest first, -1: none): those nearer to the row's own point than to any
     chosen before, then the nearest of the others."""
     rows, width = candidates.shape
+    if rows > 1 and rows * width * width > PAIRS_AT_ONCE:
+        half = rows // 2
+        return np.concatenate([spread_out(points, candidates[r], near[r], most) for r in (slice(half), slice(half, None))])
     vectors = points[candidates]
     between = vectors @ vectors.transpose(0, 2, 1)
     chosen = np.zeros((rows, width), bool)
@@ -205,8 +209,9 @@ def write_graphs(vectors: DataFrame, k: int, shard_numbers: int = SHARD_NUMBERS)
     nodes = written(ranked.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "small-world-nodes")
     sizes = nodes.groupBy(F.size("embedding").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
     shards = sizes.select("dims", F.ceil(F.col("n") * F.col("dims") / shard_numbers).alias("shards"))
+    tasks = shards.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]  # building takes long for its size: a task for each shard
     dealt = nodes.withColumn("dims", F.size("embedding")).join(shards, "dims").withColumn(
-        "shard", F.pmod(F.xxhash64("embedding"), F.col("shards")))
+        "shard", F.pmod(F.xxhash64("embedding"), F.col("shards"))).repartition(tasks, "dims", "shard")
 
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dims = key[0].as_py()
