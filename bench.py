@@ -1,7 +1,7 @@
 """Times the headline queries; prints one JSON line.
 
 BENCH_SF_DIR: folder of test tables, BENCH_CPUS: local cores. Metrics run on refreshed marts, whose
-refresh is timed as well; retrieval runs on the ingested corpus, whose ingestion is timed as well.
+refresh is timed as well; retrieval runs on the ingested corpus and its index, whose ingestion and writing are timed as well.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ def main() -> None:
     for name, call in warehouse.metric_calls().items():
         timed(f"metric_{name}", lambda c=call: drain(decimals_to_double(c(marts).rows)))
     timed("ingest_knowledge", lambda: knowledge.corpus(spark, folder))
+    timed("index_knowledge", lambda: knowledge.index(spark, folder))
+    timed("hash_embedding_blake2b", lambda: drain(knowledge._embedding_checks(spark, folder, "blake2b")))
     timed("route_requests", lambda: requests.stored_requests(spark, folder))
     jobs = all_jobs()
     for name in DIRECT:

@@ -167,7 +167,8 @@ CTE["c_lexical"] = """SELECT h.query_id, h.chunk_id, CAST(title_hits AS INT) AS
 CTE["top_lexical"] = "SELECT * FROM c_lexical WHERE fts_rank <= 30"
 SQL["lexical_candidates"] = """SELECT query_id, chunk_id, fts_rank, title_hits, lexical_hits, fts_score FROM top_lexical"""
 
-SQL["fts_score"] = "SELECT query_id, chunk_id, round(words * 0.1::DOUBLE, 8) AS fts_score FROM c_fts"
+SQL["fts_score"] = """SELECT query_id, chunk_id, round(words * 0.1::DOUBLE, 8) AS fts_score FROM (SELECT *, row_number() OVER (
+    PARTITION BY query_id ORDER BY words DESC, chunk_id) AS r FROM c_fts) WHERE r <= 30"""
 
 _embedding("c", "k_texts", "chunk_id", "full_text")
 _embedding("q", "q_all", "query_id", "query")

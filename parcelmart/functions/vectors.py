@@ -82,14 +82,3 @@ def hyperplanes(dimensions: int, bits: int, seed: int) -> np.ndarray:
 
 def sign_codes(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return ((vectors @ planes) > 0) @ (1 << np.arange(planes.shape[1]))
-
-
-def sign_code(vector: Column, dimensions: int, bits: int, seed: int) -> Column:
-    """Which side of each of ``bits`` random hyperplanes a vector lies on, as one integer."""
-
-    @F.pandas_udf("int")
-    def code(batch: pd.Series) -> pd.Series:
-        matrix = np.stack(batch.to_numpy()).astype(float) if len(batch) else np.zeros((0, dimensions))
-        return pd.Series(sign_codes(matrix, hyperplanes(dimensions, bits, seed)).astype("int32"))
-
-    return code(vector)

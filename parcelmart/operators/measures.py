@@ -68,6 +68,8 @@ MEASURE_NAMES = (
     "installments", "installments_n", "sequences", "sequences_n",
 )
 
+MONEY = ("goods", "freight", "paid")
+
 # Which measures each result column needs, and its formula over them.
 FORMULAS: dict[str, tuple[tuple[str, ...], Column]] = {}
 
@@ -119,12 +121,9 @@ def summed(df: DataFrame, keys: list[Column | str], columns: list[str]) -> DataF
     return df.groupBy(*keys).agg(*aggregates)
 
 
-def resummed(df: DataFrame, keys: list[Column | str], columns: list[str]) -> DataFrame:
-    """Adds already summed measures up to coarser keys."""
-    money_sums = {"goods", "freight", "paid"}
-    return df.groupBy(*keys).agg(
-        *[(_money_sum(m) if m in money_sums else F.sum(m)).alias(m) for m in needed(columns)]
-    )
+def narrowed(measure: str, total: Column) -> Column:
+    """A total of sums as wide as the sum itself."""
+    return total.cast("decimal(24,2)") if measure in MONEY else total
 
 
 def formulas(columns: list[str]) -> list[Column]:

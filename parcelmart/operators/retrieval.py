@@ -1,33 +1,29 @@
-"""Hybrid retrieval: a table of queries against a table of chunks.
+"""Hybrid retrieval: a table of queries against an index of chunks.
 
-Lexical and vector candidates come from one scan of the chunks (``operators.ranking``), are fused by
-weighted reciprocal ranks and cut to the best few per query.
+Lexical candidates come from stored postings (``operators.postings``), vector candidates from packed cells (``operators.cells``); both
+are fused by weighted reciprocal ranks and cut to the best few per query. Queries stay a table from start to end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelmart.functions.patterns import PatternSet
 from parcelmart.functions.text import excerpt, flag_injection, strip
 from parcelmart.functions.tokens import tokenize
-from parcelmart.functions.vectors import DIMENSIONS, hash_embedding, hyperplanes, sign_code, sign_codes
-from parcelmart.operators.ranking import SLICE_QUERIES, Listing, Scorer, scan_top_n
+from parcelmart.functions.vectors import DIMENSIONS, hash_embedding
+from parcelmart.operators import cells, postings
 
 MAX_TERMS = 18
 CANDIDATES = 30
 RRF_K = 60
 FTS_WEIGHT, VECTOR_WEIGHT = 0.75, 0.25
-WORD_WEIGHT = 0.1  # score of one matching word position
 BONUS_PER_TERM, BONUS_TERMS = 0.0001, 5
 MODES = ("hybrid", "fts", "vector")
 EXCERPT_CHARS = 800
-MAX_CODE_BITS = 12  # 4,096 folders at most
 
 # Fixed values: (trigger words, terms added to a query that contains one of them).
 SYNONYMS: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = (
@@ -74,203 +70,84 @@ def prepare_queries(
     )
 
 
-# --- candidates --------------------------------------------------------------------------------------
-
-
-def _lexical_scorer(queries: pd.DataFrame) -> Scorer:
-    """Counts per (row, query), added up from the terms a row really contains."""
-    term_lists = [list(t) if t is not None else [] for t in queries["terms"]]
-    users: dict[str, list[int]] = {}
-    for q, some in enumerate(term_lists):
-        for term in some:
-            users.setdefault(term, []).append(q)
-    patterns = PatternSet(list(users), like_wildcards=True)
-    asked_by = np.array([q for some in users.values() for q in some], dtype=np.int64)
-    width = np.array([len(some) for some in users.values()], dtype=np.int64)
-    begin = np.cumsum(width) - width
-
-    def add_up(found: list[dict[int, int]], weighted: bool) -> np.ndarray:
-        rows = np.repeat(np.arange(len(found)), [len(hits) for hits in found])
-        terms = np.fromiter((t for hits in found for t in hits), np.int64, len(rows))
-        weights = np.fromiter((n for hits in found for n in hits.values()), float, len(rows)) if weighted else None
-        repeat = width[terms]
-        offset = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-        cell = np.repeat(rows, repeat) * len(term_lists) + asked_by[np.repeat(begin[terms], repeat) + offset]
-        values = np.repeat(weights, repeat) if weighted else None
-        return np.bincount(cell, values, len(found) * len(term_lists)).reshape(len(found), -1).astype(float)
-
-    def score(block: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        per_title = {t: patterns.hits(t.lower()) for t in block["title"].unique()}
-        titles = [per_title[t] for t in block["title"]]
-        bodies = [patterns.hits(c.lower()) for c in block["content"]]
-        title_hits = add_up(titles, False)
-        hits = add_up([t | b for t, b in zip(titles, bodies, strict=True)], False)
-        words = add_up(bodies, True)
-        primary = np.where(hits > 0, title_hits * 1e12 + hits * 1e9 + words, -np.inf)
-        return primary, {
-            "title_hits": title_hits, "lexical_hits": hits, "fts_score": np.round(words * WORD_WEIGHT, 8)
-        }
-
-    return score
-
-
-def word_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, fts_score) for every pair that shares a word, by an equi-join on the word.
-
-    A chunk's words are counted before the join. Only terms of letters and digits are words; a term with a hyphen or an
-    underscore has no word score, as in the ranked lists.
-    """
-    word = F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))).alias("word")
-    counted = chunks.select("chunk_id", word).groupBy("chunk_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.select("query_id", F.explode("terms").alias("word")).filter(F.col("word").rlike("^[\\p{L}\\p{N}]+$"))
-    return counted.join(asked, "word").groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum("n") * F.lit(WORD_WEIGHT), 8).alias("fts_score"))
-
-
-CHUNK_COLUMNS = ["chunk_id", "document_id", "title", "ordinal", "heading_path", "content"]
-#: What candidates carry: the key and what breaks ties. Texts are joined to the few results.
-RANKED_COLUMNS = ["chunk_id", "title", "ordinal"]
-
-
-LEXICAL = Listing(
-    "lexical", _lexical_scorer, ("title", "ordinal", "chunk_id"), ("title_hits", "lexical_hits", "fts_score")
-)
+# --- the index ---------------------------------------------------------------------------------------
 
 
-def _candidates(
-    chunks: DataFrame, queries: DataFrame, listings: list[Listing], n: int, slice_queries: int = SLICE_QUERIES
-) -> DataFrame:
-    """Candidate lists of all ``listings`` from one scan of the chunks, one row per list entry."""
-    vector = any(listing.name == "vector" for listing in listings)
-    lexical = any(listing.name == "lexical" for listing in listings)
-    of_query = ["query_id", *(["terms"] if lexical else []), *(["query_embedding"] if vector else [])]
-    found = scan_top_n(
-        chunks, queries.select(*of_query), listings, key="query_id", n=n,
-        needs=[*(["content"] if lexical else []), *(["embedding"] if vector else [])], payload=RANKED_COLUMNS, slice_queries=slice_queries,
-    )
-    if lexical:
-        found = found.withColumns({c: F.col(c).cast("int") for c in ("title_hits", "lexical_hits")})
-    return _without_nan(found) if vector else found
+@dataclass(frozen=True)
+class SearchIndex:
+    """Chunks as they were when it was written, their postings, and their vectors packed in cells of a trained quantiser."""
 
-
-def lexical_candidates(
-    chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, slice_queries: int = SLICE_QUERIES
-) -> DataFrame:
-    """Best n chunks per query by terms met in the title, terms met at all, matching word positions."""
-    found = _candidates(chunks, queries, [LEXICAL], n, slice_queries)
-    return found.drop("listing").withColumnRenamed("list_rank", "fts_rank")
+    chunks: DataFrame
+    postings: postings.Postings
+    cells: DataFrame
+    centroids: np.ndarray
 
 
-def _stack(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as a matrix, and which rows have one."""
-    present = column.notna().to_numpy()
-    if not present.any():
-        return np.zeros((len(column), 1)), present
-    known = np.stack(column[present].to_numpy()).astype(np.float64)
-    out = np.zeros((len(column), known.shape[1]))
-    out[present] = known
-    return out, present
+def write_search_index(chunks: DataFrame, folder: str, n_cells: int | None = None) -> SearchIndex:
+    """Builds the index of ``chunks`` below ``folder``. A search reads it as often as it likes; new chunks need a new one."""
+    known = postings.write_postings(chunks, f"{folder}/postings")
+    centroids = cells.train_centroids(chunks, "chunk_id", "embedding", n_cells)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(centroids)]
+    chunks.sparkSession.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centroids")
+    packed = cells.write_cells(cells.nearest_cells(chunks, "chunk_id", "embedding", centroids), f"{folder}/cells")
+    return SearchIndex(known.chunks, known, packed, centroids)
 
 
-def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    norm = np.sqrt((vectors * vectors).sum(axis=1))
-    return np.divide(vectors, norm[:, None], out=np.zeros_like(vectors), where=norm[:, None] > 0), norm > 0
+def read_search_index(spark: SparkSession, folder: str) -> SearchIndex:
+    """The index that was written to ``folder``."""
+    rows = spark.read.parquet(f"{folder}/centroids").orderBy("cell").collect()
+    known = postings.read_postings(spark, f"{folder}/postings")
+    return SearchIndex(known.chunks, known, spark.read.parquet(f"{folder}/cells"),
+                       np.array([r["centroid"] for r in rows]).reshape(len(rows), -1))
 
 
-def vector_scorer(
-    vector: str = "embedding", query_vector: str = "query_embedding", code: str | None = None,
-    radius: int = 0, planes: np.ndarray | None = None,
-) -> Callable[[pd.DataFrame], Scorer]:
-    """Cosine similarity as one matrix product per block.
-
-    A row without direction (all zero) ranks behind every other row and has no score; a row without a
-    vector is no candidate; a query without direction finds nothing. With ``code`` only rows whose sign
-    code is within ``radius`` bits count.
-    """
-    def build(queries: pd.DataFrame) -> Scorer:
-        raw, _ = _stack(queries[query_vector])
-        targets, usable = _unit(raw)
-        codes = sign_codes(raw, planes) if code else None
+# --- candidates --------------------------------------------------------------------------------------
 
-        def score(block: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-            vectors, present = _stack(block[vector])
-            if not present.any():
-                nothing = np.full((len(block), len(queries)), -np.inf)
-                return nothing, {"vector_score": nothing}
-            rows, directed = _unit(vectors)
-            value = np.round(rows @ targets.T, 8) + 0.0
-            primary = np.where(directed[:, None], value, -2.0)
-            primary[~present] = -np.inf
-            primary[:, ~usable] = -np.inf
-            if code:
-                apart = np.bitwise_count(block[code].to_numpy()[:, None] ^ codes[None, :])
-                primary[apart > radius] = -np.inf
-            return primary, {"vector_score": np.where(directed[:, None], value, np.nan)}
+CHUNK_COLUMNS = postings.CHUNK_COLUMNS
 
-        return score
 
-    return build
+def lexical_candidates(index: SearchIndex, queries: DataFrame, n: int = CANDIDATES) -> DataFrame:
+    """Best n chunks per query by terms met in the title, terms met at all, matching word positions."""
+    return postings.lexical_candidates(index.postings, queries, n)
 
 
-VECTOR = Listing("vector", vector_scorer(), ("chunk_id",), ("vector_score",))
+def word_scores(index: SearchIndex, queries: DataFrame, n: int | None = CANDIDATES) -> DataFrame:
+    """(query_id, chunk_id, fts_score): the n best chunks per query by matching word positions, ties to the smaller chunk_id; all that
+    share a word where n is None."""
+    return postings.word_scores(index.postings, queries, n)
 
 
 def vector_candidates(
-    chunks: DataFrame, queries: DataFrame, n: int = CANDIDATES, slice_queries: int = SLICE_QUERIES
-) -> DataFrame:
-    """Nearest n chunks per query by cosine similarity; exact."""
-    found = _candidates(chunks.filter("embedding IS NOT NULL"), queries, [VECTOR], n, slice_queries)
-    return found.drop("listing").withColumnRenamed("list_rank", "vector_rank")
-
-
-def nearest_vectors(
-    table: DataFrame, queries: DataFrame, n: int = CANDIDATES, *, payload: list[str], ties: list[str],
-    key: str = "query_id",
+    index: SearchIndex, queries: DataFrame, n: int = CANDIDATES, probes: int | None = None
 ) -> DataFrame:
-    """Nearest n rows of any table with an ``embedding`` per query vector (``query_embedding``)."""
-    listing = Listing("vector", vector_scorer(), tuple(ties), ("vector_score",))
-    found = scan_top_n(table, queries, [listing], key=key, n=n, needs=["embedding"], payload=payload)
-    return _without_nan(found).drop("listing").withColumnRenamed("list_rank", "vector_rank")
+    """Nearest n chunks per query by cosine similarity: in the ``probes`` nearest cells, or in all (exact).
 
-
-def _without_nan(found: DataFrame) -> DataFrame:
-    return found.withColumn("vector_score", F.nullif("vector_score", F.lit(float("nan"))))
+    A chunk without direction (all zero) ranks behind every other and has no score; one without a vector is no candidate; a
+    query without direction finds nothing.
+    """
+    asked = cells.nearest_cells(queries, "query_id", "query_embedding", index.centroids, probes or len(index.centroids))
+    return cells.search_cells(index.cells, asked, n, "chunk_id")
 
 
-# --- approximate vector index: files by sign code --------------------------------------------------------
+def nearest_vectors(packed: DataFrame, centroids: np.ndarray, queries: DataFrame, n: int = CANDIDATES, *, key: str, probes: int | None = None) -> DataFrame:
+    """The same over any table of vectors written by ``cells.write_cells``."""
+    asked = cells.nearest_cells(queries, "query_id", "query_embedding", centroids, probes or len(centroids))
+    return cells.search_cells(packed, asked, n, key)
 
 
 def write_vector_index(
-    vectors: DataFrame, path: str, *, vector: str = "embedding", dimensions: int = DIMENSIONS, bits: int = 6,
-    seed: int = 7,
-) -> None:
-    """Writes the vectors in folders by sign code (2^bits at most); a crowded folder just has more files."""
-    if not 1 <= bits <= MAX_CODE_BITS:
-        raise ValueError(f"bits must be from 1 to {MAX_CODE_BITS}")
-    coded = vectors.withColumn("sign_code", sign_code(F.col(vector), dimensions, bits, seed))
-    coded.hint("rebalance", "sign_code").write.mode("overwrite").partitionBy("sign_code").parquet(path)
+    vectors: DataFrame, path: str, *, key: str, vector: str = "embedding", dimensions: int = DIMENSIONS, bits: int = 6, seed: int = 7,
+) -> DataFrame:
+    """Vectors in folders by sign code (2^bits at most): an index that needs no training."""
+    return cells.write_cells(cells.code_cells(vectors, key, vector, dimensions, bits, seed), path)
 
 
 def vector_candidates_lsh(
-    index: DataFrame, queries: DataFrame, n: int = CANDIDATES, *, key: str = "query_id",
-    vector: str = "embedding", query_vector: str = "query_embedding", payload: list[str], ties: list[str],
+    index: DataFrame, queries: DataFrame, n: int = CANDIDATES, *, key: str, vector: str = "query_embedding",
     dimensions: int = DIMENSIONS, bits: int = 6, radius: int = 2, seed: int = 7,
 ) -> DataFrame:
-    """Nearest n among rows whose sign code is within ``radius`` bits of the query's; exact at radius = bits.
-
-    The codes that any query probes are few (2^bits at most), so they become a partition filter and the
-    other folders are never read.
-    """
-    probed = queries.select(sign_code(F.col(query_vector), dimensions, bits, seed).alias("c")).distinct()
-    wanted = [r["c"] for r in probed.collect()]
-    near = [c for c in range(1 << bits) if any((c ^ w).bit_count() <= radius for w in wanted)]
-    build = vector_scorer(vector, query_vector, "sign_code", radius, hyperplanes(dimensions, bits, seed))
-    found = scan_top_n(
-        index.filter(F.col("sign_code").isin(near)), queries.select(key, query_vector),
-        [Listing("vector", build, tuple(ties), ("vector_score",))], key=key, n=n, needs=[vector, "sign_code"],
-        payload=payload,
-    )
-    return _without_nan(found).drop("listing").withColumnRenamed("list_rank", "vector_rank")
+    """Nearest n among rows whose sign code is within ``radius`` bits of the query's; exact at radius = bits."""
+    return cells.search_cells(index, cells.code_cells(queries, "query_id", vector, dimensions, bits, seed, radius), n, key)
 
 
 # --- fusion --------------------------------------------------------------------------------------------
@@ -287,7 +164,8 @@ def rrf_fuse(
     parts = []
     for name, rank, frame in (("lexical", "fts_rank", lexical), ("vector", "vector_rank", vector)):
         if frame is not None:
-            parts.append(frame.withColumnRenamed(rank, "list_rank").withColumn("listing", F.lit(name)))
+            kept = [c for c in ("query_id", "chunk_id", rank, *SCORE_TYPES) if c in frame.columns]
+            parts.append(frame.select(*kept).withColumnRenamed(rank, "list_rank").withColumn("listing", F.lit(name)))
     entries = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     return fuse_entries(entries, mode, k, fts_weight, vector_weight, candidates)
 
@@ -302,7 +180,6 @@ def fuse_entries(
     gaps = {c: F.lit(None).cast(t) for c, t in SCORE_TYPES.items() if c not in entries.columns}
     rank_in = lambda name: F.max(F.when(F.col("listing") == name, F.col("list_rank")))
     merged = entries.withColumns(gaps).groupBy("query_id", "chunk_id").agg(
-        *[F.any_value(c).alias(c) for c in RANKED_COLUMNS if c != "chunk_id"],
         *[F.max(c).alias(c) for c in SCORE_TYPES],
         rank_in("lexical").alias("fts_rank"), rank_in("vector").alias("vector_rank"),
     ).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fts_score", "lexical_hits", "title_hits")})
@@ -326,17 +203,19 @@ def rerank_bonus(terms: Column, title: Column, heading_path: Column) -> Column:
 
 
 def hybrid_search(
-    chunks: DataFrame, queries: DataFrame, limit: int = 5, mode: str = "hybrid", *, candidate_k: int = CANDIDATES,
+    index: SearchIndex, queries: DataFrame, limit: int = 5, mode: str = "hybrid", *, candidate_k: int = CANDIDATES,
     k: int = RRF_K, fts_weight: float = FTS_WEIGHT, vector_weight: float = VECTOR_WEIGHT, rerank: bool = False,
+    probes: int | None = None,
 ) -> DataFrame:
     """Best chunks per prepared query, ``result_rank`` 1 first."""
     if mode not in MODES:
         raise ValueError(f"Unsupported retrieval mode: {mode}")
     wanted = max(1, min(limit, 20))
     n = max(wanted, min(candidate_k, 200))
-    listings = {"hybrid": [LEXICAL, VECTOR], "fts": [LEXICAL], "vector": [VECTOR]}[mode]
-    fused = fuse_entries(_candidates(chunks, queries, listings, n), mode, k, fts_weight, vector_weight, n)
-    return best_results(fused, queries, chunks, wanted, mode, rerank)
+    lexical = lexical_candidates(index, queries, n) if mode != "vector" else None
+    vector = vector_candidates(index, queries, n, probes) if mode != "fts" else None
+    fused = rrf_fuse(lexical, vector, mode, k, fts_weight, vector_weight, n)
+    return best_results(fused, queries, index.chunks, wanted, mode, rerank)
 
 
 def best_results(
@@ -346,7 +225,7 @@ def best_results(
     bonus = F.lit(0.0)
     if rerank:
         fused = fused.join(queries.select("query_id", "terms"), "query_id").join(
-            chunks.select("chunk_id", "heading_path"), "chunk_id")
+            chunks.select("chunk_id", "title", "heading_path"), "chunk_id")
         bonus = rerank_bonus(F.col("terms"), F.col("title"), F.col("heading_path"))
     scored = fused.withColumn("rerank_score", F.round(F.col("fused_score") + bonus, 8))
     order = Window.partitionBy("query_id").orderBy(

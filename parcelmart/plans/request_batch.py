@@ -1,8 +1,10 @@
 """All metric calls of a whole table of requests in one job.
 
-Requests share ranges, so each distinct range is computed once. A mart is first summed per key and day,
-then each range is cut into whole months and single days, and the sums of those pieces are added. Joins
-are on (piece) equality; no request is ever compared with the orders themselves.
+Requests share ranges, so each distinct range is computed once. The first days of all ranges and the days after their last
+are the edges. A mart is summed per key and day, then per key and the edge that follows the day, and added up along the edges to running
+totals; a range is the total at its last edge less the one at its first, two rows met by equality. Rows that
+don't add up (the best reviews of a range) are ranked once in spans of 1, 2, 4, ... neighbouring edges, and a range is put together
+from the few spans that fill it. No range unfolds into days, and no request is compared with the orders themselves.
 """
 
 from __future__ import annotations
@@ -17,11 +19,10 @@ from pyspark.sql import functions as F
 from parcelmart.functions.numbers import decimals_to_double, ratio
 from parcelmart.functions.timing import month_of
 from parcelmart.operators import measures, metrics
-from parcelmart.operators.joins import salted_join
 from parcelmart.plans.warehouse import Marts
 
 RANGE = ["start_date", "end_date"]
-PIECE = ["grain", "bucket"]
+SPAN = ["level", "span"]
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,7 @@ CALLS: dict[str, tuple[Call, ...]] = {
     "mixed": (Call(1, "delivery_overall", "late_delivery_rate", 1),),
 }
 MAX_SCORE = 2
+MAX_LEVEL = 24  # spans of up to 2^24 edges: more than there are days
 
 
 def _calls_of(requests: DataFrame, family: str) -> DataFrame:
@@ -77,45 +79,58 @@ def _parameters(family: str) -> Call:
     return next(c for calls in CALLS.values() for c in calls if c.family == family)
 
 
-def _pieces(calls: DataFrame, span: DataFrame) -> DataFrame:
-    """Distinct ranges cut into pieces: ('M', first day) for whole months, ('D', day) for other days.
+def _edges(calls: DataFrame) -> DataFrame:
+    """(edge, edge_no): the days where a range starts or has just ended, numbered from 1. At most as many as there are days."""
+    ranges = calls.select(*RANGE).distinct().where("start_date <= end_date")
+    edges = ranges.select(F.explode(F.array("start_date", F.date_add("end_date", 1))).alias("edge")).distinct()
+    return edges.withColumn("edge_no", F.row_number().over(Window.orderBy("edge")))
 
-    ``span`` (one row: first, last day of data) bounds the days a range can unfold into.
-    """
+
+def _numbered(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct ranges with the numbers of their edges."""
     ranges = calls.select(*RANGE).distinct()
-    bounds = span.select(F.struct("first", "last").alias("bounds")).scalar()
-    clipped = ranges.withColumn("bounds", bounds).withColumns({
-        "a": F.greatest("start_date", "bounds.first"), "b": F.least("end_date", "bounds.last"),
-    }).filter("a <= b")
-    days = clipped.select(*RANGE, F.explode(F.sequence("a", "b")).alias("day"))
-    month = F.trunc("day", "month")
-    whole = (month >= F.col("start_date")) & (F.last_day("day") <= F.col("end_date"))
-    return days.select(
-        *RANGE, F.when(whole, F.lit("M")).otherwise(F.lit("D")).alias("grain"),
-        F.when(whole, month).otherwise(F.col("day")).alias("bucket"),
-    ).distinct()
-
-
-def _span(mart: DataFrame) -> DataFrame:
-    return mart.agg(
-        F.min("purchased_at").cast("date").alias("first"), F.max("purchased_at").cast("date").alias("last")
-    )
+    return ranges.join(edges.select(F.col("edge").alias("start_date"), F.col("edge_no").alias("first_no")), "start_date").join(
+        edges.select(F.date_sub("edge", 1).alias("end_date"), F.col("edge_no").alias("last_no")), "end_date")
 
 
-def _piece_sums(mart: DataFrame, keys: list[Column], names: list[str], columns: list[str]) -> DataFrame:
-    """Sums per key and day, and the same per month, keyed by piece."""
-    by_day = measures.summed(mart, [F.col("purchased_at").cast("date").alias("bucket"), *keys], columns)
-    by_month = measures.resummed(by_day, [F.trunc("bucket", "month").alias("bucket"), *names], columns)
-    return by_day.withColumn("grain", F.lit("D")).unionByName(by_month.withColumn("grain", F.lit("M")))
+def _edge_of_day(days: DataFrame, edges: DataFrame) -> DataFrame:
+    """(bucket, edge_no): the first edge after each day; days after the last edge are in no range. One row per day of the calendar."""
+    marks = days.select("bucket", F.lit(None).cast("int").alias("edge_no")).unionByName(
+        edges.select(F.col("edge").alias("bucket"), "edge_no"))
+    later = Window.orderBy(F.desc("bucket"), F.asc_nulls_first("edge_no")).rowsBetween(Window.unboundedPreceding, 0)
+    following = marks.select("bucket", F.last("edge_no", ignorenulls=True).over(later).alias("following"), F.col("edge_no").isNull().alias("is_day"))
+    return following.where("is_day AND following IS NOT NULL").select("bucket", F.col("following").alias("edge_no"))
 
 
-def _range_sums(
-    calls: DataFrame, orders: DataFrame, mart: DataFrame, keys: list[Column], names: list[str], columns: list[str]
-) -> DataFrame:
-    pieces = _pieces(calls, _span(orders))
-    sums = _piece_sums(mart, keys, names, columns)
-    joined = salted_join(sums, pieces, PIECE, [*PIECE, *names])
-    return measures.resummed(joined, [*RANGE, *names], columns)
+def _running_totals(mart: DataFrame, edges: DataFrame, keys: list[Column], names: list[str], columns: list[str]) -> DataFrame:
+    """(names, edge_no, n_rows, and per measure its total and the days that have one) at every edge from a key's first day on."""
+    by_day = measures.summed(mart, [F.col("purchased_at").cast("date").alias("bucket"), *keys], columns)
+    at_edge = by_day.join(_edge_of_day(by_day.select("bucket").distinct(), edges), "bucket")
+    parts = [F.count(F.lit(1)).alias("n_rows")]
+    for m in measures.needed(columns):
+        parts += [F.coalesce(F.sum(m), F.lit(0)).alias(m), F.count(m).alias(f"{m}_days")]
+    per_edge = at_edge.groupBy(*names, "edge_no").agg(*parts)
+    so_far = Window.partitionBy(*names).orderBy("edge_no")
+    totals = [c for c in per_edge.columns if c not in (*names, "edge_no")]
+    last = edges.agg(F.max("edge_no")).scalar()
+    running = per_edge.select(*names, "edge_no", F.lead("edge_no").over(so_far).alias("next_no"), *[
+        F.sum(c).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in totals])
+    until = F.coalesce(F.col("next_no") - 1, last)
+    return running.select(*names, F.explode(F.sequence("edge_no", until)).alias("edge_no"), *totals)
+
+
+def _range_sums(calls: DataFrame, mart: DataFrame, keys: list[Column], names: list[str], columns: list[str]) -> DataFrame:
+    """Sums of each distinct range and key that has rows in it."""
+    edges = _edges(calls)
+    running = _running_totals(mart, edges, keys, names, columns)
+    signed = _numbered(calls, edges).select(*RANGE, F.explode(F.array(
+        F.struct(F.col("last_no").alias("edge_no"), F.lit(1).alias("sign")),
+        F.struct(F.col("first_no").alias("edge_no"), F.lit(-1).alias("sign")))).alias("e")).select(*RANGE, "e.*")
+    totals = [c for c in running.columns if c not in (*names, "edge_no")]
+    sums = running.join(signed, "edge_no").groupBy(*RANGE, *names).agg(*[
+        F.sum(F.when(F.col("sign") > 0, F.col(c)).otherwise(-F.col(c))).alias(c) for c in totals])
+    return sums.where("n_rows > 0").select(*RANGE, *names, *[
+        measures.narrowed(m, F.when(F.col(f"{m}_days") > 0, F.col(m))).alias(m) for m in measures.needed(columns)])
 
 
 def _top(rows: DataFrame, calls: DataFrame, family: str, order: list[Column]) -> DataFrame:
@@ -124,8 +139,7 @@ def _top(rows: DataFrame, calls: DataFrame, family: str, order: list[Column]) ->
     by = [*RANGE, "min_orders"] if call.uses_min_orders else RANGE
     wanted = calls.select(*by).distinct()
     count = next((c for c in ("order_count", "participating_order_count") if c in rows.columns), None)
-    name = next(c for c in rows.columns if c not in RANGE)
-    matched = salted_join(rows, wanted, RANGE, [name])
+    matched = rows.join(wanted, RANGE)
     if call.uses_min_orders:
         matched = matched.filter(F.col(count) >= F.col("min_orders"))
     ranked = matched.withColumn("row_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -135,8 +149,9 @@ def _top(rows: DataFrame, calls: DataFrame, family: str, order: list[Column]) ->
 
 
 def _to_requests(calls: DataFrame, rows: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Hands the few rows of a call to all requests that make it; most requests may share one range."""
-    out = salted_join(calls.select("request_id", "call_no", *by), rows, by, ["request_id"], how)
+    """Hands the few rows of a call to all requests that make it. Most requests may share one range: their side is a scan, so the join
+    can be split."""
+    out = calls.select("request_id", "call_no", *by).join(rows, by, how)
     return out.drop(*[c for c in by if c != "seller_id"])
 
 
@@ -146,7 +161,7 @@ def _grouped(
 ) -> DataFrame:
     calls = _calls_of(requests, family)
     source = mart.filter(F.col("order_status") == measures.DELIVERED) if delivered else mart
-    sums = _range_sums(calls, marts.orders, source, [key.alias(name)], [name], columns)
+    sums = _range_sums(calls, source, [key.alias(name)], [name], columns)
     rows = sums.select(*RANGE, name, *measures.formulas(columns))
     if share:
         value, target, dtype = share
@@ -167,7 +182,7 @@ def _sales(marts: Marts, requests: DataFrame) -> DataFrame:
     """Always one row per request: a range without orders has a count of 0 and no values."""
     calls = _calls_of(requests, "sales")
     done = marts.orders.filter(F.col("order_status") == measures.DELIVERED)
-    sums = _range_sums(calls, marts.orders, done, [], [], metrics.SALES_COLUMNS)
+    sums = _range_sums(calls, done, [], [], metrics.SALES_COLUMNS)
     rows = sums.select(*RANGE, *measures.formulas(metrics.SALES_COLUMNS))
     out = _to_requests(calls, rows, RANGE, "left")
     return decimals_to_double(out.withColumn("order_count", F.coalesce("order_count", F.lit(0))))
@@ -176,7 +191,7 @@ def _sales(marts: Marts, requests: DataFrame) -> DataFrame:
 def _trend(marts: Marts, requests: DataFrame) -> DataFrame:
     calls = _calls_of(requests, "trend")
     month = month_of("purchased_at").alias("month")
-    sums = _range_sums(calls, marts.orders, marts.orders, [month], ["month"], metrics.TREND_COLUMNS)
+    sums = _range_sums(calls, marts.orders, [month], ["month"], metrics.TREND_COLUMNS)
     rows = sums.select(*RANGE, "month", *measures.formulas(metrics.TREND_COLUMNS))
     return _top(rows, calls, "trend", [F.asc("month")])
 
@@ -188,7 +203,7 @@ def _review_groups(marts: Marts, requests: DataFrame) -> DataFrame:
     )
     group = F.when(F.col("is_late"), F.lit("late")).otherwise(F.lit("on_time")).alias("delivery_group")
     columns = metrics.REVIEW_GROUP_COLUMNS
-    sums = _range_sums(calls, marts.orders, known, [group], ["delivery_group"], columns)
+    sums = _range_sums(calls, known, [group], ["delivery_group"], columns)
     rows = sums.select(*RANGE, "delivery_group", *measures.formulas(columns))
     return _top(rows, calls, "review_groups", [F.asc("delivery_group")])
 
@@ -196,10 +211,7 @@ def _review_groups(marts: Marts, requests: DataFrame) -> DataFrame:
 def _seller(marts: Marts, requests: DataFrame) -> DataFrame:
     calls = _calls_of(requests, "seller")
     columns = metrics.SELLER_COLUMNS
-    pieces = _pieces(calls, _span(marts.orders))
-    by_piece = _piece_sums(marts.seller_orders, [F.col("seller_id")], ["seller_id"], columns)
-    sums = salted_join(by_piece, pieces, PIECE, [*PIECE, "seller_id"])
-    per_seller = measures.resummed(sums, [*RANGE, "seller_id"], columns)
+    per_seller = _range_sums(calls, marts.seller_orders, [F.col("seller_id")], ["seller_id"], columns)
     baseline = metrics.peer_baseline(per_seller, RANGE)
     targets = calls.select(*RANGE, "seller_id").distinct()
     rows = per_seller.join(targets, [*RANGE, "seller_id"]).select(
@@ -208,8 +220,25 @@ def _seller(marts: Marts, requests: DataFrame) -> DataFrame:
     return decimals_to_double(_to_requests(calls, rows, [*RANGE, "seller_id"]))
 
 
+def _filling_spans(first: Column, last: Column) -> Column:
+    """The spans that fill the edges from ``first`` to before ``last``: at most two of each level."""
+    def step(acc: Column, level: Column) -> Column:
+        left, right = acc["left"], acc["right"]
+        odd_left, odd_right = (left < right) & (left % 2 == 1), (left < right) & (right % 2 == 1)
+        span = lambda at: F.array(F.struct(level.alias("level"), at.alias("span")))
+        none = F.array().cast("array<struct<level:int,span:int>>")
+        after = F.when(odd_left, left + 1).otherwise(left)
+        before = F.when(odd_right, right - 1).otherwise(right)
+        return F.struct(F.shiftright(after, 1).alias("left"), F.shiftright(before, 1).alias("right"), F.concat(
+            acc["spans"], F.when(odd_left, span(left)).otherwise(none), F.when(odd_right & (after <= before), span(before)).otherwise(none)
+        ).alias("spans"))
+
+    start = F.struct(first.alias("left"), last.alias("right"), F.array().cast("array<struct<level:int,span:int>>").alias("spans"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(MAX_LEVEL)), start, step, lambda acc: acc["spans"])
+
+
 def _review_samples(marts: Marts, requests: DataFrame) -> DataFrame:
-    """Best rows per range come from the best rows per piece, so a range never meets all reviews."""
+    """Best rows per range come from the best rows of the spans that fill it, so a range never meets all reviews."""
     call = _parameters("review_samples")
     calls = _calls_of(requests, "review_samples")
     low = marts.reviews.filter(
@@ -228,11 +257,16 @@ def _review_samples(marts: Marts, requests: DataFrame) -> DataFrame:
         "review_created_at", "is_late", "late_days",
         metrics.review_excerpt("review_comment_message").alias("comment_excerpt"),
     )
-    by_day = best(samples, ["bucket"]).drop("row_rank")
-    by_month = best(by_day.withColumn("bucket", F.trunc("bucket", "month")), ["bucket"]).drop("row_rank")
-    both = by_day.withColumn("grain", F.lit("D")).unionByName(by_month.withColumn("grain", F.lit("M")))
-    rows = best(salted_join(both, _pieces(calls, _span(marts.orders)), PIECE, ["review_id"]), RANGE)
-    return decimals_to_double(_to_requests(calls, rows, RANGE).drop(*PIECE, "review_created_at"))
+    edges = _edges(calls)
+    of_edge = best(best(samples, ["bucket"]).drop("row_rank").join(_edge_of_day(samples.select("bucket").distinct(), edges), "bucket"),
+                   ["edge_no"]).drop("row_rank", "bucket")
+    levels = F.ceil(F.log2(edges.agg(F.max("edge_no")).scalar() + 1)).cast("int")
+    of_span = best(of_edge.withColumn("level", F.explode(F.sequence(F.lit(0), levels))).withColumn(
+        "span", F.expr("shiftright(edge_no, level)")).drop("edge_no"), SPAN).drop("row_rank")
+    filled = _numbered(calls, edges).select(
+        *RANGE, F.inline(_filling_spans(F.col("first_no") + 1, F.col("last_no") + 1)))
+    rows = best(of_span.join(filled, SPAN), RANGE)
+    return decimals_to_double(_to_requests(calls, rows, RANGE).drop(*SPAN, "review_created_at"))
 
 
 def run_plan(marts: Marts, requests: DataFrame, families: Iterable[str] | None = None) -> dict[str, DataFrame]:

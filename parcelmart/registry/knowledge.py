@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelmart.functions.tokens import tokenize
 from parcelmart.functions.vectors import cosine_similarity, hash_embedding
+from parcelmart.operators import cells
 from parcelmart.operators import knowledge as k
 from parcelmart.operators import retrieval as r
 from parcelmart.plans.ingest import ingest_knowledge, pending_documents, read_knowledge, ready_chunks
@@ -39,6 +40,18 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return ready_chunks(*corpus(spark, folder))
 
 
+_indexes: dict[tuple[str, str], r.SearchIndex] = {}
+
+
+def index(spark: SparkSession, folder: str) -> r.SearchIndex:
+    """The search index over the corpus of a test folder; written once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _indexes:
+        target = shared_folder(spark, f"search-index-{hashlib.sha256(folder.encode()).hexdigest()[:12]}")
+        _indexes[key] = r.write_search_index(chunks(spark, folder), target)
+    return _indexes[key]
+
+
 def queries(spark: SparkSession, folder: str) -> DataFrame:
     return r.prepare_queries(td.x_queries(spark, folder), kind=CHECKED_DIGEST)
 
@@ -74,7 +87,7 @@ def _embedding_checks(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, folder: str, mode: str = "hybrid", rerank: bool = False) -> DataFrame:
-    return r.hybrid_search(chunks(spark, folder), queries(spark, folder), 5, mode, rerank=rerank)
+    return r.hybrid_search(index(spark, folder), queries(spark, folder), 5, mode, rerank=rerank)
 
 
 def _ranks(df: DataFrame) -> DataFrame:
@@ -85,19 +98,17 @@ def _ranks(df: DataFrame) -> DataFrame:
 
 
 def _lsh(spark: SparkSession, folder: str, radius: int) -> DataFrame:
-    vectors = td.table(spark, folder, "embeddings")
     path = shared_folder(spark, f"vector-index-{hashlib.sha256(folder.encode()).hexdigest()[:12]}")
-    r.write_vector_index(vectors, path, dimensions=64, bits=6)
-    return r.vector_candidates_lsh(
-        spark.read.parquet(path), td.x_centroids(spark, folder), 30, payload=["vec_id"], ties=["vec_id"],
-        dimensions=64, bits=6, radius=radius,
-    )
+    index = r.write_vector_index(td.table(spark, folder, "embeddings"), path, key="vec_id", dimensions=64, bits=6)
+    return r.vector_candidates_lsh(index, td.x_centroids(spark, folder), 30, key="vec_id", dimensions=64, bits=6, radius=radius)
 
 
 def _nearest_to_centroid(spark: SparkSession, folder: str) -> DataFrame:
-    return r.nearest_vectors(
-        td.table(spark, folder, "embeddings"), td.x_centroids(spark, folder), payload=["vec_id"], ties=["vec_id"]
-    )
+    vectors = td.table(spark, folder, "embeddings")
+    path = shared_folder(spark, f"vector-cells-{hashlib.sha256(folder.encode()).hexdigest()[:12]}")
+    centroids = cells.train_centroids(vectors, "vec_id", "embedding")
+    packed = cells.write_cells(cells.nearest_cells(vectors, "vec_id", "embedding", centroids), path)
+    return r.nearest_vectors(packed, centroids, td.x_centroids(spark, folder), key="vec_id")
 
 
 def _centroid_cosine(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,16 +120,16 @@ def _centroid_cosine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, folder: str) -> DataFrame:
-    c, q = chunks(spark, folder), queries(spark, folder)
+    c, q = index(spark, folder), queries(spark, folder)
     return r.rrf_fuse(r.lexical_candidates(c, q), r.vector_candidates(c, q)).select(
         "query_id", "chunk_id", "fts_rank", "vector_rank", "rrf_score"
     )
 
 
 def search_log_rows(spark: SparkSession, folder: str) -> DataFrame:
-    c, q = chunks(spark, folder), queries(spark, folder)
+    c, q = index(spark, folder), queries(spark, folder)
     lexical, vector = r.lexical_candidates(c, q), r.vector_candidates(c, q)
-    results = r.best_results(r.rrf_fuse(lexical, vector), q, c, 5, "hybrid")
+    results = r.best_results(r.rrf_fuse(lexical, vector), q, c.chunks, 5, "hybrid")
     return r.search_log(q, results, lexical, vector, "hybrid", 0.0)
 
 
@@ -159,11 +170,11 @@ def jobs() -> dict:
         "document_status_counts": lambda s, f: k.document_status_counts(corpus(s, f)[0]),
         "list_documents": lambda s, f: k.list_documents(*corpus(s, f)).drop("updated_at", "metadata", "source_type", "source_url"),
         "expand_query": lambda s, f: queries(s, f).select("query_id", F.array_join("terms", " ").alias("terms")),
-        "lexical_candidates": lambda s, f: r.lexical_candidates(chunks(s, f), queries(s, f)).select(
+        "lexical_candidates": lambda s, f: r.lexical_candidates(index(s, f), queries(s, f)).select(
             "query_id", "chunk_id", "fts_rank", "title_hits", "lexical_hits", "fts_score"
         ),
-        "fts_score": lambda s, f: r.word_scores(chunks(s, f), queries(s, f)),
-        "vector_candidates": lambda s, f: r.vector_candidates(chunks(s, f), queries(s, f)).select(
+        "fts_score": lambda s, f: r.word_scores(index(s, f), queries(s, f)),
+        "vector_candidates": lambda s, f: r.vector_candidates(index(s, f), queries(s, f)).select(
             "query_id", "chunk_id", "vector_rank", "vector_score"
         ),
         "vector_candidates_centroids": _nearest_to_centroid,

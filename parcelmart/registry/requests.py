@@ -52,7 +52,7 @@ def retrieved(spark: SparkSession, folder: str) -> DataFrame:
     """What each request's own text finds in the corpus; sales summaries and unusable requests ask nothing."""
     asking = stored_requests(spark, folder).filter("usable AND intent <> 'sales_summary'")
     queries = prepare_queries(asking.select(F.col("request_id").alias("query_id"), "query"), kind=knowledge.CHECKED_DIGEST)
-    found = hybrid_search(knowledge.chunks(spark, folder), queries, 5)
+    found = hybrid_search(knowledge.index(spark, folder), queries, 5)
     return e.redact_injected_chunks(found).withColumnRenamed("query_id", "request_id")
 
 

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelmart.functions.patterns import PatternSet
+from parcelmart.operators import cells
 from parcelmart.operators import knowledge as k
+from parcelmart.operators import postings
 from parcelmart.operators import retrieval as r
 from parcelmart.plans.ingest import ingest_knowledge, ready_chunks
 from parcelmart.sources.knowledge_files import read_gold_jsonl, read_markdown
@@ -25,6 +26,11 @@ def chunks(spark, tmp_path_factory):
     return ready_chunks(*ingest_knowledge(spark, files, str(tmp_path_factory.mktemp("kb")), dimensions=64))
 
 
+@pytest.fixture(scope="module")
+def index(chunks, tmp_path_factory):
+    return r.write_search_index(chunks, str(tmp_path_factory.mktemp("index")))
+
+
 @pytest.fixture(scope="module")
 def queries(spark):
     texts = ["late parcel policy", "freight  a_b ", "   ", "运费 seller", "?!", "12 34", "delivery score late"]
@@ -61,19 +67,60 @@ def slow_lexical(rows, terms, n):
     return [i for _, i in sorted(scored)[:n]]
 
 
-@pytest.mark.parametrize("slice_queries", [4096, 2])
-def test_lexical_against_a_full_comparison(chunks, queries, slice_queries):
-    """The second case sends queries and chunks through the sharded path."""
-    rows = chunks.collect()
-    found = r.lexical_candidates(chunks, queries, 20, slice_queries).orderBy("fts_rank").collect()
+def check_lexical(index, queries, n):
+    rows = index.chunks.collect()
+    found = r.lexical_candidates(index, queries, n).orderBy("fts_rank").collect()
     for q in queries.collect():
-        assert [f.chunk_id for f in found if f.query_id == q.query_id] == slow_lexical(rows, list(q.terms), 20)
+        assert [f.chunk_id for f in found if f.query_id == q.query_id] == slow_lexical(rows, list(q.terms), n)
+
+
+@pytest.mark.parametrize("n", [1, 3, 20, 500])
+def test_lexical_against_a_full_comparison(index, queries, n):
+    check_lexical(index, queries, n)
+
+
+def test_lexical_with_titles_parts_of_words_and_wildcards(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = ["parcel", "parcels", "late", "plate", "lat_e", "late-fee", "ab", "a", "b", "运费成本", "ÉTÉ", "x1", "latte", "a-b", "Late"]
+    rows = [(f"c{i:03}", f"d{i // 3}", " ".join(rng.choice(words, 2)) if i % 4 else "the late title", i % 3, ["h"],
+             " ".join(rng.choice(words, rng.integers(0, 9))) + "." * (i % 3), [float(i % 5), 1.0]) for i in range(400)]
+    chunks = spark.createDataFrame(
+        rows, "chunk_id string, document_id string, title string, ordinal int, heading_path array<string>, content string, embedding array<float>")
+    texts = ["late", "parcel late a_b", "la_e plate", "运费 ab x1", "late-fee été", "nowhere", "a_ b1 lat", "title the", "ab _ __ a__"]
+    asked = r.prepare_queries(spark.createDataFrame(list(enumerate(texts)), "query_id int, query string"), dimensions=64)
+    built = r.SearchIndex(chunks, postings.write_postings(chunks, str(tmp_path / "p")), None, None)
+    for n in (2, 30):
+        check_lexical(built, asked, n)
+
+
+def test_common_words_are_not_followed_to_their_chunks(spark, tmp_path):
+    """Every chunk has the common words, twenty have a rare one as well: only those are looked at."""
+    rows = [(f"c{i:05}", "d", f"t{i}", 0, ["h"], "the common words of all" + (" zebra" if i % 100 == 0 else "")) for i in range(2000)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, title string, ordinal int, heading_path array<string>, content string")
+    index = postings.write_postings(chunks, str(tmp_path / "p"))
+    asked = r.prepare_queries(spark.createDataFrame([(1, "the common words zebra")], "query_id int, query string"), dimensions=64)
+    known = postings.asked_terms(index, asked)
+    terms = known.terms.orderBy("place").collect()
+    assert terms[0]["term"] == "zebra" and [t["met"] for t in terms] == [4] * 4
+    assert postings.chunks_of_terms(known.terms.where("place <= met - 4 + 1"), known, index).count() == 20
+    best = postings.lexical_candidates(index, asked, 10).orderBy("fts_rank").collect()
+    assert [b["title"] for b in best] == sorted(f"t{i}" for i in range(0, 2000, 100))[:10]
+
 
+def test_queries_stay_a_table(index, queries, monkeypatch):
+    from pyspark.sql import DataFrame
 
-@pytest.mark.parametrize("slice_queries", [4096, 2])
-def test_vector_against_a_full_comparison(chunks, queries, slice_queries):
+    def refuse(self, *a, **k):
+        raise AssertionError("collected")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refuse, raising=False)
+    assert r.hybrid_search(index, queries, 5).count() > 0
+    assert r.word_scores(index, queries, 5).count() > 0
+
+
+def check_vectors(index, chunks, queries, n):
     rows = chunks.collect()
-    found = r.vector_candidates(chunks, queries, 20, slice_queries).orderBy("vector_rank").collect()
+    found = r.vector_candidates(index, queries, n).orderBy("vector_rank").collect()
     for q in queries.collect():
         v = np.array(q.query_embedding, dtype=float)
         mine = [(f.chunk_id, f.vector_score) for f in found if f.query_id == q.query_id]
@@ -83,24 +130,75 @@ def test_vector_against_a_full_comparison(chunks, queries, slice_queries):
         scored = sorted(
             (-round(float(v @ np.array(c.embedding) / np.linalg.norm(v) / np.linalg.norm(c.embedding)), 8), c.chunk_id)
             for c in rows
-        )[:20]
+        )[:n]
         assert [m[0] for m in mine] == [c for _, c in scored]
         assert [m[1] for m in mine] == pytest.approx([-s for s, _ in scored], abs=1e-7)
 
 
-def test_rows_without_direction_come_last(spark):
-    table = spark.createDataFrame(
-        [("a", [0.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [1.0, 0.0])], "chunk_id string, embedding array<float>"
-    ).withColumns({c: F.lit("x") for c in ("document_id", "title", "content")}).withColumns(
-        {"ordinal": F.lit(0), "heading_path": F.array(F.lit("x"))}
-    )
-    query = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, query_embedding array<float>")
-    found = [(x.chunk_id, x.vector_score) for x in r.vector_candidates(table, query, 3).orderBy("vector_rank").collect()]
-    assert found == [("c", 1.0), ("b", -1.0), ("a", None)]
+@pytest.mark.parametrize("pack, block", [(1 << 20, 1 << 17), (64 * 3, 64)])
+def test_vector_against_a_full_comparison(index, chunks, queries, tmp_path, monkeypatch, pack, block):
+    """The second case packs three vectors to a row and one query to a block."""
+    monkeypatch.setattr(cells, "PACK_NUMBERS", pack)
+    monkeypatch.setattr(cells, "QUERY_NUMBERS", block)
+    coded = cells.nearest_cells(chunks, "chunk_id", "embedding", index.centroids)
+    check_vectors(r.SearchIndex(chunks, None, cells.write_cells(coded, str(tmp_path / "c")), index.centroids), chunks, queries, 20)
+
 
+def test_index_reads_back(spark, chunks, queries, tmp_path):
+    built = r.write_search_index(chunks, str(tmp_path / "i"), 5)
+    again = r.read_search_index(spark, str(tmp_path / "i"))
+    assert len(again.centroids) == 5
+    one, two = (sorted(map(tuple, r.hybrid_search(i, queries, 3).drop("heading_path").collect())) for i in (built, again))
+    assert one == two and one
 
-def test_fusion_modes(chunks, queries):
-    lexical, vector = r.lexical_candidates(chunks, queries, 5), r.vector_candidates(chunks, queries, 5)
+
+def test_rows_without_direction_come_last(spark, tmp_path):
+    table = spark.createDataFrame(
+        [("a", [0.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [1.0, 0.0]), ("n", None)], "chunk_id string, embedding array<float>"
+    )
+    query = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id int, query_embedding array<float>")
+    centroids = cells.train_centroids(table, "chunk_id", "embedding")
+    packed = cells.write_cells(cells.nearest_cells(table, "chunk_id", "embedding", centroids), str(tmp_path / "c"))
+    found = r.nearest_vectors(packed, centroids, query, 3, key="chunk_id").orderBy("vector_rank").collect()
+    assert [(x.query_id, x.chunk_id, x.vector_score) for x in found] == [(1, "c", 1.0), (1, "b", -1.0), (1, "a", None)]
+
+
+def test_few_cells_find_most_neighbours(spark, tmp_path):
+    """Trained cells on the given vectors and on a clustered table: recall against the exact search at the probes stated.
+
+        The given vectors have no clusters, so most cells must be probed; 5% are enough where vectors lie in groups.
+        """
+    rng = np.random.default_rng(12)
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("key"), "embedding")
+    centres = rng.standard_normal((60, 32))
+    rows = [(int(i), (centres[i % 60] + 0.3 * rng.standard_normal(32)).astype(np.float32).tolist()) for i in range(6000)]
+    clustered = spark.createDataFrame(rows, "key long, embedding array<float>")
+    for name, table, share in (("clustered", clustered, 0.05), ("given", given, 0.7)):
+        centroids = cells.train_centroids(table, "key", "embedding")
+        packed = cells.write_cells(cells.nearest_cells(table, "key", "embedding", centroids), str(tmp_path / name))
+        queries = table.where("key % 50 = 0").select(F.col("key").alias("query_id"), F.col("embedding").alias("query_embedding"))
+        exact, near = ({(x.query_id, x.key) for x in r.nearest_vectors(packed, centroids, queries, 10, key="key", probes=p).collect()}
+                       for p in (None, max(1, round(share * len(centroids)))))
+        assert len(exact & near) / len(exact) >= 0.9, name
+
+
+def test_a_crowded_cell_is_many_rows_and_training_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "PACK_NUMBERS", 8 * 100)
+    monkeypatch.setattr(cells, "SAMPLE_NUMBERS", 8 * 50)
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0] * 8 if i < 2000 else rng.standard_normal(8).astype(float).tolist()) for i in range(3000)]
+    table = spark.createDataFrame(rows, "key long, embedding array<float>")
+    centroids = cells.train_centroids(table, "key", "embedding")
+    assert len(centroids) == 50
+    packed = cells.write_cells(cells.nearest_cells(table, "key", "embedding", centroids), str(tmp_path / "c"))
+    sizes = packed.select("cell", F.size("keys").alias("n")).collect()
+    assert max(s["n"] for s in sizes) <= 100 and sum(s["n"] for s in sizes) == 3000
+    query = spark.createDataFrame([(1, [1.0] * 8)], "query_id int, query_embedding array<float>")
+    assert [x.key for x in r.nearest_vectors(packed, centroids, query, 5, key="key", probes=1).orderBy("vector_rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_fusion_modes(index, queries):
+    lexical, vector = r.lexical_candidates(index, queries, 5), r.vector_candidates(index, queries, 5)
     fused = {(x.query_id, x.chunk_id): x for x in r.rrf_fuse(lexical, vector, candidates=5).collect()}
     for row in fused.values():
         expected = (0.75 / (60 + row.fts_rank) if row.fts_rank else 0) + (0.25 / (60 + row.vector_rank) if row.vector_rank else 0)
@@ -112,10 +210,10 @@ def test_fusion_modes(chunks, queries):
         r.rrf_fuse(lexical, vector, "both")
 
 
-def test_limits_are_clamped_and_blank_queries_find_nothing(chunks, queries):
-    found = r.hybrid_search(chunks, queries, limit=50)
+def test_limits_are_clamped_and_blank_queries_find_nothing(index, queries):
+    found = r.hybrid_search(index, queries, limit=50)
     assert found.filter("query_id = 0").count() == 20 and found.filter("query_id IN (2, 4)").count() == 0
-    assert r.hybrid_search(chunks, queries, limit=0).filter("query_id = 0").count() == 1
+    assert r.hybrid_search(index, queries, limit=0).filter("query_id = 0").count() == 1
     text = r.search_excerpt(found).first()
     assert len(text.excerpt) <= 800 and "content" not in text.asDict()
 
@@ -134,58 +232,53 @@ def test_evaluation(spark):
     assert (none.total, none.recall_at_5, none.mrr) == (0, 0.0, 0.0)
 
 
-def test_index_by_sign_code(spark, chunks, queries, tmp_path):
-    path = str(tmp_path / "index")
-    r.write_vector_index(chunks.select("chunk_id", "embedding"), path, dimensions=64)
-    index, usable = spark.read.parquet(path), queries.filter("query_id IN (0, 1, 3)")
-    settings = {"payload": ["chunk_id"], "ties": ["chunk_id"], "dimensions": 64}
-    exact = {(x.query_id, x.chunk_id) for x in r.vector_candidates(chunks, usable, 10).collect()}
-    all_codes = {(x.query_id, x.chunk_id) for x in r.vector_candidates_lsh(index, usable, 10, radius=6, **settings).collect()}
+def test_index_by_sign_code(index, chunks, queries, tmp_path):
+    coded, usable = r.write_vector_index(chunks, str(tmp_path / "index"), key="chunk_id", dimensions=64), queries.filter("query_id IN (0, 1, 3)")
+    exact = {(x.query_id, x.chunk_id) for x in r.vector_candidates(index, usable, 10).collect()}
+    all_codes = {(x.query_id, x.chunk_id) for x in r.vector_candidates_lsh(coded, usable, 10, radius=6, key="chunk_id", dimensions=64).collect()}
     assert all_codes == exact
-    near = r.vector_candidates_lsh(index, usable.limit(1), 10, radius=1, **settings)
-    assert "sign_code" in near._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    near = r.vector_candidates_lsh(coded, usable.limit(1), 10, radius=1, key="chunk_id", dimensions=64)
+    assert "cell" in near._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
 
 
-def test_search_log_rows(chunks, queries):
-    lexical, vector = r.lexical_candidates(chunks, queries, 5), r.vector_candidates(chunks, queries, 5)
+def test_search_log_rows(chunks, index, queries):
+    lexical, vector = r.lexical_candidates(index, queries, 5), r.vector_candidates(index, queries, 5)
     results = r.best_results(r.rrf_fuse(lexical, vector), queries, chunks, 5, "hybrid")
     log = {x.query_id: x for x in r.search_log(queries, results, lexical, vector, "hybrid", 1.5).collect()}
     assert log[0].lexical_candidate_count == 5 and len(log[0].result_chunk_ids) == 5
     assert log[4].lexical_candidate_count == 0 and log[4].result_chunk_ids == []
 
 
-def test_pattern_set_without_the_automaton():
-    fast, slow = PatternSet(["ab", "b", "b c", "x_z"], True), PatternSet(["ab", "b", "b c", "x_z"], True)
-    slow.automaton = None
-    for text in ("ab b", "abb c", "x?z ab", "b", ""):
-        assert fast.hits(text) == slow.hits(text)
-    assert fast.hits("ab b xyz") == {0: 1, 1: 1, 3: 0}
-
-
 @pytest.mark.skipif("POLICY_DIR" not in os.environ, reason="POLICY_DIR and POLICY_GOLD name a policy corpus")
 @pytest.mark.parametrize("mode, expected", [
     ("hybrid", (16, 1.0, 1.0, 1.0)), ("fts", (16, 1.0, 1.0, 1.0)), ("vector", (16, 0.75, 0.5521, 0.4375)),
 ])
 def test_published_retrieval_quality(spark, tmp_path, mode, expected):
-    documents, found = ingest_knowledge(spark, read_markdown(spark, os.environ["POLICY_DIR"]), str(tmp_path))
+    documents, found = ingest_knowledge(spark, read_markdown(spark, os.environ["POLICY_DIR"]), str(tmp_path / "kb"))
     gold = read_gold_jsonl(spark, os.environ["POLICY_GOLD"])
     status = k.knowledge_status(documents, found).first()
     assert (status.document_count, status.chunk_count) == (16, 60)
-    results = r.hybrid_search(ready_chunks(documents, found), r.prepare_queries(gold), 5, mode)
+    index = r.write_search_index(ready_chunks(documents, found), str(tmp_path / "index"))
+    results = r.hybrid_search(index, r.prepare_queries(gold), 5, mode)
     assert tuple(r.retrieval_eval(results, gold).first()) == expected
 
 
-def test_candidates_carry_no_texts(chunks, queries):
-    lexical = r.lexical_candidates(chunks, queries, 5)
-    assert not {"content", "heading_path", "document_id"} & set(lexical.columns)
-    shuffled = r._candidates(chunks, queries, [r.LEXICAL, r.VECTOR], 5)._jdf.queryExecution().executedPlan().toString()
-    assert all("content" not in line for line in shuffled.split("\n") if "Exchange" in line)
+def test_candidates_carry_no_texts(index, queries):
+    for found in (r.lexical_candidates(index, queries, 5), r.vector_candidates(index, queries, 5)):
+        assert not {"content", "heading_path", "document_id", "low"} & set(found.columns)
 
 
-def test_word_scores_of_every_pair(chunks, queries):
-    found = {(x.query_id, x.chunk_id): x.fts_score for x in r.word_scores(chunks, queries).collect()}
-    listed = {(x.query_id, x.chunk_id): x.fts_score for x in r.lexical_candidates(chunks, queries, 1000).collect()}
-    assert found and {k: v for k, v in listed.items() if v > 0} == pytest.approx(found)
+def test_word_scores(index, queries):
+    every = {(x.query_id, x.chunk_id): x.fts_score for x in r.word_scores(index, queries, None).collect()}
+    listed = {(x.query_id, x.chunk_id): x.fts_score for x in r.lexical_candidates(index, queries, 1000).collect()}
+    assert every and {k: v for k, v in listed.items() if v > 0} == pytest.approx(every)
+    for n in (1, 4, 25):
+        best = {(x.query_id, x.chunk_id): x.fts_score for x in r.word_scores(index, queries, n).collect()}
+        wanted = {}
+        for q in {q for q, _ in every}:
+            ranked = sorted((-round(v, 8), c) for (i, c), v in every.items() if i == q)[:n]
+            wanted.update({(q, c): -v for v, c in ranked})
+        assert best == pytest.approx(wanted)
 
 
 POLICIES = {
@@ -213,7 +306,8 @@ def test_a_policy_corpus_with_known_answers(spark, tmp_path, mode):
     status = k.knowledge_status(documents, found).first()
     assert (status.document_count, status.chunk_count, status.embedding_coverage) == (4, 8, 1.0)
     gold = read_gold_jsonl(spark, str(tmp_path / "gold.jsonl"))
-    results = r.hybrid_search(ready_chunks(documents, found), r.prepare_queries(gold), 5, mode)
+    index = r.write_search_index(ready_chunks(documents, found), str(tmp_path / "index"))
+    results = r.hybrid_search(index, r.prepare_queries(gold), 5, mode)
     row = r.retrieval_eval(results, gold).first()
     assert row.total == 6 and row.recall_at_5 == 1.0
     assert mode == "vector" or row.top1_accuracy == 1.0
