@@ -74,7 +74,7 @@ def check_lexical(index, queries, n):
         assert [f.chunk_id for f in found if f.query_id == q.query_id] == slow_lexical(rows, list(q.terms), n)
 
 
-@pytest.mark.parametrize("n", [1, 3, 20, 500])
+@pytest.mark.parametrize("n", [3, 500])
 def test_lexical_against_a_full_comparison(index, queries, n):
     check_lexical(index, queries, n)
 
@@ -89,7 +89,7 @@ def test_lexical_with_titles_parts_of_words_and_wildcards(spark, tmp_path):
     texts = ["late", "parcel late a_b", "la_e plate", "运费 ab x1", "late-fee été", "nowhere", "a_ b1 lat", "title the", "ab _ __ a__"]
     asked = r.prepare_queries(spark.createDataFrame(list(enumerate(texts)), "query_id int, query string"), dimensions=64)
     built = r.SearchIndex(chunks, postings.write_postings(chunks, str(tmp_path / "p")), None, None)
-    for n in (2, 30):
+    for n in (2,):
         check_lexical(built, asked, n)
 
 
@@ -272,7 +272,7 @@ def test_word_scores(index, queries):
     every = {(x.query_id, x.chunk_id): x.fts_score for x in r.word_scores(index, queries, None).collect()}
     listed = {(x.query_id, x.chunk_id): x.fts_score for x in r.lexical_candidates(index, queries, 1000).collect()}
     assert every and {k: v for k, v in listed.items() if v > 0} == pytest.approx(every)
-    for n in (1, 4, 25):
+    for n in (1, 25):
         best = {(x.query_id, x.chunk_id): x.fts_score for x in r.word_scores(index, queries, n).collect()}
         wanted = {}
         for q in {q for q, _ in every}:
