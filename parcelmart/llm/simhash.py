@@ -158,29 +158,39 @@ def near_pairs(distinct: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     return list_links(dealt.select("list", F.explode(parts).alias("part"), "fp")).distinct()
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns (doc_id among them), fp and component_id, the smallest doc_id that can be reached by links."""
+def _members(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``keep`` columns and fp; fp, its smallest doc_id ``first`` and its component ``root``. Both are written."""
     rows = written(fingerprints(docs, keep), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     reached = components(near_pairs(distinct.select("fp")))
-    members = distinct.join(reached.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fingerprint = members.join(named, "root").select("fp", "component_id")
+    return rows, written(distinct.join(reached.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "members")
+
+
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns (doc_id among them), fp and component_id, the smallest doc_id that can be reached by links."""
+    rows, members = _members(docs, keep)
+    named = written(members.groupBy("root").agg(F.min("first").alias("component_id")), "component-names")
+    # joins of plain scans, which can be split at a very large component or a very common fingerprint
+    by_fingerprint = written(members.join(named, "root").select("fp", "component_id"), "components")
     return rows.join(by_fingerprint, "fp")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Documents, with all their columns, of which one per component stays: the one that names it.
+    """Documents, with all their columns, of which one per component of linked texts stays.
 
-    Of rows with the same doc_id one stays. Rows without doc_id can't name a component and stay.
+    It is one with the component's smallest doc_id; of several with that doc_id the one with the least hash of its text,
+    of equal rows any. Rows of one doc_id with texts that are not linked belong to different components, so each
+    component keeps its own. Rows without doc_id are not compared and stay.
     """
-    hashed_name = "text_hash"
-    while hashed_name in docs.columns:
-        hashed_name += "_"
+    names = ["text_hash", "text_group"]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    hashed_name, group = names
     key = ["doc_id", hashed_name]
     hashed = docs.withColumn(hashed_name, F.xxhash64("text"))
-    found = near_duplicates(hashed.where("doc_id is not null"), tuple(key))
-    names = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min(hashed_name).alias(hashed_name))
-    kept = hashed.join(names, key, "left_semi").dropDuplicates(key)
+    rows, members = _members(hashed.where("doc_id is not null"), tuple(key))
+    found = rows.join(members.select("fp", F.col("root").alias(group)), "fp")
+    first = found.groupBy(group).agg(F.min(F.struct(*key)).alias("first")).select("first.*")
+    kept = hashed.join(first, key, "left_semi").dropDuplicates(key)
     return kept.unionByName(hashed.where("doc_id is null")).select(*[f"`{c}`" for c in docs.columns])

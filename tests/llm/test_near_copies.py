@@ -102,10 +102,35 @@ def test_near_duplicate_edges(spark):
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
-    assert ids == ["3", "8", "None", "None"]
+    assert ids == ["3", "3", "8", "None", "None"]  # doc 3 has two texts that are not linked
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+def test_texts_under_one_doc_id_stay_unless_linked(spark):
+    rng = random.Random(4)
+    one, two, three = (" ".join(prose(rng, 80)) for _ in range(3))
+    rows = [(1, one, "a"), (1, two, "b"), (2, three, "c"), (2, two, "d"), (1, one, "e"), (3, three, "f")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, text_group string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, two), (2, three)])
+
+
+def test_a_hub_that_thousands_quote(spark):
+    rng = random.Random(6)
+    hub = prose(rng, 60_000)
+    rows, want = [(0, " ".join(hub))], {}
+    for d in range(1, 1501):
+        at, before = rng.randrange(len(hub) - 60), rng.randrange(20)
+        rows.append((d, " ".join(prose(rng, before) + hub[at:at + 60] + prose(rng, 10))))
+        want[d] = (before, before + 60, at, at + 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in passages.repeated_passages(docs).collect():
+        if r["other_id"] == 0:
+            found[r["doc_id"]] = tuple(r[c] for c in ("first_word", "end_word", "other_first", "other_end"))
+    exact = [d for d, w in want.items() if all(abs(a - b) <= 3 for a, b in zip(found.get(d, (-9,) * 4), w, strict=True))]
+    assert len(exact) == len(want)
+
+
 def prose(rng, n):
     return [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(n)]
 
