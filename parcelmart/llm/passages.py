@@ -34,6 +34,8 @@ IDENTITY = 0.8
 GAP_COST = 0.05
 #: Words around a chain that alignment may reach.
 PAD = 64
+#: Words of a block of text; alignments fetch blocks, never whole texts.
+BLOCK_WORDS = 64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -269,22 +271,30 @@ def _chain_rows(matches: DataFrame, min_words: int) -> DataFrame:
     return matches.mapInArrow(run, "doc_id long, version long, other_id long, other_version long, q array<int>, r array<int>")
 
 
-def _cut_rows(asked: DataFrame) -> DataFrame:
-    """The words (lower-cased, space-joined) of the asked part of each row's text."""
+def _block_rows(docs: DataFrame) -> DataFrame:
+    """Texts (doc_id, version, text) as blocks of BLOCK_WORDS words, lower-cased and space-joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, high = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            out, before, words = [], None, []
-            for start, texts in slices(batch.column(4)):
-                for i, text in enumerate(texts, start):
-                    if text != before:
-                        before, words = text, text.lower().split()
-                    out.append(b" ".join(words[low[i]:high[i]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())],
-                                             names=["chain", "side", "low", "words"])
+            for start, texts in slices(batch.column(2)):
+                found = [t.lower().split() for t in texts]
+                n = np.fromiter((-(-len(w) // BLOCK_WORDS) for w in found), np.int64, len(found))
+                which = pa.array(np.repeat(np.arange(start, start + len(texts)), n))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(which), batch.column(1).take(which),
+                    pa.array([i for c in n.tolist() for i in range(c)], pa.int32()),
+                    pa.array([b" ".join(w[i:i + BLOCK_WORDS]) for w in found for i in range(0, len(w), BLOCK_WORDS)], pa.binary()),
+                ], names=["doc_id", "version", "block", "words"])
+
+    return docs.mapInArrow(run, "doc_id long, version long, block int, words binary")
+
 
-    return asked.mapInArrow(run, "chain long, side int, low int, words binary")
+def _around(places: list[int], blocks: list[dict]) -> tuple[int, list[bytes]]:
+    """The first word and the words that alignment may reach around the places of a chain, from the blocks that hold them."""
+    blocks = sorted(blocks, key=lambda b: b["block"])
+    low, start = max(places[0] - PAD, 0), blocks[0]["block"] * BLOCK_WORDS
+    words = [w for b in blocks for w in b["words"].split()]
+    return low, words[low - start:places[-1] + K + PAD - start]
 
 
 def _aligned_rows(pairs: DataFrame, min_words: int) -> DataFrame:
@@ -292,9 +302,10 @@ def _aligned_rows(pairs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             out = []
             for row in zip(*batch.columns, strict=True):
-                doc, version, other, q, r, q_low, r_low, q_words, r_words = (c.as_py() for c in row)
+                doc, version, other, q, r, *sides = (c.as_py() for c in row)
+                (q_low, q_words), (r_low, r_words) = (_around(*s) for s in zip((q, r), sides, strict=True))
                 matches = [(a - q_low, b - r_low) for a, b in zip(q, r, strict=True)]
-                for a, b, c, d, n in align(q_words.split(), r_words.split(), matches):
+                for a, b, c, d, n in align(q_words, r_words, matches):
                     if b - a >= min_words:
                         out.append((doc, version, a + q_low, b + q_low, other, c + r_low, d + r_low, n))
             if out:
@@ -338,18 +349,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chained = written(_chain_rows(per_doc, min_words).withColumn("chain", F.monotonically_increasing_id()), "chains")
 
     def ask(side: int, doc: str, version: str, places: str) -> DataFrame:
+        low = F.greatest(F.element_at(places, 1) - PAD, F.lit(0)) / BLOCK_WORDS
+        high = (F.element_at(places, -1) + K + PAD - 1) / BLOCK_WORDS
         return chained.select(
             "chain", F.lit(side).alias("side"), F.col(doc).alias("doc_id"), F.col(version).alias("version"),
-            F.greatest(F.element_at(places, 1) - PAD, F.lit(0)).alias("low"),
-            (F.element_at(places, -1) + K + PAD).alias("high"))
+            F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))).alias("block"))
 
     asked = ask(0, "doc_id", "version", "q").unionByName(ask(1, "other_id", "other_version", "r"))
-    texts = asked.join(rows, ["doc_id", "version"])  # repeated rows give equal slices
-    cut = _cut_rows(texts.select("chain", "side", "low", "high", "text"))
-    sides = cut.groupBy("chain").agg(*[
-        F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in (0, 1) for c in ("low", "words")])
-    pairs = chained.join(sides, "chain").select(
-        "doc_id", "version", "other_id", "q", "r", "low_0", "low_1", "words_0", "words_1")
+    key = ["doc_id", "version", "block"]
+    blocks = written(_block_rows(rows).join(asked.select(*key).distinct(), key, "left_semi").dropDuplicates(key), "blocks")
+    # a join of plain scans, which can be split at a block that very many chains ask for; each answer is one block
+    found_blocks = asked.join(blocks, key)
+    sides = found_blocks.groupBy("chain").agg(*[
+        F.collect_set(F.when(F.col("side") == s, F.struct("block", "words"))).alias(f"blocks_{s}") for s in (0, 1)])
+    pairs = chained.join(sides, "chain").select("doc_id", "version", "other_id", "q", "r", "blocks_0", "blocks_1")
     return _aligned_rows(pairs, min_words).distinct()
 
 
