@@ -192,6 +192,43 @@ def test_exact_passages_whose_seeds_first_occur_in_other_texts(spark):
     assert {(r["doc_id"], r["first_word"], r["end_word"], r["other_id"]) for r in found} == want
 
 
+def plain_repeats(rows, length=50):
+    """Words of exact windows that an earlier document has as well, by doc_id."""
+    seen, want = set(), {}
+    for d, text in sorted(rows):
+        words = (text or "").encode().lower().split()
+        here = [tuple(words[i:i + length]) for i in range(len(words) - length + 1)]
+        want[d] = {i + j for i, w in enumerate(here) if w in seen for j in range(length)}
+        seen.update(here)
+    return want
+
+
+def pieces_rows():
+    rng = random.Random(21)
+    pool = [prose(rng, rng.randint(8, 70)) for _ in range(60)]
+    return [(i, " ".join(sum((rng.choice(pool) if rng.random() < 0.7 else prose(rng, 9) for _ in range(rng.randint(1, 9))), [])))
+            for i in range(150)]
+
+
+@pytest.mark.parametrize("made", [True, False])
+def test_exact_windows_against_brute_force(spark, folder, made):
+    if made:  # texts put together from common pieces: seeds first occur in very many other texts
+        rows = pieces_rows()
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+    else:
+        docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+        rows = [tuple(r) for r in docs.collect()]
+    texts = {d: (t or "").encode().lower().split() for d, t in rows}
+    found = {d: set() for d in texts}
+    for r in passages.repeated_passages(docs).collect():
+        a, b, c, e = r["first_word"], r["end_word"], r["other_first"], r["other_end"]
+        assert b - a >= 50 and r["n_equal"] >= 0.8 * max(b - a, e - c) and r["other_id"] <= r["doc_id"]
+        assert texts[r["doc_id"]][a] == texts[r["other_id"]][c] and texts[r["doc_id"]][b - 1] == texts[r["other_id"]][e - 1]
+        found[r["doc_id"]].update(range(a, b))
+    want = plain_repeats(rows)
+    assert any(want.values()) and all(want[d] <= found[d] for d in want)
+
+
 def test_fenwick_chains_are_the_best_ordered_ones():
     rng = random.Random(1)
     for _ in range(100):
