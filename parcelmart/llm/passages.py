@@ -34,8 +34,8 @@ IDENTITY = 0.8
 GAP_COST = 0.05
 #: Words around a chain that alignment may reach.
 PAD = 64
-#: Words of a block of text; alignments fetch blocks, never whole texts.
-BLOCK_WORDS = 64
+#: Words of a block of text. Most texts are one block; of a longer one alignments fetch the blocks they need.
+BLOCK_WORDS = 1024
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -289,12 +289,30 @@ def _block_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, version long, block int, words binary")
 
 
-def _around(places: list[int], blocks: list[dict]) -> tuple[int, list[bytes]]:
-    """The first word and the words that alignment may reach around the places of a chain, from the blocks that hold them."""
-    blocks = sorted(blocks, key=lambda b: b["block"])
-    low, start = max(places[0] - PAD, 0), blocks[0]["block"] * BLOCK_WORDS
-    words = [w for b in blocks for w in b["words"].split()]
-    return low, words[low - start:places[-1] + K + PAD - start]
+def _cut_rows(asked: DataFrame) -> DataFrame:
+    """The words of each row's block that lie in the asked range (low, high) of its text, and the first one's place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high, block = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            at, out, before, words = [], [], None, []
+            for start, texts in slices(batch.column(5)):
+                for i, text in enumerate(texts, start):
+                    if text != before:
+                        before, words = text, text.split()
+                    first = block[i] * BLOCK_WORDS
+                    at.append(max(low[i], first))
+                    out.append(b" ".join(words[at[-1] - first:high[i] - first]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at, pa.int32()), pa.array(out, pa.binary())],
+                                             names=["chain", "side", "low", "words"])
+
+    return asked.mapInArrow(run, "chain long, side int, low int, words binary")
+
+
+def _around(parts: list[dict]) -> tuple[int, list[bytes]]:
+    """The place of the first word and all words of one side of a chain, from its parts."""
+    parts = sorted(parts, key=lambda p: p["low"])
+    return parts[0]["low"], [w for p in parts for w in p["words"].split()]
 
 
 def _aligned_rows(pairs: DataFrame, min_words: int) -> DataFrame:
@@ -303,7 +321,7 @@ def _aligned_rows(pairs: DataFrame, min_words: int) -> DataFrame:
             out = []
             for row in zip(*batch.columns, strict=True):
                 doc, version, other, q, r, *sides = (c.as_py() for c in row)
-                (q_low, q_words), (r_low, r_words) = (_around(*s) for s in zip((q, r), sides, strict=True))
+                (q_low, q_words), (r_low, r_words) = map(_around, sides)
                 matches = [(a - q_low, b - r_low) for a, b in zip(q, r, strict=True)]
                 for a, b, c, d, n in align(q_words, r_words, matches):
                     if b - a >= min_words:
@@ -349,20 +367,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chained = written(_chain_rows(per_doc, min_words).withColumn("chain", F.monotonically_increasing_id()), "chains")
 
     def ask(side: int, doc: str, version: str, places: str) -> DataFrame:
-        low = F.greatest(F.element_at(places, 1) - PAD, F.lit(0)) / BLOCK_WORDS
-        high = (F.element_at(places, -1) + K + PAD - 1) / BLOCK_WORDS
         return chained.select(
             "chain", F.lit(side).alias("side"), F.col(doc).alias("doc_id"), F.col(version).alias("version"),
-            F.explode(F.sequence(F.floor(low).cast("int"), F.floor(high).cast("int"))).alias("block"))
+            F.greatest(F.element_at(places, 1) - PAD, F.lit(0)).alias("low"),
+            (F.element_at(places, -1) + K + PAD).alias("high"))
 
     asked = ask(0, "doc_id", "version", "q").unionByName(ask(1, "other_id", "other_version", "r"))
-    key = ["doc_id", "version", "block"]
-    blocks = written(_block_rows(rows).join(asked.select(*key).distinct(), key, "left_semi").dropDuplicates(key), "blocks")
-    # a join of plain scans, which can be split at a block that very many chains ask for; each answer is one block
-    found_blocks = asked.join(blocks, key)
-    sides = found_blocks.groupBy("chain").agg(*[
-        F.collect_set(F.when(F.col("side") == s, F.struct("block", "words"))).alias(f"blocks_{s}") for s in (0, 1)])
-    pairs = chained.join(sides, "chain").select("doc_id", "version", "other_id", "q", "r", "blocks_0", "blocks_1")
+    first, last = (F.floor(c / BLOCK_WORDS).cast("int") for c in (F.col("low"), F.col("high") - 1))
+    asked = asked.withColumn("block", F.explode(F.sequence(first, last)))
+    # a text that very many chains ask for answers each with a block; no aggregate stands below, so a hot block can be split
+    texts = asked.join(_block_rows(rows), ["doc_id", "version", "block"])  # repeated rows give equal parts
+    cut = _cut_rows(texts.select("chain", "side", "low", "high", "block", "words"))
+    sides = cut.groupBy("chain").agg(*[
+        F.collect_set(F.when(F.col("side") == s, F.struct("low", "words"))).alias(f"parts_{s}") for s in (0, 1)])
+    pairs = chained.join(sides, "chain").select("doc_id", "version", "other_id", "q", "r", "parts_0", "parts_1")
     return _aligned_rows(pairs, min_words).distinct()
 
 
