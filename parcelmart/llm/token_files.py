@@ -16,10 +16,10 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +39,11 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 CACHED = 250_000
+#: Spans that the library is asked in one text.
+JOINED = 20_000
+#: Text whose spans are looked up together.
+ASKED_BYTES = 8_000_000
+SPANS = pa.large_list(pa.large_string())
 #: A single space between two visible characters starts a new pre-token in the byte-level pattern.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _DOUBLE = re.compile(r"\s\s|^\s|\s$")
@@ -54,15 +59,18 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def single_spaced(text: str) -> bool:
+    """Whether every white space of the text stands alone between visible characters: cut before spaces and line breaks."""
+    single = not any(b in text for b in _BLANKS) if text.isascii() else not _DOUBLE.search(text)
+    return single and text[:1] not in ("", " ", "\n") and text[-1] not in " \n"
+
+
 def spans(text: str) -> list[str]:
     """A text cut where the byte-level pattern always starts a new pre-token; all but the first without their space.
 
     That is before a single space with a visible character on either side. Python's white space includes the
     pattern's, so no cut is made inside a run of white space.
     """
-    single = not any(b in text for b in _BLANKS) if text.isascii() else not _DOUBLE.search(text)
-    if single and text[:1] not in ("", " ", "\n") and text[-1] not in " \n":
-        return text.split(" ")
     first, *rest = _CUT.split(text)
     return [first, *[s[1:] for s in rest]]
 
@@ -70,19 +78,57 @@ def spans(text: str) -> list[str]:
 class Encoder:
     """Whole texts to ids by the tokenizers library, which is asked once for each span not seen lately.
 
-    Ids of a span are kept as the bytes of 32-bit integers, so that a text's ids are one join of bytes. The spans of
-    the last and the present generation of CACHED are remembered, over all tasks of a worker.
+    The spans of a list of texts are numbered by Arrow's dictionary encoding, so that only distinct ones are looked up,
+    and the ids of all places are one take from the ids of the distinct spans. Ids of a span are kept as the bytes of
+    32-bit integers. The spans of the last and the present generation of CACHED are remembered, over all tasks of a worker.
     """
 
     def __init__(self, path: str):
         self.library, self.known, self.old = tokenizer(path), {}, {}
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.line_break = self.break_id()
+
+    def break_id(self) -> int | None:
+        """The id of a line break, if the library makes it a token of its own before a span, with and without a space.
+
+        Then no span without a line break can have this id, and many spans can be asked as one text.
+        """
+        lone = self.library.encode("\n", add_special_tokens=False).ids
+        if len(lone) != 1 or any(not c or set(c).intersection(" \n") for c in self.added):
+            return None
+        ends = ["a", "1", ".", "\u00e9", "\u6f22", "\U0001f600", "'s", "a.", "1a", "$"]
+        for before in (" ", ""):
+            found = self.library.encode_batch([before + s for s in ends], add_special_tokens=False)
+            whole = self.library.encode("".join("\n" + before + s for s in ends), add_special_tokens=False).ids
+            if whole != [i for e in found for i in (*lone, *e.ids)]:
+                return None
+        return lone[0]
 
     def ids_of(self, wanted: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(wanted, add_special_tokens=False)
         return [array("i", e.ids).tobytes() for e in found]
 
     def ask(self, wanted: list[str]) -> None:
-        self.known.update(zip(wanted, self.ids_of([" " + w for w in wanted]), strict=True))
+        """Learns the ids of spans behind a space, or of lines: those of plain characters as one text, the others each alone."""
+        plain, lines = [], []
+        if self.line_break is not None:
+            plain = [w for w in wanted if w.isprintable() and " " not in w]
+            lines = [w for w in wanted if w[:1] == "\n" and w[1:].isprintable() and " " not in w]
+            if any(c in "\n".join([*plain, *lines]) for c in self.added):
+                plain, lines = ([w for w in some if not any(c in w for c in self.added)] for some in (plain, lines))
+        for some, before in ((plain, "\n "), (lines, "")):
+            for low in range(0, len(some), JOINED):
+                part = some[low:low + JOINED]
+                found = self.library.encode_batch_fast(["".join([before + w for w in part])], add_special_tokens=False)[0]
+                ids = np.array(found.ids, np.int32)
+                cuts = np.flatnonzero(ids == self.line_break) * 4
+                if len(cuts) != len(part):
+                    raise ValueError("a span without line breaks has the id of one")
+                flat, starts, ends = ids.tobytes(), cuts + 4 * bool(before), np.append(cuts[1:], 4 * len(ids))
+                self.known.update(zip(part, map(flat.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True))
+        if len(plain) + len(lines) < len(wanted):
+            rest = [w for w in wanted if w not in self.known]
+            self.known.update(zip(rest, self.ids_of([w if w[:1] == "\n" else " " + w for w in rest]), strict=True))
 
     def again(self, wanted: set[str]) -> set[str]:
         """Takes over what the last generation knows of ``wanted``; returns the rest."""
@@ -91,12 +137,12 @@ class Encoder:
         return wanted.difference(found)
 
     def learn(self, wanted: set[str]) -> set[str]:
-        """Sees to it that all spans (behind a space) are known; returns those that were not."""
+        """Sees to it that all spans (behind a space, but for line breaks) are known; returns those that were not."""
         known = self.known
         missing = self.again(wanted.difference(known))
         pairs = {}
         for span in missing:  # letters and the marks behind them are separate pre-tokens
-            if span[-1:] in _MARKS and (word := span.rstrip(_MARKS)).isalpha():
+            if span[-1:] in _MARKS and (word := span.rstrip(_MARKS)).removeprefix("\n").isalpha():
                 pairs[span] = word, span[len(word):]
         words = self.again({w for w, _ in pairs.values()}.difference(known))
         self.ask(list(words.union(missing.difference(pairs))))
@@ -107,12 +153,34 @@ class Encoder:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as the bytes of native 32-bit integers."""
-        split = [spans(t) for t in texts]
-        firsts = self.ids_of([s[0] for s in split])
-        rests = [s[1:] for s in split]
-        new = self.learn(set().union(*rests))
-        get = self.known.__getitem__
-        out = [first + b"".join(map(get, s)) for first, s in zip(firsts, rests, strict=True)]
+        if not texts:
+            return []
+        easy = [i for i, t in enumerate(texts) if single_spaced(t)]
+        hard = sorted(set(range(len(texts))).difference(easy))
+        lines = "\n" if self.line_break is None else " \n"
+        split = [
+            pc.split_pattern(pa.array([texts[i].replace("\n", lines) for i in easy], pa.large_string()), " ").cast(SPANS),
+            pa.array([spans(texts[i]) for i in hard], SPANS),
+        ]
+        numbered = pa.concat_arrays([s.flatten() for s in split]).dictionary_encode()
+        counts = np.concatenate([pc.list_value_length(s).to_numpy() for s in split])
+        starts = np.cumsum(counts) - counts
+        codes, names = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False)
+        firsts = self.ids_of(names[codes[starts]].tolist())  # without a space before them
+        codes = np.delete(codes, starts)
+        behind = np.bincount(codes, minlength=len(names)) > 0
+        names, codes = names[behind].tolist(), (np.cumsum(behind) - 1)[codes]
+        codes = np.insert(codes, starts - np.arange(len(texts)), len(names) + np.arange(len(texts)))
+        new = self.learn(set(names))
+        found = [*map(self.known.__getitem__, names), *firsts]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        lists = pa.LargeListArray.from_arrays(
+            pa.array(np.concatenate(([0], ends))), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        taken = lists.take(pa.array(codes))
+        offsets, flat = taken.offsets.to_numpy(), taken.values.to_numpy()
+        out = [b""] * len(texts)
+        for i, a, b in zip(easy + hard, offsets[starts].tolist(), offsets[starts + counts].tolist(), strict=True):
+            out[i] = flat[a:b].tobytes()
         for span in [s for s in new if len(s) > 64]:
             self.known.pop(span, None)
         if len(self.known) > CACHED:
@@ -141,7 +209,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 0) -> No
         encoder, part, offset = encoder_of(path), TaskContext.get().partitionId(), 0
         end = array("i", [end_id]).tobytes()
         for batch in batches:
-            for start, texts in slices(batch.column(1)):
+            for start, texts in slices(batch.column(1), ASKED_BYTES):
                 ids = encoder.texts([t.decode("utf-8", "replace") for t in texts])
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
                 ends = np.cumsum(sizes)

@@ -19,6 +19,7 @@ ODD = [
     "", " ", "  a  b ", "▁x▁▁y", "a\n b\n\n  c", "日本語テキスト 😀", "<s> </s> <unk> <0x41>", "\x00a", "a" * 3000,
     "1234 5678.90", " lead", "trail ", "\t\ttab", " " * 17 + "x", "éé😀😀 😀", "it's a'll 's", "a \n \n b", "x,y ,. z", "a\x1c b",
     "<|endoftext|> a", "word,word. Word!!! (word)", "naïve.\nÑandú", "漢字" * 500,
+    "one.\nTwo, three!!\nfour <|endoftext|>\nfive\nsix<|endoftext|> x\n<|endoftext|>y", "a\n'll 1\n2,3\n'\nß.",
 ]
 ALPHABET = st.text(alphabet=st.sampled_from("ab he\u2581 .,\n\t\u00a0\u3000éñ1😀<>|'#"), max_size=60)
 
