@@ -42,7 +42,7 @@ CACHED = 250_000
 #: Spans that the library is asked in one text.
 JOINED = 20_000
 #: Text whose spans are looked up together.
-ASKED_BYTES = 8_000_000
+ASKED_BYTES = 4_000_000
 SPANS = pa.large_list(pa.large_string())
 #: A single space between two visible characters starts a new pre-token in the byte-level pattern.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
