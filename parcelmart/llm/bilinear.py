@@ -8,8 +8,8 @@ steps: the class of the unit, then the unit within its class. The SINGLES most f
 text are classes alone; neighbours in frequency share the other classes, as many as the root of the number of their units.
 
 Training passes over every training text once, with noise-contrastive steps for classes and for units within their
-class: each task starts from the same parameters, which give unigram probabilities, and each row of the tasks' results is
-averaged by the number of its uses.
+class: each shard starts from the same parameters, which give unigram probabilities, and each row of the shards' results is
+averaged by the number of its uses. Shards are dealt by hash, their number by the training tokens.
 
 Word counts cover all training texts and are made by shuffled sums. The HEAD_WORDS most frequent words travel to the tasks
 with their counts (a bounded table); all other words of a text are looked up by a join.
@@ -260,10 +260,33 @@ def head_model(counts: DataFrame, head_words: int = HEAD_WORDS) -> Model:
                  int((sizes["c"] * sizes["n"]).sum()), int(sizes["n"].sum()), ends, *of_bucket)
 
 
+def shard_count(tokens: int) -> int:
+    """Shards that so many training tokens are dealt to; a shard grows as their root does."""
+    return 1 + math.isqrt(tokens >> 16)
+
+
+def dealt(docs: DataFrame, shards: int) -> DataFrame:
+    """(whole_text, times): each partition is a shard, with the same rows in the same order whatever the files of ``docs``.
+
+    Equal rows are counted first and their number is spread over the shards.
+    """
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("whole_text"))
+    rows = rows.groupBy("doc_id", "whole_text").agg(F.count(F.lit(1)).alias("n"))
+    copies = rows.select(
+        "*", F.xxhash64("doc_id", "whole_text").alias("place"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(shards)) - 1)).alias("copy"))
+    ordered = copies.repartition(shards, "place", "copy").sortWithinPartitions("place", "copy", "doc_id", "whole_text")
+    return ordered.select("whole_text", F.expr(f"(n - copy + {shards - 1}) div {shards}").alias("times"))
+
+
 def train_model(docs: DataFrame, model: Model) -> Model:
-    """Every task passes over its texts once; each row of parameters is averaged, weighted by its uses."""
+    """A task passes over each shard's texts once; each row of parameters is averaged, weighted by its uses.
+
+    Shards depend on the rows alone, so the model is the same on any cluster and for any files.
+    """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
+    shared, shards = context.broadcast(model), shard_count(model.tokens)
+    groups = math.isqrt(shards)
 
     def run(batches):
         from pyspark import TaskContext
@@ -271,33 +294,36 @@ def train_model(docs: DataFrame, model: Model) -> Model:
         mine = replace(shared.value, parameters={k: v.copy() for k, v in shared.value.parameters.items()})
         state = {k: np.zeros_like(v) for k, v in mine.parameters.items()}
         state |= {f"uses_{k}": np.zeros(len(v)) for k, v in mine.parameters.items()}
-        rng = np.random.default_rng(TaskContext.get().partitionId())
+        shard = TaskContext.get().partitionId()
+        rng = np.random.default_rng(shard)
         for batch in batches:
-            for _, texts in slices(batch.column(0)):
-                units, before, _ = mine.sequences([t.lower().split() for t in texts])
-                mine.train(units, before, state, rng)
+            for start, texts in slices(batch.column(0)):
+                times = batch.column(1).slice(start, len(texts)).to_pylist()
+                for turn in range(max(times)):
+                    units, before, _ = mine.sequences([t.lower().split() for t, n in zip(texts, times, strict=True) if n > turn])
+                    mine.train(units, before, state, rng)
         for name, values in mine.parameters.items():
             found = []
             for block in range(0, len(values), BLOCK):
                 uses, part = state[f"uses_{name}"][block:block + BLOCK], values[block:block + BLOCK]
                 if uses.any():
-                    sums = (part.T * uses).T
-                    found.append((name, block // BLOCK, uses.astype(np.float32).tobytes(), sums.astype(np.float32).tobytes()))
+                    found.append((name, block // BLOCK, shard % groups, shard, uses.tobytes(), (part.T * uses).T.astype(float).tobytes()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (
-                    pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["name", "block", "uses", "sums"])
+                    pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                    names=["name", "block", "among", "shard", "uses", "sums"])
 
     def add(group: pa.Table) -> pa.Table:
-        uses, sums = (sum(np.frombuffer(v.as_py(), np.float32).astype(float) for v in group.column(c)) for c in (2, 3))
-        return pa.table({"name": group.column(0)[:1], "block": group.column(1)[:1],
-                         "uses": [uses.tobytes()], "sums": [sums.tobytes()]}, group.schema)
-
-    schema = "name string, block int, uses binary, sums binary"
-    texts = docs.select(F.col("text").cast("binary").alias("whole_text"))
-    # a task's result is as large as the model, so a task takes several splits where there are many
-    tasks = max(2 * context.defaultParallelism, texts.rdd.getNumPartitions() // 4)
-    records = texts.coalesce(tasks).mapInArrow(run, schema).groupBy("name", "block").applyInArrow(add, schema)
-    return model.unpack(records.collect())
+        group = group.sort_by("shard")  # sums of floats depend on their order
+        uses, sums = (sum(np.frombuffer(v.as_py()) for v in group.column(c)) for c in (4, 5))
+        first = [group.column(c)[:1] for c in range(4)]
+        return pa.table([*first, [uses.tobytes()], [sums.tobytes()]], schema=group.schema)
+
+    schema = "name string, block int, among int, shard int, uses binary, sums binary"
+    # two rounds, so that no group holds the records of all shards
+    records = dealt(docs, shards).mapInArrow(run, schema).groupBy("name", "block", "among").applyInArrow(add, schema)
+    records = records.groupBy("name", "block").applyInArrow(add, schema)
+    return model.unpack(records.select("name", "block", "uses", "sums").collect())
 
 
 def score_texts(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:

@@ -48,6 +48,28 @@ def test_held_out_texts_score_better_than_unigram(spark):
     assert found["score"].sum() > found["base_score"].sum()
 
 
+def test_the_files_of_a_table_do_not_change_scores(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(5)).select("doc_id", "text"))
+    scores = []
+    for files in (1, 16):
+        docs.repartition(files).write.parquet(f"{tmp_path}/{files}")
+        found = bilinear.score_texts(spark.read.parquet(f"{tmp_path}/{files}")).toPandas()
+        scores.append(found.sort_values(["doc_id", "score"])["score"].to_numpy())
+    assert bilinear.shard_count(int(found["train_tokens"].max())) > 1
+    assert np.allclose(*scores, rtol=1e-6, atol=0)  # matrix products of 32 bits round by batch
+
+
+def test_equal_rows_are_dealt_over_shards(spark):
+    docs = spark.createDataFrame([(1, "a")] * 23 + [(None, None)] * 2 + [(2, "b")], "doc_id int, text string")
+    found = [[(r["whole_text"], r["times"]) for r in part] for part in bilinear.dealt(docs, 4).rdd.glom().collect()]
+    totals = Counter()
+    for text, times in (r for part in found for r in part):
+        totals[None if text is None else bytes(text)] += times
+    assert len(found) == 4 and totals == {b"a": 23, None: 2, b"b": 1}
+    assert bilinear.dealt(docs, 1).count() == 3
+
+
 def test_classes_add_to_one():
     rng = np.random.default_rng(0)
     counts = np.sort(rng.integers(1, 500, 600))[::-1]
