@@ -20,8 +20,9 @@ from parcelmart.llm.token_files import token_file_report
 from parcelmart.llm.urls import judge_urls
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
-#: Names of hosts whose pages the URL query takes as its list.
+#: The URL query's list: pages of hosts of these names, and pages with such a title.
 REPORTED = r"(^|\.)(spam-farm|cheap-pills)\."
+JUNK_TITLE = r"<title>[^<]*([#*$%]{3}|[A-Z]{3}[^<a-z]*!)"
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,10 +73,10 @@ def op9_log_bilinear_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Judges every page; the list is the canonical URLs of the pages of reported hosts."""
-    pages = read(spark, folder, "pages").select("page_id", "url")
+    """Judges every page; the list is the canonical URLs of pages of reported hosts and of pages with a junk title."""
+    pages = read(spark, folder, "pages").select("page_id", "url", "html")
     host = F.regexp_extract(F.lower("url"), r"://([^/?#]*)", 1)
-    return judge_urls(pages, pages.where(host.rlike(REPORTED)))
+    return judge_urls(pages, pages.where(host.rlike(REPORTED) | F.col("html").rlike(JUNK_TITLE)))
 
 
 def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,11 +113,11 @@ _RULES = """
         WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
         WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
         WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule,
-        regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(\\.html?|/+)$', '') AS canonical
-    FROM (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(\\.html?|/+)$', '') AS canonical, html
+    FROM (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                              'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
-          FROM (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest
+          FROM (SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest
                 FROM pages))
 """
 _TERMS = """
@@ -127,7 +128,8 @@ ORACLE = {
     "op10_url_filter": f"""
         WITH judged AS ({_RULES}),
         listed AS (SELECT DISTINCT canonical FROM judged
-                   WHERE regexp_matches(host, '(^|\\.)(spam-farm|cheap-pills)\\.') AND canonical <> '')
+                   WHERE (regexp_matches(host, '(^|\\.)(spam-farm|cheap-pills)\\.')
+                          OR regexp_matches(html, '<title>[^<]*([#*$%]{{3}}|[A-Z]{{3}}[^<a-z]*!)')) AND canonical <> '')
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
                     WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,

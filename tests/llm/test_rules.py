@@ -10,7 +10,7 @@ import pytest
 
 from parcelmart.llm import quality, queries
 from parcelmart.llm.licenses import BASE, Scanner, evaluate, family, license_scan, postfix
-from parcelmart.llm.urls import judge_urls, listed_pages
+from parcelmart.llm.urls import MOST_BLOCKS, blocks_for, judge_urls, listed_pages
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -152,6 +152,17 @@ def test_urls(spark):
     assert {r["verdict"] for r in judge_urls(pages, listed.limit(0), rules=()).collect()} == {"allow"}
 
 
+def test_the_list_of_the_url_query_is_not_a_matter_of_hosts(spark):
+    found = queries.op10_url_filter(spark, "/root/testdata/sf0.01").toPandas()
+    by_host = found.groupby("host")["listed"].agg(["min", "max"])
+    assert (by_host["min"] != by_host["max"]).sum() > 5
+    assert (found["listed"] & found["rule"].isna() & (found["verdict"] == "block")).any()
+
+
+def test_the_filter_grows_with_the_list():
+    assert [blocks_for(n) for n in (0, 4 << 12, 4 << 30)] == [1 << 10, 1 << 12, MOST_BLOCKS]
+
+
 def test_the_filter_never_loses_a_listed_url(spark):
     names = spark.range(5000).selectExpr("concat('h', id, '.net/a') AS canonical")
     asked = spark.range(10_000).selectExpr("id", "concat('h', id, '.net/a') AS canonical")
