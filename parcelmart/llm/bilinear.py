@@ -234,9 +234,9 @@ class Model:
         out = {k: v.copy() for k, v in self.parameters.items()}
         for name, block, uses, values in records:
             rows = out[name][block * BLOCK:(block + 1) * BLOCK]
-            uses = np.frombuffer(uses)
+            uses = np.frombuffer(uses, np.float32)
             used = uses > 0
-            sums = np.frombuffer(values).reshape(rows.shape)[used]
+            sums = np.frombuffer(values, np.float32).reshape(rows.shape)[used]
             rows[used] = sums / uses[used].reshape(-1, *[1] * (rows.ndim - 1))
         return replace(self, parameters=out)
 
@@ -262,7 +262,7 @@ def head_model(counts: DataFrame, head_words: int = HEAD_WORDS) -> Model:
 
 def shard_count(tokens: int) -> int:
     """Shards that so many training tokens are dealt to; a shard grows as their root does."""
-    return 1 + math.isqrt(tokens >> 16)
+    return 1 + math.isqrt(tokens >> 18)
 
 
 def dealt(docs: DataFrame, shards: int) -> DataFrame:
@@ -288,6 +288,9 @@ def train_model(docs: DataFrame, model: Model) -> Model:
     shared, shards = context.broadcast(model), shard_count(model.tokens)
     groups = math.isqrt(shards)
 
+    def packed(values: np.ndarray) -> bytes:
+        return values.astype(np.float32).tobytes()
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -307,7 +310,7 @@ def train_model(docs: DataFrame, model: Model) -> Model:
             for block in range(0, len(values), BLOCK):
                 uses, part = state[f"uses_{name}"][block:block + BLOCK], values[block:block + BLOCK]
                 if uses.any():
-                    found.append((name, block // BLOCK, shard % groups, shard, uses.tobytes(), (part.T * uses).T.astype(float).tobytes()))
+                    found.append((name, block // BLOCK, shard % groups, shard, *map(packed, (uses, (part.T * uses).T))))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (
                     pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
@@ -315,9 +318,9 @@ def train_model(docs: DataFrame, model: Model) -> Model:
 
     def add(group: pa.Table) -> pa.Table:
         group = group.sort_by("shard")  # sums of floats depend on their order
-        uses, sums = (sum(np.frombuffer(v.as_py()) for v in group.column(c)) for c in (4, 5))
+        uses, sums = (sum(np.frombuffer(v.as_py(), np.float32).astype(float) for v in group.column(c)) for c in (4, 5))
         first = [group.column(c)[:1] for c in range(4)]
-        return pa.table([*first, [uses.tobytes()], [sums.tobytes()]], schema=group.schema)
+        return pa.table([*first, [packed(uses)], [packed(sums)]], schema=group.schema)
 
     schema = "name string, block int, among int, shard int, uses binary, sums binary"
     # two rounds, so that no group holds the records of all shards
