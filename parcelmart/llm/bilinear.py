@@ -262,7 +262,7 @@ def head_model(counts: DataFrame, head_words: int = HEAD_WORDS) -> Model:
 
 def shard_count(tokens: int) -> int:
     """Shards that so many training tokens are dealt to; a shard grows as their root does."""
-    return 1 + math.isqrt(tokens >> 18)
+    return 1 + math.isqrt(tokens >> 20)
 
 
 def dealt(docs: DataFrame, shards: int) -> DataFrame:
@@ -286,7 +286,6 @@ def train_model(docs: DataFrame, model: Model) -> Model:
     """
     context = docs.sparkSession.sparkContext
     shared, shards = context.broadcast(model), shard_count(model.tokens)
-    groups = math.isqrt(shards)
 
     def packed(values: np.ndarray) -> bytes:
         return values.astype(np.float32).tobytes()
@@ -310,22 +309,21 @@ def train_model(docs: DataFrame, model: Model) -> Model:
             for block in range(0, len(values), BLOCK):
                 uses, part = state[f"uses_{name}"][block:block + BLOCK], values[block:block + BLOCK]
                 if uses.any():
-                    found.append((name, block // BLOCK, shard % groups, shard, *map(packed, (uses, (part.T * uses).T))))
+                    found.append((name, block // BLOCK, shard, *map(packed, (uses, (part.T * uses).T))))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (
-                    pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                    names=["name", "block", "among", "shard", "uses", "sums"])
+                    pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                    names=["name", "block", "shard", "uses", "sums"])
 
     def add(group: pa.Table) -> pa.Table:
         group = group.sort_by("shard")  # sums of floats depend on their order
-        uses, sums = (sum(np.frombuffer(v.as_py(), np.float32).astype(float) for v in group.column(c)) for c in (4, 5))
-        first = [group.column(c)[:1] for c in range(4)]
+        uses, sums = (sum(np.frombuffer(v.as_py(), np.float32).astype(float) for v in group.column(c)) for c in (3, 4))
+        first = [group.column(c)[:1] for c in range(3)]
         return pa.table([*first, [packed(uses)], [packed(sums)]], schema=group.schema)
 
-    schema = "name string, block int, among int, shard int, uses binary, sums binary"
-    # two rounds, so that no group holds the records of all shards
-    records = dealt(docs, shards).mapInArrow(run, schema).groupBy("name", "block", "among").applyInArrow(add, schema)
-    records = records.groupBy("name", "block").applyInArrow(add, schema)
+    schema = "name string, block int, shard int, uses binary, sums binary"
+    # a group holds a record of 18 KB of each shard, whose number grows as the root of the tokens
+    records = dealt(docs, shards).mapInArrow(run, schema).groupBy("name", "block").applyInArrow(add, schema)
     return model.unpack(records.select("name", "block", "uses", "sums").collect())
 
 

@@ -48,7 +48,8 @@ def test_held_out_texts_score_better_than_unigram(spark):
     assert found["score"].sum() > found["base_score"].sum()
 
 
-def test_the_files_of_a_table_do_not_change_scores(spark, tmp_path):
+def test_the_files_of_a_table_do_not_change_scores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bilinear, "shard_count", lambda tokens: 3)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     docs = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(5)).select("doc_id", "text"))
     scores = []
@@ -56,7 +57,6 @@ def test_the_files_of_a_table_do_not_change_scores(spark, tmp_path):
         docs.repartition(files).write.parquet(f"{tmp_path}/{files}")
         found = bilinear.score_texts(spark.read.parquet(f"{tmp_path}/{files}")).toPandas()
         scores.append(found.sort_values(["doc_id", "score"])["score"].to_numpy())
-    assert bilinear.shard_count(int(found["train_tokens"].max())) > 1
     assert np.allclose(*scores, rtol=1e-6, atol=0)  # matrix products of 32 bits round by batch
 
 
