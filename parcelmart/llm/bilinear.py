@@ -24,6 +24,8 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field, replace
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -266,7 +268,7 @@ def shard_count(tokens: int) -> int:
 
 
 def dealt(docs: DataFrame, shards: int) -> DataFrame:
-    """(whole_text, times): each partition is a shard, with the same rows in the same order whatever the files of ``docs``.
+    """(whole_text, times, shard): each shard together, with the same rows in the same order whatever the files of ``docs``.
 
     Equal rows are counted first and their number is spread over the shards.
     """
@@ -275,12 +277,14 @@ def dealt(docs: DataFrame, shards: int) -> DataFrame:
     copies = rows.select(
         "*", F.xxhash64("doc_id", "whole_text").alias("place"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(shards)) - 1)).alias("copy"))
-    ordered = copies.repartition(shards, "place", "copy").sortWithinPartitions("place", "copy", "doc_id", "whole_text")
-    return ordered.select("whole_text", F.expr(f"(n - copy + {shards - 1}) div {shards}").alias("times"))
+    # equal rows go to one shard after another, so that each gets its part of them
+    copies = copies.withColumn("shard", F.pmod(F.pmod("place", F.lit(shards)) + F.col("copy"), F.lit(shards)).cast("int"))
+    ordered = copies.repartition(4 * shards, "shard").sortWithinPartitions("shard", "place", "copy", "doc_id", "whole_text")
+    return ordered.select("whole_text", F.expr(f"(n - copy + {shards - 1}) div {shards}").alias("times"), "shard")
 
 
 def train_model(docs: DataFrame, model: Model) -> Model:
-    """A task passes over each shard's texts once; each row of parameters is averaged, weighted by its uses.
+    """Each shard's texts are passed over once, in one task; each row of parameters is averaged, weighted by its uses.
 
     Shards depend on the rows alone, so the model is the same on any cluster and for any files.
     """
@@ -290,20 +294,28 @@ def train_model(docs: DataFrame, model: Model) -> Model:
     def packed(values: np.ndarray) -> bytes:
         return values.astype(np.float32).tobytes()
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        mine = replace(shared.value, parameters={k: v.copy() for k, v in shared.value.parameters.items()})
-        state = {k: np.zeros_like(v) for k, v in mine.parameters.items()}
-        state |= {f"uses_{k}": np.zeros(len(v)) for k, v in mine.parameters.items()}
-        shard = TaskContext.get().partitionId()
-        rng = np.random.default_rng(shard)
+    def parts(batches):
+        """(shard, texts, times) of runs of rows of one shard."""
         for batch in batches:
-            for start, texts in slices(batch.column(0)):
-                times = batch.column(1).slice(start, len(texts)).to_pylist()
+            of = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                for start, texts in slices(batch.column(0).slice(low, high - low)):
+                    yield int(of[low]), texts, batch.column(1).slice(low + start, len(texts)).to_pylist()
+
+    def run(batches):
+        for shard, rows in groupby(parts(batches), key=itemgetter(0)):
+            mine = replace(shared.value, parameters={k: v.copy() for k, v in shared.value.parameters.items()})
+            state = {k: np.zeros_like(v) for k, v in mine.parameters.items()}
+            state |= {f"uses_{k}": np.zeros(len(v)) for k, v in mine.parameters.items()}
+            rng = np.random.default_rng(shard)
+            for _, texts, times in rows:
                 for turn in range(max(times)):
                     units, before, _ = mine.sequences([t.lower().split() for t, n in zip(texts, times, strict=True) if n > turn])
                     mine.train(units, before, state, rng)
+            yield from records_of(mine, state, shard)
+
+    def records_of(mine, state, shard):
         for name, values in mine.parameters.items():
             found = []
             for block in range(0, len(values), BLOCK):
