@@ -144,6 +144,18 @@ def test_vector_against_a_full_comparison(index, chunks, queries, tmp_path, monk
     check_vectors(r.SearchIndex(chunks, None, cells.write_cells(coded, str(tmp_path / "c")), index.centroids), chunks, queries, 20)
 
 
+@pytest.mark.parametrize("share, block, scores", [(64 * 40, 64 * 2, 30), (64 * 3, 1 << 20, 1 << 20)])
+def test_exact_search_in_shares_and_blocks(index, chunks, queries, monkeypatch, share, block, scores):
+    """No query is repeated for every cell, and nothing is broadcast: that broadcast failed over a thousand cells."""
+    monkeypatch.setattr(cells, "SHARE_NUMBERS", share)
+    monkeypatch.setattr(cells, "BLOCK_NUMBERS", block)
+    monkeypatch.setattr(cells, "SCORE_NUMBERS", scores)
+    check_vectors(index, chunks, queries, 20)
+    for probes in (None, 2):
+        plan = r.vector_candidates(index, queries, 20, probes)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
 def test_index_reads_back(spark, chunks, queries, tmp_path):
     built = r.write_search_index(chunks, str(tmp_path / "i"), 5)
     again = r.read_search_index(spark, str(tmp_path / "i"))
