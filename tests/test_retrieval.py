@@ -293,6 +293,26 @@ def test_word_scores(index, queries):
         assert best == pytest.approx(wanted)
 
 
+def test_the_score_query_gives_every_pair(spark, folder):
+    """Not the best thirty of each query only."""
+    from parcelmart.registry import knowledge
+
+    found = knowledge.jobs()["fts_score"](spark, folder).cache()
+    every = r.word_scores(knowledge.index(spark, folder), knowledge.queries(spark, folder), None)
+    assert found.count() == every.count() and found.groupBy("query_id").count().agg(F.max("count")).first()[0] > 30
+
+
+def test_places_of_other_words_are_left_before_any_shuffle(spark, tmp_path):
+    rows = [(f"c{i:03}", "d", "t", 0, ["h"], f"w{i} late-fee late Late") for i in range(100)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, title string, ordinal int, heading_path array<string>, content string")
+    index = postings.write_postings(chunks, str(tmp_path / "p"))
+    asked = spark.createDataFrame([("late",), ("w7",)], "word string")
+    assert postings.whole_words(index, asked).groupBy("word").agg(F.sum("n").alias("n")).sort("word").collect() == [("late", 300), ("w7", 1)]
+    queries = spark.createDataFrame([(1, ["late", "w7"]), (2, ["w7"])], "query_id int, terms array<string>")
+    found = {(x.query_id, x.chunk_id): x.fts_score for x in postings.word_scores(index, queries, None).collect()}
+    assert len(found) == 101 and found[1, "c007"] == 0.4 and found[1, "c008"] == 0.3 and found[2, "c007"] == 0.1
+
+
 POLICIES = {
     "returns": "# Returning goods\n\nA customer may send goods back within thirty days.\n\n## Refunds\n\nThe money is refunded to the card.",
     "late": "# Late parcels\n\nA delivery is late after the estimated day.\n\n## Carriers\n\nCarriers are reviewed each quarter.",
