@@ -5,11 +5,13 @@ import math
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from parcelmart.functions.tokens import python_tokens, tokenize
+from parcelmart.functions import vectors
 from parcelmart.functions.vectors import cosine_similarity, hash_embedding
 from parcelmart.operators import knowledge as k
 from parcelmart.plans.ingest import ingest_knowledge, ready_chunks
@@ -117,6 +119,19 @@ def test_embedding_is_unit_length_deterministic_and_as_defined(spark):
         hash_embedding("t", 16)
 
 
+def test_long_batches_are_embedded_in_slices(spark):
+    """A batch of texts used to be held as tokens all at once."""
+    texts = pd.Series(["a" * 10, None, "b" * vectors.SLICE_CHARS, "c", "d" * (vectors.SLICE_CHARS - 1), "e", "f"])
+    parts = list(vectors._slices(texts))
+    assert [list(p.index) for p in parts] == [[0, 1], [2], [3, 4], [5, 6]]
+    assert list(vectors._slices(texts.iloc[:0])) == []
+    long = " ".join(f"w{i}" for i in range(90_000))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([long, "late parcels", long, None, long, "late parcels"])], "i int, t string").coalesce(1)
+    found = {r.i: r.v for r in df.select("i", hash_embedding("t", 32, "md5").alias("v")).collect()}
+    assert found[0] == found[2] == found[4] and found[1] == found[5] and any(found[1]) and set(found[3]) == {0.0}
+    assert found[0] == pytest.approx(vectors.embed_token_lists(pd.Series([long.split()]), 32, "md5")[0], abs=1e-7)
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0], [1.0])], "a array<double>, b array<double>, z array<double>, s array<double>")
     row = df.select(cosine_similarity(F.col("a"), F.col("b")), cosine_similarity(F.col("a"), F.col("z"))).first()
