@@ -132,6 +132,22 @@ def test_long_batches_are_embedded_in_slices(spark):
     assert found[0] == pytest.approx(vectors.embed_token_lists(pd.Series([long.split()]), 32, "md5")[0], abs=1e-7)
 
 
+def test_deduplication_moves_texts_once(spark):
+    """Once for the join; a second shuffle of the texts that are left is not needed."""
+    rows = [(1, "a", "x"), (2, "a", "y"), (2, "a", "y"), (2, "a", "z"), (None, "b", "x"), (None, "b", "x"), (3, None, "x")]
+    df = spark.createDataFrame(rows, "n int, text string, stem string").repartition(3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = k.dedup_documents(df, "n")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r.text, r.n) for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found == [("a", 2), ("b", None)]
+    assert plan.count("hashpartitioning(content_hash") == 3
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0], [1.0])], "a array<double>, b array<double>, z array<double>, s array<double>")
     row = df.select(cosine_similarity(F.col("a"), F.col("b")), cosine_similarity(F.col("a"), F.col("z"))).first()
