@@ -210,3 +210,16 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     conf = SimpleNamespace(get=lambda name, default=None: default)
     with pytest.raises(ValueError, match="checkpoint"):
         shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn")), "x")
+
+
+def test_exported_tables_are_compressed(spark, folder):
+    """The CSV copy of the RAW tables was most of what a load wrote."""
+    import glob
+
+    from parcelmart.registry import sources
+    from parcelmart.schemas import RAW_COLUMNS
+
+    root = sources.csv_folder(spark, folder)
+    for table in RAW_COLUMNS:
+        files = glob.glob(f"{root}/{table}/part-*")
+        assert files and all(f.endswith(".csv.gz") for f in files)
