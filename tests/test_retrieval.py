@@ -107,6 +107,18 @@ def test_common_words_are_not_followed_to_their_chunks(spark, tmp_path):
     assert [b["title"] for b in best] == sorted(f"t{i}" for i in range(0, 2000, 100))[:10]
 
 
+def test_places_stay_where_few_words_are_followed(index, queries, monkeypatch):
+    """All places used to be shuffled by word, twice in a search."""
+    known = postings.asked_terms(index.postings, queries)
+    rows = {}
+    for limit, shuffled in ((200_000, False), (0, True)):
+        monkeypatch.setattr(postings, "BROADCAST_ROWS", limit)
+        found = postings.chunks_of_terms(known.terms, known, index.postings)
+        assert ("hashpartitioning(word" in found._jdf.queryExecution().executedPlan().toString()) == shuffled
+        rows[limit] = sorted(map(tuple, found.collect()))
+    assert rows[0] == rows[200_000] and rows[0]
+
+
 def test_queries_stay_a_table(index, queries, monkeypatch):
     from pyspark.sql import DataFrame
 
