@@ -148,6 +148,21 @@ def test_deduplication_moves_texts_once(spark):
     assert plan.count("hashpartitioning(content_hash") == 3
 
 
+def test_chunks_are_dealt_by_document_once(spark, tmp_path):
+    """The latest batch and the ready documents were two shuffles of all chunks."""
+    files = spark.createDataFrame([("a.md", "a", "one two"), ("b.md", "b", "# H\n\nthree"), ("c.md", "a", "one two")], "filename string, stem string, text string")
+    first = ready_chunks(*ingest_knowledge(spark, files, str(tmp_path / "kb"), dimensions=32))
+    again = ready_chunks(*ingest_knowledge(spark, files.limit(1), str(tmp_path / "kb"), dimensions=32))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = again._jdf.queryExecution().executedPlan().toString()
+        assert sorted(x.content for x in again.collect()) == sorted(x.content for x in first.collect()) == ["one two", "three"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning") == 6  # chunks once, documents twice, batches three times
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0], [0.0, 0.0], [1.0])], "a array<double>, b array<double>, z array<double>, s array<double>")
     row = df.select(cosine_similarity(F.col("a"), F.col("b")), cosine_similarity(F.col("a"), F.col("z"))).first()

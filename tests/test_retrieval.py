@@ -168,6 +168,19 @@ def test_exact_search_in_shares_and_blocks(index, chunks, queries, monkeypatch,
         assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
 
 
+def test_an_index_reads_its_chunks_once(spark, chunks, tmp_path):
+    """Chunks come out of joins; four passes over them ran those joins four times."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    r.write_search_index(chunks.mapInArrow(counted, chunks.schema), str(tmp_path / "i"), 5)
+    assert seen.value == chunks.count() > 0
+
+
 def test_index_reads_back(spark, chunks, queries, tmp_path):
     built = r.write_search_index(chunks, str(tmp_path / "i"), 5)
     again = r.read_search_index(spark, str(tmp_path / "i"))
