@@ -368,3 +368,38 @@ def test_a_policy_corpus_with_known_answers(spark, tmp_path, mode):
     row = r.retrieval_eval(results, gold).first()
     assert row.total == 6 and row.recall_at_5 == 1.0
     assert mode == "vector" or row.top1_accuracy == 1.0
+
+
+@pytest.mark.parametrize("sizes", [(1 << 23, 8192, 1 << 23, 256), (500, 3, 40, 7)])
+def test_many_queries_meet_shares_of_chunks_in_blocks(spark, tmp_path, monkeypatch, sizes):
+    """A large batch used to count its terms in the text of every candidate pair: requests of 0.1 GB did not end."""
+    from parcelmart.operators import term_blocks
+
+    for name, value in zip(("SHARE_CHARS", "BLOCK_QUERIES", "STEP_SUMS", "TILE"), sizes, strict=True):
+        monkeypatch.setattr(term_blocks, name, value)
+    monkeypatch.setattr(postings, "MANY_QUERIES", 5)
+    monkeypatch.setattr(postings, "_with_hits", None)  # the count in the texts of pairs
+    rng = np.random.default_rng(9)
+    words = ["parcel", "parcels", "late", "plate", "lat_e", "late-fee", "ab", "a", "b", "运费成本", "ÉTÉ", "x1", "latte", "a-b", "Late"]
+    rows = [(f"c{i:03}", f"d{i // 3}", " ".join(rng.choice(words, 2)) if i % 4 else "the late title", i % 3, ["h"],
+             " ".join(rng.choice(words, rng.integers(0, 9))) + "." * (i % 3)) for i in range(200)]
+    chunks = spark.createDataFrame(
+        rows, "chunk_id string, document_id string, title string, ordinal int, heading_path array<string>, content string")
+    texts = ["late", "parcel late a_b", "la_e plate", "运费 ab x1", "late-fee été", "nowhere", "a_ b1 lat", "title the", "ab _ __ a__"]
+    asked = r.prepare_queries(spark.createDataFrame(list(enumerate(texts)), "query_id int, query string"), dimensions=64)
+    built = r.SearchIndex(chunks, postings.write_postings(chunks, str(tmp_path / "p")), None, None)
+    for n in (2, 30):
+        check_lexical(built, asked, n)
+    plain = {(x.query_id, x.chunk_id): x for x in r.lexical_candidates(built, asked, 30).collect()}
+    for (query, chunk), x in plain.items():
+        text = next(c for c in rows if c[0] == chunk)
+        assert x.lexical_hits >= x.title_hits and x.title == text[2]
+
+
+def test_a_title_that_is_null_has_no_terms_in_a_large_batch(spark, monkeypatch):
+    from parcelmart.operators.term_blocks import search_blocks
+
+    chunks = spark.createDataFrame([("a", None, 0, "late late"), ("b", "late", 0, None)], "chunk_id string, title string, ordinal int, content string")
+    asked = spark.createDataFrame([(1, ["late", "x" * 3]), (None, ["late"])], "query_id int, terms array<string>")
+    found = sorted(tuple(x) for x in search_blocks(chunks, asked, 5).drop("title").collect())
+    assert found == [(1, "a", 0, 0, 1, 2), (1, "b", 0, 1, 1, 0)]
