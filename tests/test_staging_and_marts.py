@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -7,9 +8,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from parcelmart.operators import marts, staging as stage
-from parcelmart.operators.keys import DuplicateKeyError, assert_unique
-from parcelmart.plans.warehouse import marts_from_staging
+from parcelmart.operators.keys import DuplicateKeyError, assert_unique, duplicate_keys
+from parcelmart.plans.warehouse import MART_KEYS, marts_from_staging, order_buckets, refresh_marts
 from parcelmart.schemas import raw_schema
+from tests.conftest import rows
 from tests.helpers import item, order, payment, review, staging
 
 
@@ -103,3 +105,30 @@ def test_one_hot_order_is_combined_before_the_shuffle(spark):
     assert (hot.item_count, hot.seller_count, hot.item_value) == (10_000, 7, Decimal("11000.00"))
     plan = grouped._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and plan.index("Exchange") < plan.rindex("partial_sum")
+
+
+def test_a_refresh_moves_facts_once_and_checks_keys_without_a_shuffle(spark, tmp_path):
+    many = [f"o{i}" for i in range(40)]
+    stg = staging(
+        spark, [order(k) for k in many], [item(k, n, seller=f"s{n}") for k in many for n in (1, 2)],
+        [payment(k, n, kind) for k in many for n, kind in ((1, "voucher"), (2, None))], [review(f"r{k}", k, 4, None, "m") for k in many],
+        sellers=("s1", "s2"),
+    )
+    found = refresh_marts(spark, stg, str(tmp_path), buckets=3)
+    lazy = marts_from_staging(stg)
+    for name, (_, keys) in MART_KEYS.items():
+        mart = getattr(found, name).drop("purchase_month")
+        assert rows(mart) == rows(getattr(lazy, name))
+        assert not keys or "order_id" not in keys or "Exchange" not in plan_of(duplicate_keys(mart, keys))
+    assert "Exchange" not in plan_of(found.payments.hint("merge").join(found.orders.select("order_id", "customer_id"), "order_id"))
+
+
+def test_order_buckets_follow_the_rows(spark):
+    def count(n):
+        return order_buckets(replace(staging(spark, [order("o")]), items=spark.range(n)))
+
+    assert [count(n) for n in (0, 500_000, 3_000_000, 40_000_000)] == [1, 2, 8, 20]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
