@@ -1,10 +1,10 @@
 """All metric calls of a whole table of requests in one job.
 
 Requests share ranges, so each distinct range is computed once. The first days of all ranges and the days after their last
-are the edges. A mart is summed per key and day, then per key and the edge that follows the day, and added up along the edges to running
-totals; a range is the total at its last edge less the one at its first, two rows met by equality. Rows that
-don't add up (the best reviews of a range) are ranked once in spans of 1, 2, 4, ... neighbouring edges, and a range is put together
-from the few spans that fill it. No range unfolds into days, and no request is compared with the orders themselves.
+are the edges. A mart is summed per key and the edge that follows the day, and added up along the edges to running totals; a range is
+the total at its last edge less the one at its first, two rows met by equality. Rows that don't add up (the best reviews of a range)
+are ranked once in spans of 1, 2, 4, ... neighbouring edges, and a range is put together from the few spans that fill it. No range
+unfolds into days, and no request is compared with the orders themselves.
 """
 
 from __future__ import annotations
@@ -103,13 +103,18 @@ def _edge_of_day(days: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _running_totals(mart: DataFrame, edges: DataFrame, keys: list[Column], names: list[str], columns: list[str]) -> DataFrame:
-    """(names, edge_no, n_rows, and per measure its total and the days that have one) at every edge from a key's first day on."""
-    by_day = measures.summed(mart, [F.col("purchased_at").cast("date").alias("bucket"), *keys], columns)
-    at_edge = by_day.join(_edge_of_day(by_day.select("bucket").distinct(), edges), "bucket")
-    parts = [F.count(F.lit(1)).alias("n_rows")]
+    """(names, edge_no, n_rows, and per measure its total and the edges that have one) at every edge from a key's first day on.
+
+    The edge of each day goes to the rows themselves (one row per day of the calendar, broadcast), so a mart is summed per key and edge at
+    once and not per key and day before.
+    """
+    dated = mart.withColumn("bucket", F.col("purchased_at").cast("date"))
+    edge_of_day = F.broadcast(_edge_of_day(dated.select("bucket").distinct(), edges))
+    summed = measures.summed(dated.join(edge_of_day, "bucket"), [F.col("edge_no"), *keys], columns)
+    parts = [F.lit(1).cast("bigint").alias("n_rows")]
     for m in measures.needed(columns):
-        parts += [F.coalesce(F.sum(m), F.lit(0)).alias(m), F.count(m).alias(f"{m}_days")]
-    per_edge = at_edge.groupBy(*names, "edge_no").agg(*parts)
+        parts += [F.coalesce(m, F.lit(0)).alias(m), F.col(m).isNotNull().cast("bigint").alias(f"{m}_edges")]
+    per_edge = summed.select(*names, "edge_no", *parts)
     so_far = Window.partitionBy(*names).orderBy("edge_no")
     totals = [c for c in per_edge.columns if c not in (*names, "edge_no")]
     last = edges.agg(F.max("edge_no")).scalar()
@@ -130,7 +135,7 @@ def _range_sums(calls: DataFrame, mart: DataFrame, keys: list[Column], names: li
     sums = running.join(signed, "edge_no").groupBy(*RANGE, *names).agg(*[
         F.sum(F.when(F.col("sign") > 0, F.col(c)).otherwise(-F.col(c))).alias(c) for c in totals])
     return sums.where("n_rows > 0").select(*RANGE, *names, *[
-        measures.narrowed(m, F.when(F.col(f"{m}_days") > 0, F.col(m))).alias(m) for m in measures.needed(columns)])
+        measures.narrowed(m, F.when(F.col(f"{m}_edges") > 0, F.col(m))).alias(m) for m in measures.needed(columns)])
 
 
 def _top(rows: DataFrame, calls: DataFrame, family: str, order: list[Column]) -> DataFrame:

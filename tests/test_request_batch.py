@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -37,3 +38,16 @@ def test_running_totals_give_the_sums_of_any_ranges(spark):
     assert got == wanted
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_mart_is_summed_per_edge_and_not_per_day(spark):
+    mart = spark.range(400).select(
+        F.col("id").alias("order_id"), F.date_add(F.lit("2018-01-01").cast("date"), F.col("id").cast("int")).alias("purchased_at"),
+        (F.col("id") % 2).alias("k"))
+    calls = spark.createDataFrame([(dt.date(2018, 2, 1), dt.date(2018, 12, 31))], "start_date date, end_date date")
+    found = b._range_sums(calls, mart, [F.col("k")], ["k"], ["order_count"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\], functions=\[partial_", plan)
+    of_keys = [k for k in keys if "k#" in k]
+    assert len(of_keys) == 2 and all("edge_no" in k or "start_date" in k for k in of_keys)
+    assert sorted((r.k, r.orders) for r in found.collect()) == [(0, 167), (1, 167)]
