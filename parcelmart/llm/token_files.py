@@ -46,10 +46,12 @@ ASKED_BYTES = 4_000_000
 SPANS = pa.large_list(pa.large_string())
 #: A single space between two visible characters starts a new pre-token in the byte-level pattern.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
 #: In an ASCII text without these every white space is a single space or line break between visible characters.
 _BLANKS = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
 _MARKS = ".,!?;:|#$%&*"
+_MARKED = rf"^(?P<word>\n?\pL+)(?P<marks>[{_MARKS}]+)$"
+#: Whether a byte is a mark.
+_ENDS = np.isin(np.arange(256), np.frombuffer(_MARKS.encode(), np.uint8))
 
 
 @lru_cache(maxsize=1)
@@ -61,7 +63,11 @@ def tokenizer(path: str):
 
 def single_spaced(text: str) -> bool:
     """Whether every white space of the text stands alone between visible characters: cut before spaces and line breaks."""
-    single = not any(b in text for b in _BLANKS) if text.isascii() else not _DOUBLE.search(text)
+    if text.isascii():
+        single = not any(b in text for b in _BLANKS)
+    else:
+        words = text.split()
+        single = sum(map(len, words)) + len(words) - 1 == len(text)
     return single and text[:1] not in ("", " ", "\n") and text[-1] not in " \n"
 
 
@@ -136,21 +142,38 @@ class Encoder:
         self.known.update(zip(found, map(self.old.__getitem__, found), strict=True))
         return wanted.difference(found)
 
-    def learn(self, wanted: set[str]) -> set[str]:
+    def learn(self, wanted: list[str]) -> set[str]:
         """Sees to it that all spans (behind a space, but for line breaks) are known; returns those that were not."""
-        known = self.known
-        missing = self.again(wanted.difference(known))
-        pairs = {}
-        for span in missing:  # letters and the marks behind them are separate pre-tokens
-            if span[-1:] in _MARKS and (word := span.rstrip(_MARKS)).removeprefix("\n").isalpha():
-                pairs[span] = word, span[len(word):]
-        words = self.again({w for w, _ in pairs.values()}.difference(known))
-        self.ask(list(words.union(missing.difference(pairs))))
-        marks = {m for _, m in pairs.values()}
-        mark_ids = dict(zip(marks, self.ids_of(list(marks)), strict=True))
-        known.update((span, known[word] + mark_ids[mark]) for span, (word, mark) in pairs.items())
+        missing = self.again(set(wanted).difference(self.known))
+        self.ask(list(missing))
         return missing
 
+    def behind_spaces(self, names: pa.Array) -> tuple[np.ndarray, pa.LargeListArray, set[str]]:
+        """(places, lists, spans not known before): the ids of a span behind a space are those of the lists from its place to the next.
+
+        Letters and the marks behind them are separate pre-tokens, so that only the letters are asked and remembered.
+        """
+        edges = np.frombuffer(names.buffers()[1], np.int64)[names.offset:names.offset + len(names) + 1]
+        text = np.frombuffer(names.buffers()[2], np.uint8) if len(names) and names.buffers()[2] else np.zeros(0, np.uint8)
+        marked = np.zeros(len(names), bool)
+        filled = np.flatnonzero(edges[1:] > edges[:-1])
+        marked[filled] = _ENDS[text[edges[1:][filled] - 1]]
+        parts = pc.extract_regex(names.filter(pa.array(marked)), pattern=_MARKED)
+        split = parts.is_valid().to_numpy(zero_copy_only=False)
+        marked[marked] = split
+        parts = parts.filter(pa.array(split))
+        whole = pa.concat_arrays([names.filter(pa.array(~marked)), parts.field("word")]).dictionary_encode()
+        marks = parts.field("marks").dictionary_encode()
+        wanted = whole.dictionary.to_pylist()
+        new = self.learn(wanted)
+        lists = listed([*map(self.known.__getitem__, wanted), *self.ids_of(marks.dictionary.to_pylist())])
+        ends = np.cumsum(1 + marked)
+        order, words = np.empty(int(ends[-1]) if len(ends) else 0, np.int64), whole.indices.to_numpy()
+        alone = len(names) - len(parts)
+        order[ends[~marked] - 1], order[ends[marked] - 2] = words[:alone], words[alone:]
+        order[ends[marked] - 1] = len(wanted) + marks.indices.to_numpy()
+        return np.concatenate(([0], ends)), lists.take(pa.array(order)), new
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as the bytes of native 32-bit integers."""
         if not texts:
@@ -165,17 +188,15 @@ class Encoder:
         numbered = pa.concat_arrays([s.flatten() for s in split]).dictionary_encode()
         counts = np.concatenate([pc.list_value_length(s).to_numpy() for s in split])
         starts = np.cumsum(counts) - counts
-        codes, names = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False)
-        firsts = self.ids_of(names[codes[starts]].tolist())  # without a space before them
+        codes, names = numbered.indices.to_numpy(), numbered.dictionary
+        firsts = listed(self.ids_of(names.take(pa.array(codes[starts])).to_pylist()))  # without a space before them
         codes = np.delete(codes, starts)
         behind = np.bincount(codes, minlength=len(names)) > 0
-        names, codes = names[behind].tolist(), (np.cumsum(behind) - 1)[codes]
+        names, codes = names.filter(pa.array(behind)), (np.cumsum(behind) - 1)[codes]
         codes = np.insert(codes, starts - np.arange(len(texts)), len(names) + np.arange(len(texts)))
-        new = self.learn(set(names))
-        found = [*map(self.known.__getitem__, names), *firsts]
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
-        lists = pa.LargeListArray.from_arrays(
-            pa.array(np.concatenate(([0], ends))), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        places, found, new = self.behind_spaces(names)
+        edges = np.concatenate((found.offsets.to_numpy()[places], len(found.values) + firsts.offsets.to_numpy()[1:]))
+        lists = pa.LargeListArray.from_arrays(pa.array(edges), pa.concat_arrays([found.values, firsts.values]))
         taken = lists.take(pa.array(codes))
         offsets, flat = taken.offsets.to_numpy(), taken.values.to_numpy()
         out = [b""] * len(texts)
@@ -188,6 +209,12 @@ class Encoder:
         return out
 
 
+def listed(ids: list[bytes]) -> pa.LargeListArray:
+    """Ids as bytes of 32-bit integers as lists."""
+    ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], ends))), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     return Encoder(path)

@@ -53,6 +53,15 @@ def test_odd_texts():
     assert byte_ids(ODD) == want
 
 
+def test_letters_are_remembered_without_the_marks_behind_them():
+    encoder = token_files.Encoder(BYTES)
+    texts = ["", "one", "a one. one, one!! one\none. one?! \u6f22\u5b57. \u6f22\u5b57,", "x one. 1. 1, one.two. 's. "]
+    want = [e.ids for e in token_files.tokenizer(BYTES).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(i, np.int32).tolist() for i in encoder.texts(texts)] == want
+    known = set(encoder.known)
+    assert {"one", "\u6f22\u5b57"} <= known and not known & {"one.", "one,", "one!!", "one?!", "\u6f22\u5b57.", "\u6f22\u5b57,"}
+
+
 def test_heap_and_matrix_agendas_agree_and_whole_tokens_are_proven():
     v: Vocabulary = vocabulary(PIECES)
     chunks = ["▁hello", "▁▁▁▁▁x", "▁internationalization", "éèê", "▁" + "thereof" * 4, "▁" * 31]
