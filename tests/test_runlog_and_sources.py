@@ -12,6 +12,7 @@ from parcelmart.operators.keys import DuplicateKeyError
 from parcelmart.plans.warehouse import layer_row_counts, read_marts, read_raw, refresh_marts, staging_from_raw
 from parcelmart.schemas import RAW_COLUMNS
 from parcelmart.sources import sinks
+from parcelmart.sources import testdata as td
 from parcelmart.sources.knowledge_files import read_gold_jsonl, read_markdown
 from parcelmart.sources.raw_csv import load_raw
 from parcelmart.streaming.event_tail import delivered, tail_events
@@ -223,3 +224,15 @@ def test_exported_tables_are_compressed(spark, folder):
     for table in RAW_COLUMNS:
         files = glob.glob(f"{root}/{table}/part-*")
         assert files and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_gold_of_passages_of_any_length(spark, tmp_path):
+    """Three words or more meet by an inner word, one or two by a part of a word, none by every document; NULL has no gold."""
+    passages = ["one two three", "wo three", "hre", "e f", "x", "", " ", "\n", "three  four", None, "absent", "zwölf", " five"]
+    texts = ["one two three", "two three four five", "zwölfte\nthree  four", "", "x"]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    known = spark.createDataFrame([(f"d{i}", f"t{i}", text) for i, text in enumerate(texts)] + [("d9", "t9", None)],
+                                  "document_id string, title string, plain string")
+    gold = {r.query_id: sorted(r.gold_titles) for r in td.x_gold(spark, str(tmp_path), known).collect()}
+    expected = {i: [f"t{j}" for j, text in enumerate(texts) if p in text] for i, p in enumerate(passages) if p is not None}
+    assert gold == {i: titles for i, titles in expected.items() if titles} and len(gold) == 11
