@@ -207,3 +207,23 @@ def test_chunks_of_absent_or_pending_documents_are_not_ready(spark):
     documents = spark.createDataFrame([("d1", "ready"), ("d2", "embedding")], "document_id string, status string")
     chunks = spark.createDataFrame([("d1", 1), ("d2", 2), ("gone", 3)], "document_id string, n int")
     assert [r.n for r in ready_chunks(documents, chunks).collect()] == [1]
+
+
+def test_one_batch_is_read_without_a_join(spark, tmp_path):
+    """Texts and vectors used to be shuffled to find each document's latest batch, also where there is only one."""
+    from parcelmart.plans.ingest import pending_documents
+
+    def load(*files):
+        return ingest_knowledge(spark, spark.createDataFrame(list(files), "filename string, stem string, text string"), str(tmp_path), dimensions=32)
+
+    read = lambda *frames: ["Join" in f._jdf.queryExecution().executedPlan().toString() for f in frames]
+    documents, found = load(("a.md", "a", "# A\none"), ("b.md", "b", "two"))
+    assert read(documents, found, pending_documents(spark, str(tmp_path))) == [False] * 3
+    assert sorted(x.content for x in found.collect()) == ["one", "two"] and documents.count() == 2
+    (tmp_path / "chunks" / "batch=9-failed").mkdir()
+    found.limit(1).write.mode("append").parquet(str(tmp_path / "chunks" / "batch=9-failed"))
+    from parcelmart.plans.ingest import read_knowledge
+
+    assert read_knowledge(spark, str(tmp_path))[1].count() == 2  # chunks of a load that failed stay out
+    documents, found = load(("c.md", "c", "two"))
+    assert read(documents, found) == [True] * 2 and found.count() == 2

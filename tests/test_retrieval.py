@@ -403,3 +403,52 @@ def test_a_title_that_is_null_has_no_terms_in_a_large_batch(spark, monkeypatch):
     asked = spark.createDataFrame([(1, ["late", "x" * 3]), (None, ["late"])], "query_id int, terms array<string>")
     found = sorted(tuple(x) for x in search_blocks(chunks, asked, 5).drop("title").collect())
     assert found == [(1, "a", 0, 0, 1, 2), (1, "b", 0, 1, 1, 0)]
+
+
+def test_parts_are_written_when_a_search_follows_words(chunks, queries, tmp_path, monkeypatch):
+    """Every index used to write the words of all chunks by their grams, also for vectors and for batches that read the texts."""
+    built = r.write_search_index(chunks, str(tmp_path / "i"), 5, parts=False)
+    assert r.vector_candidates(built, queries, 5).count() > 0
+    scores = [sorted(map(tuple, r.word_scores(built, queries, n).collect())) for n in (None, 4)]
+    monkeypatch.setattr(postings, "MANY_QUERIES", 1)
+    many = sorted(map(tuple, r.lexical_candidates(built, queries, 5).collect()))
+    assert sorted(x.name for x in (tmp_path / "i" / "postings").iterdir()) == ["chunks"]
+    monkeypatch.setattr(postings, "MANY_QUERIES", 1000)
+    assert sorted(map(tuple, r.lexical_candidates(built, queries, 5).collect())) == many
+    assert sorted(x.name for x in (tmp_path / "i" / "postings").iterdir()) == sorted(["chunks", *postings.PARTS])
+    assert [sorted(map(tuple, r.word_scores(built, queries, n).collect())) for n in (None, 4)] == scores and all(scores)
+
+
+def test_terms_are_found_in_many_texts_at_once(monkeypatch):
+    import re
+
+    from parcelmart.operators import term_blocks
+
+    monkeypatch.setattr(term_blocks, "SLICE_CHARS", 50)
+    rng = np.random.default_rng(4)
+    letters = list("ab-_ é运𝔘\0\n1")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(200)] + ["x" * 40 + "a" * 50, "", "ab"]
+    terms = sorted({"".join(rng.choice(letters, rng.integers(1, 4))) for _ in range(150)} | {"a" * 40, "a" * 33, "x" * 40 + "a", "a" * 33 + "b", "ab a"})
+    (text, term), (at, word, _) = term_blocks._holds(texts, terms)
+    like = {t: re.compile(".".join(map(re.escape, t.split("_"))), re.DOTALL) for t in terms}
+    assert set(zip(text.tolist(), term.tolist())) == {(i, j) for i, x in enumerate(texts) for j, t in enumerate(terms) if like[t].search(x)}
+    whole = [(i, terms.index(w)) for i, x in enumerate(texts) for w in re.findall(r"[^\W_]+", x) if w in like]
+    assert sorted(zip(at.tolist(), word.tolist())) == sorted(whole)
+    assert list(text) == sorted(text) and list(at) == sorted(at)
+
+
+@pytest.mark.parametrize("n, group", [(1, 16), (7, 3), (40, 2), (500, 16)])
+def test_single_floats_only_choose_what_is_multiplied_in_full(monkeypatch, n, group):
+    monkeypatch.setattr(cells, "GROUP", group)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 24))
+    vectors, known = cells.unit(np.concatenate([base, base[:20], base + 1e-7 * rng.standard_normal(base.shape), np.zeros((5, 24)), -base]))
+    queries, place = cells.unit(base + 1e-6)[0], rng.permutation(len(vectors))
+    query, row, score = cells._exact_best(queries, vectors, vectors.astype(np.float32), known, n, place)
+    every = np.round(np.einsum("ik,jk->ij", queries, vectors), 8) + 0.0
+    every[:, ~known] = -2.0
+    for i in range(len(queries)):
+        order = np.lexsort((place, -every[i]))[:n]
+        assert np.allclose(score[query == i], every[i][order], atol=2e-8)
+        if n > 1:
+            assert set(row[query == i][:n // 2]) <= set(np.lexsort((place, -every[i]))[:n + 3])
